@@ -11,9 +11,11 @@ from .vectors import matrix, usable
 
 QUERY_BLOCK = 8192
 CANDIDATE_BLOCK = 8192
-TILE = 256
+QUERY_TILE = 256
+CANDIDATE_TILE = 2048
 LEVELS = (4, 16)
-DENSE = 0.10
+DENSE = 0.02
+MOST = 0.5
 EXACT = float(2**53)
 
 
@@ -42,37 +44,59 @@ def _best(rows, scores, ids, k):
 def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int):
     """(query ids, candidate ids, scores) of the k best candidates of every query within one block of candidates.
 
-    q and c are integer matrices. Bounds go from coarse to fine; scores are taken only where the bound reaches the k-th
-    best score known so far. Bounds are widened by a relative slack, so rounding never loses a candidate.
+    q and c are integer matrices; c_ids has no repeats. Tile by tile, bounds go from coarse to fine, and exact scores are
+    taken where the bound reaches the k-th best score known so far: pair by pair if few survive, by one product if many
+    do; a level that leaves most of a tile is not refined. Bounds are widened by a slack, so rounding loses no candidate.
     """
     top = float(max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)))
-    exact = top * top * max(1, q.shape[1]) < EXACT
-    qx, cx = (q.astype(float), c.astype(float)) if exact else (q, c)
+    if top * top * max(1, q.shape[1]) < EXACT:
+        qx, cx = q.astype(float), c.astype(float)
+    else:
+        qx, cx = q, c
     qf, cf = q.astype(float), c.astype(float)
     levels = [(segment_profile(qf, s), segment_profile(cf, s)) for s in LEVELS if s < q.shape[1]]
     slack = 1e-9 * (1.0 + np.linalg.norm(qf, axis=1) * np.linalg.norm(cf, axis=1).max(initial=0.0))
     out = []
-    for at in range(0, len(q_ids), TILE):
-        sel = slice(at, min(at + TILE, len(q_ids)))
-        allowed = q_ids[sel, None] != c_ids[None, :]
-        floor = np.full(allowed.shape[0], -np.inf)
-        for level, (qp, cp) in enumerate(levels):
-            bound = qp[sel] @ cp.T + slack[sel, None]
-            if level == 0 and len(c_ids) > 4 * k:
-                # the candidates with the highest coarse bounds give a first k-th best score
-                guess = np.argpartition(np.where(allowed, bound, -np.inf), -2 * k - 1, axis=1)[:, -2 * k - 1 :]
-                got = np.einsum("qd,qgd->qg", qx[sel], cx[guess]).astype(float)
-                got[~np.take_along_axis(allowed, guess, axis=1)] = -np.inf
-                floor = np.partition(got, -k, axis=1)[:, -k]
-            allowed &= bound >= floor[:, None]
-        rows, cols = np.nonzero(allowed)
-        if rows.size > DENSE * allowed.size:
-            scores = (qx[sel] @ cx.T)[rows, cols]
-        else:
-            scores = np.concatenate([np.einsum("pd,pd->p", qx[sel][rows[i : i + 65536]], cx[cols[i : i + 65536]]) for i in range(0, rows.size, 65536)] or [np.empty(0)])
-        scores = scores.astype(np.int64)
-        pick = _best(rows, scores, c_ids[cols], k)
-        out.append((q_ids[sel][rows[pick]], c_ids[cols[pick]], scores[pick]))
+    for at in range(0, len(q_ids), QUERY_TILE):
+        sel = slice(at, min(at + QUERY_TILE, len(q_ids)))
+        n = sel.stop - sel.start
+        # one more than k is held, as the query's own row is taken out only at the end
+        floor = np.full(n, -np.inf)
+        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+        for ct in range(0, len(c_ids), CANDIDATE_TILE):
+            tile = slice(ct, ct + CANDIDATE_TILE)
+            alive, share = None, 1.0
+            if ct:
+                for qp, cp in levels:
+                    ok = qp[sel] @ cp[tile].T + slack[sel, None] >= floor[:, None]
+                    alive = ok if alive is None else alive & ok
+                    share = alive.mean()
+                    if share > MOST or not share:
+                        break
+            if not share:
+                continue
+            if share <= DENSE:
+                rows, cols = np.nonzero(alive)
+                scores = np.concatenate([np.einsum("pd,pd->p", qx[sel][rows[i : i + 65536]], cx[tile][cols[i : i + 65536]]) for i in range(0, rows.size, 65536)])
+                good = scores >= floor[rows]
+                rows, cols, scores = rows[good], cols[good], scores[good]
+            else:
+                full = qx[sel] @ cx[tile].T
+                if not ct and full.shape[1] > k + 1:
+                    floor = np.partition(full, -k - 1, axis=1)[:, -k - 1].astype(float)
+                rows, cols = np.nonzero(full >= floor[:, None])
+                scores = full[rows, cols]
+            held = tuple(np.concatenate(x) for x in zip(held, (rows, c_ids[tile][cols], scores.astype(np.int64))))
+            pick = _best(*(held[i] for i in (0, 2, 1)), k + 1)
+            held = tuple(x[pick] for x in held)
+            counts = np.bincount(held[0], minlength=n)
+            last = np.cumsum(counts) - 1
+            floor = np.where(counts > k, held[2][np.maximum(last, 0)] if held[2].size else -np.inf, -np.inf).astype(float)
+        rows, ids, scores = held
+        other = ids != q_ids[sel][rows]
+        rows, ids, scores = rows[other], ids[other], scores[other]
+        pick = _best(rows, scores, ids, k)
+        out.append((q_ids[sel][rows[pick]], ids[pick], scores[pick]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
 
