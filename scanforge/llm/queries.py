@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .rabitq import near_duplicate_vectors
+from .simhash import near_duplicate_texts
 from .topk import top_k_inner_product
 
 
@@ -18,9 +19,14 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_texts(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
 }
 
 ORACLES = {
