@@ -23,14 +23,17 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % SPLIT_MODULUS == HELD_OUT_REMAINDER, F.lit(True))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that lost executors need not redo what led to it.
-
-    The folder is the session's spark.checkpoint.dir; a temporary one is set only where none is configured (tests).
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a temporary one is set only where none is configured (tests)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder, so that lost executors need not redo what led to it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .rabitq import near_duplicate_vectors
 from .simhash import near_duplicate_texts
+from .suffix import remove_repeats
 from .topk import top_k_inner_product
 
 
@@ -23,10 +25,16 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_texts(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"), window=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
 }
 
 ORACLES = {
