@@ -217,6 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     again = base.select("text").mapInArrow(_anchor_rows(window, gram, False), "gram long").groupBy("gram").count().where("count > 1").select("gram")
+    again = _stored(again)  # as a table, the join below exchanges both sides, and Spark can split a gram that is in many places
     rows = base.mapInArrow(_anchor_rows(window, gram, True), "gram long, ctx long, k long, th int, lo int, hi int, mid int")
     shared = _stored(rows.join(again, "gram", "left_semi"))
     kinds = _stored(shared.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "lo", "hi", "mid")).alias("r")))
