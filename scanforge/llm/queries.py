@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from . import pieces
+from .html import extract_text
 from .langid import identify_language
+from .packing import count_words, pack_documents
 from .rabitq import near_duplicate_vectors
 from .simhash import near_duplicate_texts
 from .suffix import remove_repeats
@@ -40,6 +43,22 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), count_words("text"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load(pieces.MODEL_PATH)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", pieces.encode(spark, model, "text").alias("ids"))
+    back = pieces.decode(spark, model, "ids") == F.translate("text", pieces.MARK, " ")
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), back.alias("round_trip"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", extract_text("html").alias("text"))
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -47,6 +66,9 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES = {
