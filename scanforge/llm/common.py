@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder: columnar and compressed, for what is too wide for cut()."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest index reachable from each of 0..n-1 over the undirected edges a[i]-b[i]."""
     root = np.arange(n, dtype=np.int64)

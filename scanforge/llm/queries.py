@@ -10,6 +10,7 @@ from . import pieces
 from .html import extract_text
 from .langid import identify_language
 from .packing import count_words, pack_documents
+from .quality import classify_quality
 from .rabitq import near_duplicate_vectors
 from .simhash import near_duplicate_texts
 from .suffix import remove_repeats
@@ -54,6 +55,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), back.alias("round_trip"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", extract_text("html").alias("text"))
     return pages.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -68,6 +73,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_quality": op9_quality,
     "op10_html_extraction": op10_html_extraction,
 }
 

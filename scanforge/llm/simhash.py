@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, local_roots
@@ -177,11 +178,37 @@ def near_duplicate_texts(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     of docs, repeated ids included; a row with a null id takes part and gets the smallest id it reaches, null if there is none.
     Equal fingerprints are worked on once, by partial aggregation, so that large groups of copies cost one entry.
     """
+    prints, named = _named(docs, shingle, radius, id_col, text_col)
+    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _named(docs, shingle, radius, id_col, text_col):
+    """(doc_id, fp) of every row, and (fp, component_id) of every fingerprint."""
     prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
     prints = cut(prints)
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     linked = link_fingerprints(distinct.select("fp"), radius)
     rooted = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints, rooted.join(least, "root").select("fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with its columns, for every group of near_duplicate_texts: the one of the smallest doc_id.
+
+    Of rows that repeat that id within the group, one stays, chosen by a hash of its text.
+    """
+    prints, named = _named(docs, shingle, radius, id_col, text_col)
+
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+
+    chosen = prints.join(named, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_id("doc_id").alias("k"), "fp", "root").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), _id(id_col).alias("k"), fp(text_col).alias("fp")).join(chosen, ["k", "fp"])
+    nth = F.row_number().over(Window.partitionBy("k", "root").orderBy(F.xxhash64(F.col("row")[text_col]), F.col("row")[text_col]))
+    return keyed.withColumn("nth", nth).where("nth = 1").select("row.*")
+
+
+def _id(name: str):
+    return F.coalesce(F.col(name).cast("long"), F.lit(-(2**63)))

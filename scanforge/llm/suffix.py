@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_folder
+from .common import stored
 from .windows import Rolling, anchors, pieces
 
 WINDOW = 400
@@ -20,13 +18,6 @@ FLUSH = 2_000_000
 NO_ID = -(2**63)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder."""
-    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
@@ -177,7 +168,7 @@ def _explode_windows(window: int):
     return run
 
 
-def _cut_out(window: int):
+def _cut_out(window: int, carry: bool):
     def run(batches):
         for batch in batches:
             kept, removed, spans = [], [], []
@@ -196,15 +187,19 @@ def _cut_out(window: int):
                 removed.append(gone)
                 spans.append([{"start": a, "end": b} for a, b in found])
             names = [n for n in batch.schema.names if n not in ("text", "runs")]
+            strings = [pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string())] if carry else []
             span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, span_type)], names=[*names, "kept", "n_removed", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, span_type), *strings], names=[*names, "kept", "n_removed", "spans", *["text"][: len(strings)]])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", wide: int = WIDE) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", wide: int = WIDE, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (array of start, end), kept (binary): one row for every row of docs.
 
+    With `carry`, two more columns: `rest`, a struct of those columns of docs, and `text`, the kept bytes as a string without
+    characters that are left in part only.
+
     A byte is removed if it lies in a string of `window` UTF-8 bytes that also starts elsewhere, in the same document or
     another; matches do not cross documents and are judged on the input. Null texts are empty; texts shorter than a window
     keep everything; rows that repeat an id and text count as documents of their own, so both lose what they share.
@@ -214,25 +209,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     to the full depth within groups of one gram. A gram with more than `wide` contexts is spread over window hashes instead
     of meeting in one task. Copies are merged by partial aggregation before they are shuffled.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
     again = base.select("text").mapInArrow(_anchor_rows(window, gram, False), "gram long").groupBy("gram").count().where("count > 1").select("gram")
-    again = _stored(again)  # as a table, the join below exchanges both sides, and Spark can split a gram that is in many places
+    again = stored(again)  # as a table, the join below exchanges both sides, and Spark can split a gram that is in many places
     rows = base.mapInArrow(_anchor_rows(window, gram, True), "gram long, ctx long, k long, th int, lo int, hi int, mid int")
-    shared = _stored(rows.join(again, "gram", "left_semi"))
-    kinds = _stored(shared.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "lo", "hi", "mid")).alias("r")))
+    shared = stored(rows.join(again, "gram", "left_semi"))
+    kinds = stored(shared.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "lo", "hi", "mid")).alias("r")))
     settled = shared.join(kinds.where("n > 1").select("gram", "ctx"), ["gram", "ctx"], "left_semi").select("k", "th", "lo", "hi")
     several = kinds.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1")
     spots = kinds.join(several, "gram").select("r.k", "r.th", F.struct("gram", "r.lo", "r.hi", "r.mid", "n", (F.col("contexts") > wide).alias("wide")).alias("s"))
     spots = spots.groupBy("k", "th").agg(F.collect_list("s").alias("spots"))
-    # both joins below use this one exchange of the texts
-    dealt = base.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k", "th")
-    found = _stored(dealt.join(spots.hint("shuffle_hash"), ["k", "th"]).mapInArrow(_contexts(window), _CONTEXT))
+    # the small sides are hashed, so that the texts are not sorted
+    found = stored(base.select("k", "th", "text").join(spots.hint("shuffle_hash"), ["k", "th"]).mapInArrow(_contexts(window), _CONTEXT))
     narrow = found.where("not wide").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort_groups(window), "k long, th int, lo int, hi int")
     single = found.where("wide").mapInArrow(_explode_windows(window), "gram long, h1 long, h2 long, n long, k long, th int, p int")
     double = single.groupBy("gram", "h1", "h2").agg(F.sum("n").alias("m")).where("m > 1").select("gram", "h1", "h2")
     spread = single.join(double, ["gram", "h1", "h2"], "left_semi").select("k", "th", F.col("p").alias("lo"), F.col("p").alias("hi"))
     runs = settled.union(narrow).union(spread).distinct().groupBy("k", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    cut = dealt.join(runs.hint("shuffle_hash"), ["k", "th"], "left").select("k", "text", "runs")
-    cut = cut.mapInArrow(_cut_out(window), "k long, kept binary, n_removed long, spans array<struct<start: long, end: long>>")
-    return cut.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", "spans", "kept")
+    cut = base.join(runs.hint("shuffle_hash"), ["k", "th"], "left").select("k", "text", "runs", *(["rest"] if carry else []))
+    rest = f", rest {base.schema['rest'].dataType.simpleString()}" if carry else ""
+    cut = cut.mapInArrow(_cut_out(window, bool(carry)), f"k long{rest}, kept binary, n_removed long, spans array<struct<start: long, end: long>>" + (", text string" if carry else ""))
+    return cut.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", "spans", "kept", *(["rest", "text"] if carry else []))
