@@ -8,17 +8,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 UNK_PENALTY = 10.0
-CACHE = 400_000
+CACHE = 150_000
+PART = 1 << 20
 LONG = 256
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _BPE = 2
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+_BOUNDARY = re.compile(f"(?<=[^{MARK}])(?={MARK})|(?=\n)|(?<=\n)")
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -203,15 +207,10 @@ class PieceModel:
                 out[r] += [x] if x >= 0 else self._fallback(words[r][a:b])
         return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Ids of each text; None for None. Segments end before runs of the mark and around line feeds, which no piece crosses."""
-        marked = [None if t is None else (MARK + t if self.prefix and t else t).replace(" ", MARK) for t in texts]
-        segments = [None if t is None else _SEGMENT.findall(t) for t in marked]
-        if len(self._cache) > CACHE:
-            self._cache.clear()
-        new = list({s for part in segments if part for s in part} - self._cache.keys())
+    def _learn(self, segments: set[str]) -> None:
+        """Put the ids of segments that are not there yet into the cache."""
         short: dict[int, list[tuple[str, bytes]]] = {}
-        for s in new:
+        for s in segments - self._cache.keys():
             b = s.encode("utf-8", "surrogatepass")
             if len(b) > LONG:
                 self._cache[s] = np.array(self._one(b), np.int32).tobytes()
@@ -222,8 +221,40 @@ class PieceModel:
                 part = group[at : at + 8192]
                 for (s, _), got in zip(part, self._many([b for _, b in part])):
                     self._cache[s] = np.array(got, np.int32).tobytes()
-        cache = self._cache
-        return [None if part is None else np.frombuffer(b"".join([cache[s] for s in part]), np.int32) for part in segments]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Ids of each text; None for None. Segments end before runs of the mark and around line feeds, which no piece crosses.
+
+        Texts are worked on in parts of about PART characters, cut between segments, so that memory does not follow the batch.
+        """
+        out: list[list[bytes] | None] = [None if t is None else [] for t in texts]
+        held, size = [], 0
+
+        def flush():
+            if len(self._cache) > CACHE:
+                self._cache.clear()
+            found = [(d, _SEGMENT.findall(part)) for d, part in held]
+            self._learn({s for _, part in found for s in part})
+            for d, part in found:
+                out[d].append(b"".join([self._cache[s] for s in part]))
+            held.clear()
+
+        for d, t in enumerate(texts):
+            if not t:
+                continue
+            marked = (MARK + t if self.prefix else t).replace(" ", MARK)
+            at = 0
+            while at < len(marked):
+                m = _BOUNDARY.search(marked, at + PART) if len(marked) - at > PART else None
+                end = m.start() if m else len(marked)
+                held.append((d, marked[at:end]))
+                size += end - at
+                at = end
+                if size >= PART:
+                    flush()
+                    size = 0
+        flush()
+        return [None if part is None else np.frombuffer(b"".join(part), np.int32) for part in out]
 
     def decode(self, ids) -> str:
         data = b"".join([self.texts[i] for i in ids])
@@ -292,3 +323,25 @@ def decode(spark, model: PieceModel, ids: Column | str = "ids") -> Column:
         return ids.map(lambda x: None if x is None else shared.value.decode(x))
 
     return run(ids)
+
+
+def coding_report(docs, model: PieceModel, id_col: str = "doc_id", text_col: str = "text"):
+    """doc_id, n_tokens, ids_hash, round_trip for every row of docs: the size of the encoding, a 64-bit hash of its ids, and
+    whether decoding gives the text back, a mark in the text counting as a space. Null texts have null columns.
+
+    Encoding and decoding share one Python worker, which keeps a single copy of the model.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column("text").to_pylist()
+                ids = shared.value.encode(texts)
+                cols = [[None if x is None else f(x, t) for x, t in zip(ids, texts)] for f in (lambda x, t: x.size, lambda x, t: xxhash.xxh64_intdigest(x.tobytes()) - 2**63, lambda x, t: shared.value.decode(x) == t.replace(MARK, " "))]
+                kinds = (pa.int64(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_tokens", "ids_hash", "round_trip"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_hash long, round_trip boolean")

@@ -49,10 +49,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = pieces.load(pieces.MODEL_PATH)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", pieces.encode(spark, model, "text").alias("ids"))
-    back = pieces.decode(spark, model, "ids") == F.translate("text", pieces.MARK, " ")
-    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), back.alias("round_trip"))
+    return pieces.coding_report(table(spark, sf_dir, "documents"), pieces.load(pieces.MODEL_PATH))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
