@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import checkpoint_folder, connected_components, cut, local_roots, stored
+
+__all__ = ["checkpoint_folder", "connected_components", "cut", "held_out", "local_roots", "stored", "table"]
+
 SPLIT_MODULUS = 3
 HELD_OUT_REMAINDER = 1
 
@@ -22,96 +21,3 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for the rows kept away from training: crc32 of the id as text, mod 3, is 1. Null ids are held out."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % SPLIT_MODULUS == HELD_OUT_REMAINDER, F.lit(True))
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one is set only where none is configured (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that lost executors need not redo what led to it."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder: columnar and compressed, for what is too wide for cut()."""
-    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest index reachable from each of 0..n-1 over the undirected edges a[i]-b[i]."""
-    root = np.arange(n, dtype=np.int64)
-    while a.size:
-        low = np.minimum(root[a], root[b])
-        nxt = root.copy()
-        np.minimum.at(nxt, root[a], low)
-        np.minimum.at(nxt, root[b], low)
-        np.minimum.at(nxt, a, low)
-        np.minimum.at(nxt, b, low)
-        while True:
-            jump = nxt[nxt]
-            if np.array_equal(jump, nxt):
-                break
-            nxt = jump
-        if np.array_equal(nxt, root):
-            break
-        root = nxt
-        keep = root[a] != root[b]
-        a, b = a[keep], b[keep]
-    return root
-
-
-def _contract(batches):
-    """Replace each batch of edges by a spanning star of every component within it."""
-    for batch in batches:
-        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        if not a.size:
-            continue
-        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        root = local_roots(at[: a.size], at[a.size :], ids.size)
-        off = root != np.arange(ids.size)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[off], pa.int64()), pa.array(ids[root[off]], pa.int64())], names=["u", "v"])
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (two long columns); component is the smallest node reachable.
-
-    Alternating large-star and small-star rounds. Every batch of edges is first contracted to stars where it lies, and
-    minima are taken by partial aggregation, so a hub is never gathered in one task. Each round is checkpointed.
-    """
-    a, b = edges.columns[:2]
-    cur = (
-        edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-        .where("u <> v")
-        .mapInArrow(_contract, "u long, v long")
-        .distinct()
-    )
-    cur = cut(cur)
-    seen = None
-    for _ in range(max_rounds):
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-            .select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        cur = cut(small)
-        mark = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen:
-            break
-        seen = mark
-    return cur.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
