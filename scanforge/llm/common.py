@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import checkpoint_folder, connected_components, cut, local_roots, stored
 
-__all__ = ["checkpoint_folder", "connected_components", "cut", "held_out", "local_roots", "stored", "table"]
+__all__ = ["checkpoint_folder", "connected_components", "cut", "held_out", "local_roots", "slices", "stored", "table"]
 
 SPLIT_MODULUS = 3
 HELD_OUT_REMAINDER = 1
@@ -21,3 +21,10 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for the rows kept away from training: crc32 of the id as text, mod 3, is 1. Null ids are held out."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % SPLIT_MODULUS == HELD_OUT_REMAINDER, F.lit(True))
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches cut into small ones, so that Python holds the objects of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

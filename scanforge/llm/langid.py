@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out
+from .hashing import hashed_ngrams
 
-DIM = 4096
-ORDERS = (1, 2, 3)
-SAMPLE = 4000
+BITS = 12
+SAMPLE = 2000
 CHUNK = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 #: Families of languages by ISO 639-1 code. A language that is not listed is a family of its own.
@@ -35,36 +35,30 @@ def family(lang: str) -> str:
 
 def features(text: str | None) -> np.ndarray:
     """Hashed counts of byte n-grams of the lower-cased letters of the whole text: square roots, scaled to length 1."""
-    out = np.zeros(DIM)
+    out = np.zeros(1 << BITS)
     text = text or ""
     for at in range(0, len(text), CHUNK):
-        data = " ".join(re.findall(r"[^\W\d_]+", text[at : at + CHUNK].lower()))
-        a = np.frombuffer(f" {data} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-        h = np.zeros(a.size, np.uint32)
-        for n in range(1, max(ORDERS) + 1):
-            if a.size < n:
-                break
-            h = h[: a.size - n + 1] * np.uint32(0x01000193) + a[n - 1 :] + np.uint32(n)
-            if n in ORDERS:
-                out += np.bincount((h * np.uint32(0x9E3779B1)) >> np.uint32(20), minlength=DIM)
+        letters = " ".join(re.findall(r"[^\W\d_]+", text[at : at + CHUNK].lower()))
+        out += hashed_ngrams(f" {letters} ".encode("utf-8", "surrogatepass"), bits=BITS)
     out = np.sqrt(out)
     return out / (np.linalg.norm(out) or 1.0)
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 12, seed: int = 0) -> np.ndarray:
     """Weights of a linear support vector machine (squared hinge, dual coordinate descent); y is -1 or 1; the last weight is the bias."""
-    x = np.c_[x, np.ones(len(x))]
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    q = (x * x).sum(1) + 0.5 / c
+    w, alpha = np.zeros(x.shape[1] + 1), np.zeros(len(x))
+    q = np.einsum("nd,nd->n", x, x) + 1 + 0.5 / c
     random = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in random.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + 0.5 / c * alpha[i]
+            g = y[i] * (x[i] @ w[:-1] + w[-1]) - 1 + 0.5 / c * alpha[i]
             new = max(0.0, alpha[i] - g / q[i])
             if new != alpha[i]:
                 worst = max(worst, abs(new - alpha[i]))
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w[:-1] += step * x[i]
+                w[-1] += step
                 alpha[i] = new
         if worst < 1e-3:
             break
@@ -136,7 +130,7 @@ def train(x: np.ndarray, langs: list[str]) -> LanguageModel:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Train on at most `sample` documents with a language that are not held out, the first by hash of the id.
 
-    Features are taken on the executors; the driver gets `sample` vectors of DIM numbers at most. Without any labelled
+    Features are taken on the executors; the driver gets `sample` vectors of 2 ** BITS numbers at most. Without any labelled
     document the model knows no language and predicts `und`.
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
@@ -151,7 +145,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     if not rows:
         return LanguageModel({}, {})
-    return train(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(float), [r["lang"] for r in rows])
+    langs = [r["lang"] for r in rows]
+    x = np.frombuffer(b"".join([r["x"] for r in rows]), np.float32).reshape(len(rows), -1)
+    del rows
+    return train(x, langs)
 
 
 def predict(model: LanguageModel, text: Column | str = "text") -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .hashing import hashed_ngrams
 
-SAMPLE = 4000
+SAMPLE = 3000
 CHUNK = 1 << 20
 BITS = 12
 THRESHOLD = 0.5
@@ -96,12 +96,12 @@ def features(text: str | None) -> np.ndarray:
 
 def fit_scorer(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 300) -> np.ndarray:
     """Logistic regression on posterior labels by accelerated gradient steps; classes are weighted alike."""
-    x = np.c_[x, np.ones(len(x))]
+    x = np.c_[x, np.ones(len(x), x.dtype)]
     w = look = np.zeros(x.shape[1])
     good, bad = max(p.sum(), 1e-9), max((1 - p).sum(), 1e-9)
     weight = len(p) / 2 * (p / good + (1 - p) / bad)
     keep = np.r_[np.full(x.shape[1] - 1, ridge), 0.0]
-    rate = 1 / (0.25 * np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 + ridge)
+    rate = 1 / (0.25 * (weight * (x * x).sum(1)).sum() + ridge)
     for t in range(rounds):
         s = 1 / (1 + np.exp(-np.clip(x @ look, -40, 40)))
         nxt = look - rate * (x.T @ (weight * (s - p)) + keep * look)
@@ -140,7 +140,10 @@ def classify_quality(docs: DataFrame, sample: int = SAMPLE, threshold: float = T
     rows = picked.select("doc_id", _vote_column(F.col("text")).alias("v"), vector("text").alias("x")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     if rows:
-        w = fit_scorer(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(float), model.posterior(unpack([r["v"] for r in rows])))
+        p = model.posterior(unpack([r["v"] for r in rows]))
+        x = np.frombuffer(b"".join([r["x"] for r in rows]), np.float32).reshape(len(rows), -1)
+        del rows
+        w = fit_scorer(x, p)
     else:
         w = np.zeros((1 << BITS) + 1)
 

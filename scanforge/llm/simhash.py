@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, local_roots
+from .common import connected_components, cut, local_roots, slices
 
 SHINGLE = 3
 SEED = 42
@@ -37,7 +37,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(shingle):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
 

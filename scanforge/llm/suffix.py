@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 from .windows import Rolling, anchors, pieces
 
 WINDOW = 400
@@ -24,7 +24,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 def _anchor_rows(window: int, gram: int, whole: bool):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = _bytes(batch.column("text"))
             if whole:
                 k, th = batch.column("k").to_numpy(), batch.column("th").to_numpy()
@@ -43,7 +43,7 @@ def _contexts(window: int):
     """The bytes around each listed anchor."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = _bytes(batch.column("text"))
             lists = batch.column("spots")
             spots = lists.flatten()
@@ -158,7 +158,7 @@ def _explode_windows(window: int):
     """One row for every window: for grams with more contexts than one task should hold."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             col = {n: batch.column(n).to_numpy() for n in ("gram", "off", "lo", "n", "k", "th")}
             row, start, digits = _windows(batch.column("held").to_pylist(), window, window)
             if row.size:
@@ -170,7 +170,7 @@ def _explode_windows(window: int):
 
 def _cut_out(window: int, carry: bool):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             kept, removed, spans = [], [], []
             for text, runs in zip(_bytes(batch.column("text")), batch.column("runs").to_pylist()):
                 out, at, gone, found = [], 0, 0, []

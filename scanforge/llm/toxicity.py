@@ -131,12 +131,16 @@ def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     for kind, texts in enumerate((n, p)):
         for t in texts:
             seen[kind, np.unique(_buckets(t))] += 1
-    in_toxic, in_ordinary = seen[1] / len(p), seen[0] / len(n)
-    pooled = (seen[0] + seen[1]) / (len(p) + len(n))
+    often = np.flatnonzero(seen[1] >= max(3, len(p) // 200))
+    in_toxic, in_ordinary = seen[1, often] / len(p), seen[0, often] / len(n)
+    pooled = (seen[0, often] + seen[1, often]) / (len(p) + len(n))
     z = (in_toxic - in_ordinary) / np.sqrt(pooled * (1 - pooled) * (1 / len(p) + 1 / len(n)) + 1e-12)
-    marked = (seen[1] >= max(3, len(p) // 200)) & (in_toxic >= 10 * in_ordinary) & (z >= 6)
-    if not marked.any():
-        marked = (seen[1] >= 2) & (in_toxic >= 10 * in_ordinary)
+    chosen = often[(in_toxic >= 10 * in_ordinary) & (z >= 6)]
+    if not chosen.size:
+        chosen = np.flatnonzero((seen[1] >= 2) & (seen[1] / len(p) >= 10 * seen[0] / len(n)))
+    marked = np.zeros(BUCKETS, bool)
+    marked[chosen] = True
+    del seen
     spans = [s for t in p for s in _spans(t, marked)]
     plain = [w for t in n for w in windows(t)]
     plain = [plain[i] for i in np.random.default_rng(0).permutation(len(plain))[:30000]]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-POSITION_BITS = 20
+POSITION_BITS = 19
 SEGMENT = 1 << POSITION_BITS
 _TABLE = np.random.default_rng(20240917).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -43,7 +43,7 @@ class Rolling:
 
 
 def minimum_places(h: np.ndarray, width: int) -> np.ndarray:
-    """Place of the smallest value in every run of `width` values, the leftmost of equal ones (44 bits are compared)."""
+    """Place of the smallest value in every run of `width` values, the leftmost of equal ones (45 bits are compared)."""
     n = h.size - width + 1
     if n <= 0:
         return np.empty(0, np.int64)
