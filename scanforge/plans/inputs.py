@@ -55,5 +55,5 @@ CTES = {
 
 
 def sql(body: str, *names: str) -> str:
-    """A query body after the named inputs."""
+    """A query body after the named inputs; further ones may come first in the body, after a comma."""
     return f"WITH {', '.join(CTES[n] for n in names)} {body}"
