@@ -151,13 +151,14 @@ def cell_lookup(df: DataFrame, cells: DataFrame, width: float, axes: list[str],
 
 def segment_cells(df: DataFrame, start: list[str], end: list[str], width: float) -> DataFrame:
     """The grid cells that a segment crosses, as columns i0, i1, ...: one row for each, found from the crossings of grid lines."""
-    t = F.array(F.lit(0.0), F.lit(1.0))
-    for a, b in zip(start, end):
-        lo, hi = F.least(F.col(a), F.col(b)) / width, F.greatest(F.col(a), F.col(b)) / width
-        lines = F.when(F.floor(hi) >= F.floor(lo) + 1, F.sequence(F.floor(lo) + 1, F.floor(hi))).otherwise(F.array().cast("array<bigint>"))
-        t = F.concat(t, F.transform(lines, lambda k, a=a, b=b: F.coalesce(F.try_divide(k * F.lit(width) - F.col(a), F.col(b) - F.col(a)), F.lit(0.0))))
+    def crossings(a, b):
+        lo, hi = F.floor(F.least(a, b) / width), F.floor(F.greatest(a, b) / width)
+        lines = F.when(hi > lo, F.sequence(lo + 1, hi)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(lines, lambda k: F.coalesce(F.try_divide(k * F.lit(float(width)) - a, b - a), F.lit(0.0)))
+
+    t = F.concat(F.array(F.lit(0.0), F.lit(1.0)), *[crossings(F.col(a), F.col(b)) for a, b in zip(start, end)])
     cut = df.withColumn("__t", F.array_sort(F.array_distinct(F.filter(t, lambda v: v.between(0.0, 1.0)))))
-    middle = F.transform(F.slice("__t", F.lit(1), F.greatest(F.lit(1), F.size("__t") - 1)), lambda v, i: F.when(F.size("__t") > 1, (v + F.get("__t", i + 1)) / 2).otherwise(v))
+    middle = F.transform(F.slice(F.col("__t"), F.lit(1), F.greatest(F.lit(1), F.size("__t") - 1)), lambda v, i: F.when(F.size("__t") > 1, (v + F.get(F.col("__t"), i + 1)) / 2).otherwise(v))
     cut = cut.withColumn("__m", F.explode(middle))
     return cut.withColumns({f"i{n}": F.floor((F.col(a) + (F.col(b) - F.col(a)) * F.col("__m")) / width) for n, (a, b) in enumerate(zip(start, end))}).drop("__t", "__m").distinct()
 

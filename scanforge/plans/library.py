@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import point_queries  # noqa: F401
+from . import join_queries, point_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
