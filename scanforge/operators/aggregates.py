@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -240,9 +242,6 @@ def moments(df: DataFrame, by: list[str], axes=("x", "y", "z")) -> DataFrame:
 
 def fit_planes(df: DataFrame, by: list[str]) -> DataFrame:
     """Normal, centre and mean square distance of the best plane of each group: moments, then a 3 x 3 eigenproblem a group."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("nx double, ny double, nz double, error double")
     def solve(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
         m = np.stack([np.stack(r, -1) for r in ((xx, xy, xz), (xy, yy, yz), (xz, yz, zz))], -2).astype(float)

@@ -146,7 +146,7 @@ def cube_masks(voxels: DataFrame) -> DataFrame:
     """8-bit corner mask of each dual cube that has a voxel at a corner; bit x + 2 y + 4 z."""
     axes = ["ix", "iy", "iz"]
     moves = [(-x, -y, -z) for z in (0, 1) for y in (0, 1) for x in (0, 1)]
-    return shifted(voxels.select(*axes), axes, moves).groupBy(*axes).agg(F.bit_or(F.shiftleft(F.lit(1), F.col("side"))).alias("mask"))
+    return shifted(voxels.select(*axes), axes, moves).groupBy(*axes).agg(F.bit_or(F.expr("shiftleft(1, side)")).alias("mask"))
 
 
 def opposing_triangles(triangles: DataFrame, most: float = -0.9) -> DataFrame:
@@ -161,7 +161,7 @@ def opposing_triangles(triangles: DataFrame, most: float = -0.9) -> DataFrame:
 
 
 def offset_search(walls: DataFrame, offsets: list[float], cost: Column, key: str = "wall") -> DataFrame:
-    """(key, offset, cost) of the least cost over a list of offsets; the column `offset` may be used in cost."""
-    tried = walls.withColumn("offset", F.explode(F.array(*[F.lit(float(o)) for o in offsets]))).withColumn("cost", cost)
-    best = tried.groupBy(key).agg(F.min(F.struct("cost", F.abs("offset").alias("size"), "offset")).alias("m"))
-    return best.select(key, F.col("m.offset").alias("offset"), F.col("m.cost").alias("cost"))
+    """(key, shift, cost) of the least cost over a list of offsets; the column `shift` may be used in cost."""
+    tried = walls.withColumn("shift", F.explode(F.array(*[F.lit(float(o)) for o in offsets]))).withColumn("cost", cost)
+    best = tried.groupBy(key).agg(F.min(F.struct("cost", F.abs("shift").alias("size"), "shift")).alias("m"))
+    return best.select(key, F.col("m.shift").alias("shift"), F.col("m.cost").alias("cost"))
