@@ -38,10 +38,9 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     while a.size:
         low = np.minimum(root[a], root[b])
         nxt = root.copy()
+        # only roots move: a node hooked elsewhere by itself would leave its tree
         np.minimum.at(nxt, root[a], low)
         np.minimum.at(nxt, root[b], low)
-        np.minimum.at(nxt, a, low)
-        np.minimum.at(nxt, b, low)
         while True:
             jump = nxt[nxt]
             if np.array_equal(jump, nxt):

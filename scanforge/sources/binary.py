@@ -23,7 +23,7 @@ HIA = np.dtype([(n, "<f8") for n in ("cx", "cy", "min_z", "max_z", "open_height"
 GAUSS = [("mean", "<f8", 3), ("cov", "<f8", 6)]
 CARVE_POINT = np.dtype([*GAUSS, ("planar_prob", "<f8"), ("corner_prob", "<f8")])
 FSS_POINT = [("x", "f8"), ("y", "f8"), ("z", "f8"), ("intensity", "i4"), ("bias", "f8"), ("stddev", "f8"), ("width", "f8")]
-LEAF_DATA = struct.Struct("<I6di")
+LEAF_DATA = "<I6di"
 
 
 def _frame(records: np.ndarray) -> pd.DataFrame:
@@ -165,7 +165,7 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
     def decode(b):
         _expect(b, b"octtree\0")
         version = struct.unpack_from("<I", b, 8)[0]
-        data = LEAF_DATA if version > 1 else struct.Struct("<I5di")
+        data = struct.Struct(LEAF_DATA if version > 1 else "<I5di")
         at, todo, rows = 20, [(0, -1)], []  # (depth, child to read next; -1 for the node itself)
         while todo:
             depth, child = todo.pop()
@@ -202,7 +202,7 @@ def encode_tree(leaves: pd.DataFrame, cube: tuple[float, float, float, float], m
         out.append(struct.pack("<4d?", cx, cy, cz, hw, bool(own)))
         if own:
             r = own[0]
-            out.append(LEAF_DATA.pack(int(r["count"]), *(float(r[n]) for n in ("total_weight", "prob_sum", "prob_sum_sq", "surface_sum", "corner_sum", "planar_sum")), int(r["fp_room"])))
+            out.append(struct.pack(LEAF_DATA, int(r["count"]), *(float(r[n]) for n in ("total_weight", "prob_sum", "prob_sum_sq", "surface_sum", "corner_sum", "planar_sum")), int(r["fp_room"])))
         rest = [r for r in inside if r["hw"] < hw * (1 - 1e-9)]
         for k in range(8):
             part = [r for r in rest if (r["cx"] >= cx) + 2 * (r["cy"] >= cy) + 4 * (r["cz"] >= cz) == k]
