@@ -157,12 +157,12 @@ def faces(spark, sf_dir):
 
 # --- voxels, leaves, meshes -------------------------------------------------------------------------------------------
 
-_VOX = "vox AS (SELECT DISTINCT CAST(floor(l_extendedprice / 4000) AS BIGINT) AS ix, CAST(floor(l_quantity / 4) AS BIGINT) AS iy, CAST(floor(l_discount * 100 / 2) AS BIGINT) AS iz FROM lineitem WHERE l_linenumber < 3)"
+_VOX = "vox AS (SELECT DISTINCT CAST(floor(l_extendedprice / 4000) AS BIGINT) AS ix, CAST(floor(l_quantity / 4) AS BIGINT) AS iy, CAST(floor(l_discount * 100 / 2) AS BIGINT) AS iz FROM lineitem)"
 _FACE = "face AS (SELECT * FROM (VALUES (0, -1, 0, 4), (1, 0, 0, 8), (0, 1, 0, 1), (-1, 0, 0, 2), (0, 0, -1, 32), (0, 0, 1, 16)) f(dx, dy, dz, bit))"
 
 
 def voxels(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_linenumber < 3").select(F.floor(F.col("l_extendedprice") / 4000).alias("ix"), F.floor(F.col("l_quantity") / 4).alias("iy"), F.floor(F.col("l_discount") * 100 / 2).alias("iz")).distinct()
+    return table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_extendedprice") / 4000).alias("ix"), F.floor(F.col("l_quantity") / 4).alias("iy"), F.floor(F.col("l_discount") * 100 / 2).alias("iz")).distinct()
 
 
 @query("g36_boundary_voxels", f"WITH {_VOX}, {_FACE} SELECT ix + dx AS ix, iy + dy AS iy, iz + dz AS iz, CAST(bit_or(bit) AS INT) AS state FROM vox, face WHERE NOT EXISTS (SELECT 1 FROM vox o WHERE o.ix = vox.ix + dx AND o.iy = vox.iy + dy AND o.iz = vox.iz + dz) GROUP BY ALL")
