@@ -135,7 +135,9 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, leaf_size: int = LEA
     """
     spark = fps.sparkSession
     n = fps.count()
-    got = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    # a share of the hash range holds about 1.5 * sample of them, so that tasks send the driver no more than that in all
+    share = min(1 << 20, -(-int(1.5 * sample * (1 << 20)) // max(1, n)))
+    got = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share).orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree = spark.sparkContext.broadcast(VantageTree(got, min(-(-n // leaf_size), sample // 16)))
 
     def route(batches):
