@@ -151,3 +151,35 @@ def read_mesh_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     verts = rows.where(F.get("t", 0) == "v").select(nth.alias("v"), *[_num(i + 1).alias(c) for i, c in enumerate("xyz")])
     corner = F.transform(F.slice("t", F.lit(2), F.size("t") - 1), lambda w: F.get(F.split(w, "/"), 0).try_cast("int") - 1)
     return verts, rows.where(F.get("t", 0) == "f").select(nth.alias("f"), corner.alias("vertices"))
+
+
+def read_image_list(spark: SparkSession, path: str) -> DataFrame:
+    """image, file, timestamp, exposure, gain of an image list; its four header lines have fewer words."""
+    rows = _tokens(spark, path).where(F.size("t") == 5)
+    return rows.select(_num(0, "int").alias("image"), F.get("t", 1).alias("file"), _num(2).alias("timestamp"), _num(3).alias("exposure"), _num(4).alias("gain")).where("image is not null")
+
+
+def read_camera_file(spark: SparkSession, path: str) -> DataFrame:
+    """serial, k (9), r (9), t (3), mask, image and timestamp of a camera file, one row for each image; a small file."""
+    rows = _numbered(spark, path)
+    numbers = lambda n, c: F.max(F.when(F.col("n") == n, F.transform("t", lambda v: v.try_cast("double")))).alias(c)
+    head = rows.agg(F.max(F.when(F.col("n") == 0, F.get("t", 0))).alias("serial"), numbers(1, "k"), numbers(2, "r"), numbers(3, "tr"), F.max_by(F.get("t", 0), "n").alias("mask"))
+    images = rows.where("n > 3 and size(t) = 2").select(F.get("t", 0).alias("image"), _num(1).alias("timestamp"))
+    return images.join(F.broadcast(head)).withColumnRenamed("tr", "translation")  # the header is one row
+
+
+def read_panorama_list(spark: SparkSession, path: str) -> DataFrame:
+    """file, timestamp and the position of each panorama of a list: lines of a file name and numbers after four header lines."""
+    rows = _numbered(spark, path).where("n >= 4 and size(t) >= 5")
+    return rows.select(F.get("t", 0).alias("file"), *[_num(i + 1).alias(c) for i, c in enumerate(("timestamp", "x", "y", "z"))])
+
+
+def read_mesh_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices (v, x, y, z) and faces (f, vertices) of an ascii PLY file whose vertices begin with x y z; its lines count."""
+    rows = _numbered(spark, path)
+    end = rows.where(F.get("t", 0) == "end_header").agg(F.max("n").alias("end"))
+    sizes = rows.where(F.get("t", 0) == "element").agg(*[F.max(F.when(F.get("t", 1) == k, _num(2, "int"))).alias(f"n{k}") for k in ("vertex", "face")])
+    body = rows.join(F.broadcast(end)).join(F.broadcast(sizes)).withColumn("m", F.col("n") - F.col("end") - 1).where("m >= 0")  # one row each
+    verts = body.where("m < nvertex").select(F.col("m").alias("v"), *[_num(i).alias(c) for i, c in enumerate("xyz")])
+    corners = F.transform(F.slice(F.col("t"), F.lit(2), _num(0, "int")), lambda w: w.try_cast("int"))
+    return verts, body.where("m >= nvertex and m < nvertex + nface").select((F.col("m") - F.col("nvertex")).alias("f"), corners.alias("vertices"))
