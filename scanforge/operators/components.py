@@ -98,6 +98,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
