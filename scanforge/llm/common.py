@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import checkpoint_folder, connected_components, cut, local_roots, stored
 
-__all__ = ["checkpoint_folder", "connected_components", "cut", "held_out", "local_roots", "slices", "stored", "table"]
+__all__ = ["bound_batches", "checkpoint_folder", "connected_components", "cut", "held_out", "local_roots", "slices", "stored", "table"]
 
 SPLIT_MODULUS = 3
 HELD_OUT_REMAINDER = 1
@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Let Arrow batches to Python hold at most `size` bytes, as texts may be long; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(key, None) or "").lower().rstrip("b")
+    if not now.isdigit() or int(now) > size:
+        spark.conf.set(key, str(size))
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for the rows kept away from training: crc32 of the id as text, mod 3, is 1. Null ids are held out."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

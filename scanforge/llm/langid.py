@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import bound_batches, held_out
 from .hashing import hashed_ngrams
 
 BITS = 12
@@ -133,6 +133,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     Features are taken on the executors; the driver gets `sample` vectors of 2 ** BITS numbers at most. Without any labelled
     document the model knows no language and predicts `und`.
     """
+    bound_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     ids = known.groupBy("doc_id").agg(F.min("lang").alias("only")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 

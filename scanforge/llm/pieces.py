@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 UNK_PENALTY = 10.0
@@ -331,6 +333,7 @@ def coding_report(docs, model: PieceModel, id_col: str = "doc_id", text_col: str
 
     Encoding and decoding share one Python worker, which keeps a single copy of the model.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .hashing import hashed_ngrams
 
 SAMPLE = 3000
@@ -124,6 +125,7 @@ def classify_quality(docs: DataFrame, sample: int = SAMPLE, threshold: float = T
     The label model is fitted on the votes over all documents, counted by pattern (3 ** LABELLERS patterns at most reach the
     driver); the scorer on the posteriors of at most `sample` documents, the first by hash of the id. Null texts are empty.
     """
+    bound_batches(docs.sparkSession)
     counted = docs.select(_vote_column(F.col("text")).alias("v")).groupBy("v").count().collect()
     if not counted:
         return docs.select("doc_id", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("keep"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 from . import pieces
 from .html import extract_text
 from .langid import identify_language
@@ -57,6 +57,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url", extract_text("html").alias("text"))
     return pages.withColumn("n_chars", F.char_length("text").cast("long"))
 

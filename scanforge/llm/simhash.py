@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, local_roots, slices
+from .common import bound_batches, connected_components, cut, local_roots, slices
 
 SHINGLE = 3
 SEED = 42
@@ -131,7 +131,7 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, leaf_size: int = LEA
 
     The tree is fitted on at most `sample` fingerprints; every fingerprint is then sent to the shard it lies in and visits
     each shard that its ball of the radius overlaps, so that the pairs found are exact. Shards with more than HOME_CHUNK
-    points of their own are split, and visited in every part.
+    points of their own are split, visitors as well, and each part of the one meets each part of the other.
     """
     spark = fps.sparkSession
     n = fps.count()
@@ -152,23 +152,25 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, leaf_size: int = LEA
     if parts:
         split = spark.createDataFrame(list(parts.items()), "leaf long, parts long")
         routed = routed.join(F.broadcast(split), "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("parts"))
-        # a point is at home in its own part, and a visitor in every other one
-        routed = routed.withColumn("part", F.explode(F.expr("sequence(cast(0 as bigint), parts - 1)"))).withColumn("home", F.col("home") & (F.col("part") == own))
+        own, every = F.pmod(F.xxhash64("fp"), F.col("parts")), F.expr("sequence(cast(0 as bigint), parts - 1)")
+        # every part of the points at home meets every part of the visitors in a task of its own
+        routed = routed.withColumn("own", own).withColumn("part", F.explode(every)).withColumn("against", F.explode(every))
+        routed = routed.withColumn("visits", F.col("against") == F.col("own")).withColumn("home", F.col("home") & (F.col("part") == F.col("own"))).where("home or visits")
     else:
-        routed = routed.withColumn("part", F.lit(0).cast("long"))
+        zero = F.lit(0).cast("long")
+        routed = routed.withColumns({"part": zero, "against": zero, "visits": F.lit(True)})
 
     def link(tab: pa.Table) -> pa.Table:
-        fp, home = tab.column("fp").to_numpy().view(np.uint64), tab.column("home").to_numpy()
-        mine = np.flatnonzero(home)
-        i, j = close_pairs(fp[mine], fp, radius)
-        i = mine[i]
+        fp, home, visits = tab.column("fp").to_numpy().view(np.uint64), tab.column("home").to_numpy(), tab.column("visits").to_numpy()
+        mine, there = np.flatnonzero(home), np.flatnonzero(visits)
+        i, j = close_pairs(fp[mine], fp[there], radius)
+        i, j = mine[i], there[j]
         i, j = i[i != j], j[i != j]
         root = local_roots(i, j, fp.size)
         has = root != np.arange(fp.size)
         return pa.table({"a": fp[has].view(np.int64), "b": fp[root[has]].view(np.int64)})
 
-    pairs = routed.select("leaf", "part", "fp", "home").groupBy("leaf", "part").applyInArrow(link, "a long, b long")
+    pairs = routed.select("leaf", "part", "against", "fp", "home", "visits").groupBy("leaf", "part", "against").applyInArrow(link, "a long, b long")
     return connected_components(pairs).select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
@@ -186,6 +188,7 @@ def near_duplicate_texts(docs: DataFrame, shingle: int = SHINGLE, radius: int =
 
 def _named(docs, shingle, radius, id_col, text_col):
     """(doc_id, fp) of every row, and (fp, component_id) of every fingerprint."""
+    bound_batches(docs.sparkSession)
     prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
     prints = cut(prints)
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import bound_batches, slices, stored
 from .windows import Rolling, anchors, pieces
 
 WINDOW = 400
@@ -209,6 +209,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     to the full depth within groups of one gram. A gram with more than `wide` contexts is spread over window hashes instead
     of meeting in one task. Copies are merged by partial aggregation before they are shuffled.
     """
+    bound_batches(docs.sparkSession)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
     again = base.select("text").mapInArrow(_anchor_rows(window, gram, False), "gram long").groupBy("gram").count().where("count > 1").select("gram")
     again = stored(again)  # as a table, the join below exchanges both sides, and Spark can split a gram that is in many places

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import bound_batches, held_out
 
 WINDOW = 40
 ORDINARY_DICTIONARY = 8192
@@ -156,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE, or
 
     Texts over SAMPLE_BYTES bytes and null texts are not trained on. Of repeated labels the highest counts.
     """
+    bound_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     ids = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic_sample).union(known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(ordinary_sample))
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))

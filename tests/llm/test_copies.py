@@ -71,6 +71,17 @@ def test_simhash_against_brute_force(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(groups, key=str)
 
 
+def test_split_shards_link_the_same(spark, monkeypatch):
+    import scanforge.llm.simhash as H
+
+    rnd = random.Random(5)
+    fps = {rnd.getrandbits(62) for _ in range(200)} | {7 ^ (1 << rnd.randrange(60)) ^ (1 << rnd.randrange(60)) for _ in range(60)}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    whole = sorted(map(tuple, H.link_fingerprints(df, 2, leaf_size=64).collect()))
+    monkeypatch.setattr(H, "HOME_CHUNK", 10)
+    assert sorted(map(tuple, H.link_fingerprints(df, 2, leaf_size=64).collect())) == whole and whole
+
+
 def test_simhash_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert near_duplicate_texts(empty).count() == 0 and one_of_each(empty).count() == 0
