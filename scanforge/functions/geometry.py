@@ -300,3 +300,49 @@ def face_position_variance(pa: Column, pb: Column, va: Column, vb: Column, gap:
 
 def face_area(hw_a: Column, hw_b: Column) -> Column:
     return 4 * F.least(hw_a, hw_b) * F.least(hw_a, hw_b)
+
+
+def polygon_normal(points: Column) -> list[Column]:
+    """Unit normal of an array of struct<x, y, z>, from the areas of its shadows on the three planes."""
+    n = F.size(points)
+
+    def area(u, v):
+        parts = F.transform(points, lambda p, i: (p[u] - F.get(points, (i + 1) % n)[u]) * (p[v] + F.get(points, (i + 1) % n)[v]))
+        return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+
+    raw = [area("y", "z"), area("z", "x"), area("x", "y")]
+    return [F.try_divide(c, norm(raw)) for c in raw]
+
+
+def nearest_on_planes(p: Vector, n1: Vector, d1: Column, n2: Vector, d2: Column) -> list[Column]:
+    """The point nearest to p on both planes n . q = d: p moved within the span of the normals; null if they are parallel."""
+    a, b, c = dot(n1, n1), dot(n1, n2), dot(n2, n2)
+    e, f = d1 - dot(n1, p), d2 - dot(n2, p)
+    det = a * c - b * b
+    s, t = F.try_divide(e * c - f * b, det), F.try_divide(f * a - e * b, det)
+    return [x + u * s + v * t for x, u, v in zip(p, n1, n2)]
+
+
+def window_corners(a: Vector, b: Vector, floor: Column, ceiling: Column, min_h: Column, min_v: Column, max_h: Column, max_v: Column) -> list[list[Column]]:
+    """World corners of a window on the wall from a to b, positions along and up the wall being shares from 0 to 1."""
+    def at(h, v):
+        return [a[0] + (b[0] - a[0]) * h, a[1] + (b[1] - a[1]) * h, floor + (ceiling - floor) * v]
+
+    return [at(min_h, min_v), at(max_h, min_v), at(max_h, max_v), at(min_h, max_v)]
+
+
+def shared_edge(low_a: Vector, high_a: Vector, low_b: Vector, high_b: Vector) -> tuple[list[Column], list[Column]]:
+    """Lowest and highest corner of what two touching boxes share."""
+    return [F.greatest(x, y) for x, y in zip(low_a, low_b)], [F.least(x, y) for x, y in zip(high_a, high_b)]
+
+
+def from_gravity(ax: Column, ay: Column, az: Column, heading: Column) -> tuple[Column, Column, Column]:
+    """Roll, pitch and yaw of a resting sensor from its acceleration and a heading."""
+    return F.atan2(ay, az), F.atan2(-ax, F.sqrt(ay * ay + az * az)), heading
+
+
+def face_planarity(pa: Column, pb: Column, sa: Column, sb: Column) -> Column:
+    """Planarity between two leaves at the place where their probability passes 0.5."""
+    t = F.try_divide(0.5 - pa, pb - pa)
+    f = F.when(t.between(0.0, 1.0), t).otherwise(0.5)
+    return sa * (1 - f) + sb * f

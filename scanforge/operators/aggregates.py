@@ -267,3 +267,43 @@ def fit_lines(df: DataFrame, by: list[str]) -> DataFrame:
 def keep_rate(df: DataFrame, time_ms: str, by: list[str], rate: float = 40.0) -> DataFrame:
     """Scans received as a share of those expected over the time spanned."""
     return df.groupBy(*by).agg(F.try_divide(F.count("*"), (F.max(time_ms) - F.min(time_ms)) * rate / 1000).alias("keep_rate"))
+
+
+def flip_leaf(states: DataFrame) -> DataFrame:
+    """Leaves with the other side of their probability: one sample of 1 - probability and the same weight."""
+    p = 1 - probability()
+    return states.withColumns({"prob_sum": p * F.col("total_weight"), "prob_sum_sq": p * p * F.col("total_weight"), "count": F.lit(1).cast("long")})
+
+
+def mean_heading(df: DataFrame, by: list[str], vector=("mx", "my")) -> DataFrame:
+    """Direction of the mean of unit vectors, such as magnetometer readings turned into the world; null where they cancel."""
+    n = F.sqrt(F.col(vector[0]) * F.col(vector[0]) + F.col(vector[1]) * F.col(vector[1]))
+    unit = [F.try_divide(F.col(v), n) for v in vector]
+    return df.groupBy(*by).agg(F.avg(unit[0]).alias("x"), F.avg(unit[1]).alias("y")).withColumn("heading", F.when((F.col("x") != 0) | (F.col("y") != 0), F.atan2("y", "x"))).drop("x", "y")
+
+
+def neighbourhood_sums(cells: DataFrame, value: str, reach: int = 1) -> DataFrame:
+    """Sum of a value over the cells (i0, i1) that at most `reach` steps through existing 4-neighbours lead to, itself included.
+
+    Each step spreads the set of cells reached by an equi-join, so that gaps block; the sets have at most 2 r^2 + 2 r + 1 cells.
+    """
+    moves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
+    there = cells.select(F.col("i0").alias("j0"), F.col("i1").alias("j1"))
+    reached = cells.select("i0", "i1", F.col("i0").alias("j0"), F.col("i1").alias("j1"))
+    for _ in range(reach):
+        step = reached.withColumn("m", F.explode(moves)).select("i0", "i1", (F.col("j0") + F.col("m.a")).alias("j0"), (F.col("j1") + F.col("m.b")).alias("j1")).distinct()
+        reached = step.join(there, ["j0", "j1"], "left_semi")
+    values = cells.select(F.col("i0").alias("j0"), F.col("i1").alias("j1"), F.col(value).alias("v"))
+    return reached.join(values, ["j0", "j1"]).groupBy("i0", "i1").agg(F.sum("v").alias("total"))
+
+
+def lit_components(pixels: DataFrame, brightness: str, least: float, least_area: int, watts_per_pixel: float) -> DataFrame:
+    """One row a lamp: pixels (row, col) at least as bright as `least`, in 4-connected groups of `least_area` or more, with its watts."""
+    from .sets import components_of
+    from .volume import shifted
+
+    bright = pixels.where(F.col(brightness) >= least).select(F.col("row").cast("long").alias("i0"), F.col("col").cast("long").alias("i1"))
+    at = bright.select("i0", "i1", (F.col("i0") * F.lit(1 << 31) + F.col("i1")).alias("node"))
+    near = shifted(at, ["i0", "i1"], [(1, 0), (0, 1)]).withColumnRenamed("node", "u").join(at.withColumnRenamed("node", "v"), ["i0", "i1"])
+    found = components_of(at, near.select("u", "v"))
+    return found.groupBy("number").agg(F.count("*").alias("area")).where(F.col("area") >= least_area).withColumn("watts", F.col("area") * float(watts_per_pixel))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, cut
@@ -39,7 +39,7 @@ def open_sides(interior: DataFrame) -> DataFrame:
 
 def leaf_voxels(leaves: DataFrame, depth: int) -> DataFrame:
     """Voxels of one depth that leaves (depth, ix, iy, iz) of smaller or equal depth consist of."""
-    out = leaves.withColumn("n", F.shiftleft(F.lit(1), (F.lit(depth) - F.col("depth")).cast("int")))
+    out = leaves.withColumn("n", F.pow(F.lit(2.0), F.lit(depth) - F.col("depth")).cast("long"))
     for a in ("ix", "iy", "iz"):
         out = out.withColumn(a, F.explode(F.sequence((F.col(a) * F.col("n")).cast("long"), (F.col(a) * F.col("n") + F.col("n") - 1).cast("long"))))
     return out.drop("n").withColumn("depth", F.lit(depth))
@@ -165,3 +165,64 @@ def offset_search(walls: DataFrame, offsets: list[float], cost: Column, key: str
     tried = walls.withColumn("shift", F.explode(F.array(*[F.lit(float(o)) for o in offsets]))).withColumn("cost", cost)
     best = tried.groupBy(key).agg(F.min(F.struct("cost", F.abs("shift").alias("size"), "shift")).alias("m"))
     return best.select(key, F.col("m.shift").alias("shift"), F.col("m.cost").alias("cost"))
+
+
+def missing_children(leaves: DataFrame) -> DataFrame:
+    """Empty siblings (depth, ix, iy, iz) that complete each parent which has some children."""
+    axes = ["ix", "iy", "iz"]
+    parents = leaves.select("depth", *[F.shiftright(a, 1).alias(a) for a in axes]).distinct()
+    octants = F.array(*[F.struct(*[F.lit(v).alias(f"o{a}") for a, v in zip("xyz", o)]) for o in [(x, y, z) for x in (0, 1) for y in (0, 1) for z in (0, 1)]])
+    full = parents.withColumn("o", F.explode(octants)).select("depth", *[(F.shiftleft(F.col(a), 1) + F.col(f"o.o{a[1]}")).alias(a) for a in axes])
+    return full.join(leaves.select("depth", *axes), ["depth", *axes], "left_anti")
+
+
+def refine_chunks(cells: DataFrame, objects: DataFrame, factor: int) -> DataFrame:
+    """The cells (i0, i1, i2) to carve anew, `factor` times finer, where objects lie."""
+    axes = ["i0", "i1", "i2"]
+    out = cells.join(objects.select(*axes).distinct(), axes, "left_semi")
+    for a in axes:
+        out = out.withColumn(a, F.explode(F.sequence(F.col(a) * factor, F.col(a) * factor + factor - 1)))
+    return out
+
+
+def straight_corners(loops: DataFrame, error: float = 1e-9) -> DataFrame:
+    """Vertices (loop, position, x, y) of closed loops without those on the straight line between their neighbours."""
+    w = Window.partitionBy("loop").orderBy("position")
+    ends = Window.partitionBy("loop")
+    first, last = F.min(F.struct("position", "x", "y")).over(ends), F.max(F.struct("position", "x", "y")).over(ends)
+    near = {f"{s}{a}": F.coalesce(f(a).over(w), wrap[a]) for s, f, wrap in (("p", F.lag, last), ("n", F.lead, first)) for a in ("x", "y")}
+    turn = (F.col("x") - F.col("px")) * (F.col("ny") - F.col("py")) - (F.col("y") - F.col("py")) * (F.col("nx") - F.col("px"))
+    return loops.withColumns(near).where(F.abs(turn) > error).drop("px", "py", "nx", "ny")
+
+
+def flood_rooms(triangles: DataFrame, borders: DataFrame, seeds: DataFrame, by: str) -> DataFrame:
+    """(by, t, room): rooms grow from seed triangles over the longest shared edge first, each triangle taking the first to come.
+
+    triangles: by, t; borders: by, u, v, length; seeds: by, t, room. The order of growth is the definition, so each storey is one task.
+    """
+    kind = triangles.schema[by].dataType.simpleString()
+    none = lambda c, k: F.lit(None).cast(k).alias(c)
+    rows = triangles.select(by, F.col("t").cast("long").alias("t"), none("v", "long"), none("length", "double"), none("room", "long"))
+    rows = rows.unionByName(borders.select(by, F.col("u").cast("long").alias("t"), F.col("v").cast("long").alias("v"), F.col("length").cast("double").alias("length"), none("room", "long")))
+    rows = rows.unionByName(seeds.select(by, F.col("t").cast("long").alias("t"), none("v", "long"), none("length", "double"), F.col("room").cast("long").alias("room")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        link, seed = pdf[pdf["v"].notna()], pdf[pdf["room"].notna()]
+        near: dict[int, list] = {}
+        for a, b, n in zip(link["t"], link["v"], link["length"]):
+            near.setdefault(int(a), []).append((n, int(b)))
+            near.setdefault(int(b), []).append((n, int(a)))
+        heap = [(-float("inf"), int(r), int(t)) for t, r in zip(seed["t"], seed["room"])]
+        heapq.heapify(heap)
+        room: dict[int, int] = {}
+        while heap:
+            _, r, t = heapq.heappop(heap)
+            if t not in room:
+                room[t] = r
+                for n, o in near.get(t, ()):
+                    if o not in room:
+                        heapq.heappush(heap, (-n, r, o))
+        own = sorted(pdf[pdf["v"].isna() & pdf["room"].isna()]["t"].unique())
+        return pd.DataFrame({by: pdf[by].iloc[0], "t": own, "room": [room.get(int(t), -1) for t in own]})
+
+    return rows.groupBy(by).applyInPandas(run, f"{by} {kind}, t long, room long")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import camera as M
 from ..functions import geometry as G
+from ..operators import aggregates as A
 from ..operators import carving as C
 from ..operators import mesh as S
+from ..operators import volume as V
 from .geometry_queries import _P2, _P3, plane_points, space_points, voxels
 from .inputs import points, samples, sql, table
 from .registry import query, round_all
@@ -140,3 +142,69 @@ def blended_colour(spark, sf_dir):
 @query("j28_first_room_images", "SELECT room, count(*) AS images FROM (SELECT l_orderkey, min(l_suppkey % 30) AS room FROM lineitem GROUP BY 1) GROUP BY room")
 def first_room_images(spark, sf_dir):
     return M.first_room_images(table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 30).alias("room")), "l_orderkey", "room")
+
+
+@query("x19_x20_boxes", f"WITH {_P2} SELECT k, px <= 4 AND 1 <= px + 2 AND py <= 5 AND 1 <= py + 2 AS meet FROM p")
+def boxes(spark, sf_dir):
+    x, y = F.col("px"), F.col("py")
+    return plane_points(spark, sf_dir).select("k", G.boxes_meet([x, y], [x + 2, y + 2], G.lits(1, 1), G.lits(4, 5)).alias("meet"))
+
+
+@query("x35_x36_attitude", f"WITH {_P3} SELECT k, round(atan2(ay, az + 0.5), 8) AS roll, round(atan2(-ax, sqrt(ay * ay + (az + 0.5) * (az + 0.5))), 8) + 0 AS pitch, round(ay, 6) AS east, round(-az, 6) + 0 AS up FROM p")
+def attitude(spark, sf_dir):
+    roll, pitch, _ = G.from_gravity(F.col("ax"), F.col("ay"), F.col("az") + 0.5, F.lit(0.0))
+    enu = G.ned_to_enu(G.vec("ax", "ay", "az"))
+    return space_points(spark, sf_dir).select("k", F.round(roll, 8).alias("roll"), (F.round(pitch, 8) + 0.0).alias("pitch"), F.round(enu[0], 6).alias("east"), (F.round(enu[2], 6) + 0.0).alias("up"))
+
+
+@query("x66_tetrahedra", f"WITH {_P3} SELECT k, ax / 10 >= 0 AND ay / 10 >= 0 AND az / 10 >= 0 AND ax / 10 + ay / 10 + az / 10 <= 1.00001 AS inside FROM p")
+def tetrahedra(spark, sf_dir):
+    p = [F.col(c) / 10 for c in ("ax", "ay", "az")]
+    return space_points(spark, sf_dir).select("k", G.in_tetrahedron(p, *[G.lits(*v) for v in ((0, 0, 0), (1.00001, 0, 0), (0, 1.00001, 0), (0, 0, 1.00001))]).alias("inside"))
+
+
+@query("x67_three_planes", f"WITH {_P3} SELECT k, round(ax + 1, 8) AS x, round((ay + 2) / 2, 8) AS y, round(az - ax - 1, 8) + 0 AS z FROM p")
+def three_planes(spark, sf_dir):
+    q = G.three_planes([G.lits(1, 0, 0), G.lits(0, 2, 0), G.lits(1, 0, 1)], [F.col("ax") + 1, F.col("ay") + 2, F.col("az")])
+    return space_points(spark, sf_dir).select("k", F.round(q[0], 8).alias("x"), F.round(q[1], 8).alias("y"), (F.round(q[2], 8) + 0.0).alias("z"))
+
+
+@query("x79_window_corners", "SELECT p_partkey AS k, round(p_size * 0.25, 6) AS x, round(2.5 * (p_partkey % 4 * 0.25), 6) AS z FROM part")
+def window_corners(spark, sf_dir):
+    s, k = F.col("p_size").cast("double"), F.col("p_partkey") % 4 * 0.25
+    c = G.window_corners([F.lit(0.0), F.lit(0.0)], [s, F.lit(0.0)], F.lit(0.0), F.lit(2.5), F.lit(0.25), k, F.lit(0.75), F.lit(1.0))[0]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.round(c[0], 6).alias("x"), F.round(c[2], 6).alias("z"))
+
+
+@query("a30_neighbourhood_sums", sql(", c AS (SELECT CAST(floor(x / 4) AS BIGINT) AS i0, CAST(floor(y / 4) AS BIGINT) AS i1, CAST(count(*) AS DOUBLE) AS v FROM points GROUP BY ALL) SELECT c.i0, c.i1, sum(o.v) AS total FROM c JOIN c o ON abs(c.i0 - o.i0) + abs(c.i1 - o.i1) <= 1 GROUP BY ALL", "points"))
+def neighbourhood_sums(spark, sf_dir):
+    cells = points(spark, sf_dir).groupBy(A.cell_key("x", 4.0).alias("i0"), A.cell_key("y", 4.0).alias("i1")).agg(F.count("*").cast("double").alias("v"))
+    return A.neighbourhood_sums(cells, "v", 1)
+
+
+@query("a50_mean_heading", "SELECT user_id, round(atan2(avg(sin(value)), avg(cos(value))), 8) AS heading FROM events GROUP BY 1")
+def mean_heading(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", (3 * F.cos("value")).alias("mx"), (3 * F.sin("value")).alias("my"))
+    return round_all(A.mean_heading(e, ["user_id"]), 8)
+
+
+@query("g17_missing_children", "WITH l AS (SELECT DISTINCT 5 AS depth, p_partkey % 32 AS ix, (p_partkey // 32) % 32 AS iy, p_size % 32 AS iz FROM part), o AS (SELECT a.x, b.y, c.z FROM (VALUES (0), (1)) a(x), (VALUES (0), (1)) b(y), (VALUES (0), (1)) c(z)), f AS (SELECT DISTINCT depth, ix // 2 * 2 + x AS ix, iy // 2 * 2 + y AS iy, iz // 2 * 2 + z AS iz FROM l, o) SELECT depth, ix, iy, CAST(iz AS BIGINT) AS iz FROM f WHERE (ix, iy, iz) NOT IN (SELECT (ix, iy, iz) FROM l)")
+def missing_children(spark, sf_dir):
+    k = F.col("p_partkey")
+    leaves = table(spark, sf_dir, "part").select(F.lit(5).alias("depth"), (k % 32).alias("ix"), (F.floor(k / 32) % 32).alias("iy"), (F.col("p_size") % 32).cast("long").alias("iz")).distinct()
+    return V.missing_children(leaves)
+
+
+@query("k25_leaf_voxels", "WITH l AS (SELECT DISTINCT 3 AS depth, p_partkey % 8 AS ix, p_size % 8 AS iy, p_partkey % 5 AS iz FROM part) SELECT 4 AS depth, CAST(ix * 2 + x AS BIGINT) AS ix, CAST(iy * 2 + y AS BIGINT) AS iy, CAST(iz * 2 + z AS BIGINT) AS iz FROM l, (VALUES (0), (1)) a(x), (VALUES (0), (1)) b(y), (VALUES (0), (1)) c(z)")
+def leaf_voxels(spark, sf_dir):
+    k = F.col("p_partkey")
+    return V.leaf_voxels(table(spark, sf_dir, "part").select(F.lit(3).alias("depth"), (k % 8).alias("ix"), (F.col("p_size") % 8).alias("iy"), (k % 5).alias("iz")).distinct(), 4)
+
+
+@query("g04_flood_rooms")
+def flood_rooms(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("level"), F.col("o_orderkey").alias("t"))
+    nxt = F.lead("t").over(Window.partitionBy("level").orderBy("t"))
+    borders = o.select("level", F.col("t").alias("u"), nxt.alias("v"), (F.col("t") % 13 + 1.0).alias("length")).where("v is not null")
+    ranked = o.withColumn("room", F.row_number().over(Window.partitionBy("level").orderBy(F.xxhash64("t"))))
+    return V.flood_rooms(o, borders, ranked.where("room <= 5"), "level")

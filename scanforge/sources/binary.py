@@ -283,3 +283,33 @@ def read_las(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame({**dict(zip("xyz", xyz.T)), **{c: v.astype("int32") for c, v in zip("rgb", rgb.T)}, "index": np.zeros(len(part), "int32"), "timestamp": time, "valid": True})
 
     return _read(spark, path, decode, "x double, y double, z double, r int, g int, b int, index int, timestamp double, valid boolean").drop("path")
+
+
+PATH_POSE = np.dtype([(n, "<f8") for n in ("timestamp", "x", "y", "z", "roll", "pitch", "yaw")])
+
+
+def read_path(spark: SparkSession, path: str) -> DataFrame:
+    """Poses of a path file: NED positions in metres, angles in degrees. The order of times is not checked; see out_of_order."""
+    def decode(b):
+        rests = struct.unpack_from("<I", b)[0]
+        at = 4 + 16 * rests
+        return _records(b, PATH_POSE, struct.unpack_from("<I", b, at)[0], at + 4)
+
+    return _read(spark, path, decode, ", ".join(f"{n} double" for n in PATH_POSE.names))
+
+
+def read_path_rests(spark: SparkSession, path: str) -> DataFrame:
+    """Rest intervals (t0, t1) of a path file."""
+    return _read(spark, path, lambda b: _records(b, np.dtype([("t0", "<f8"), ("t1", "<f8")]), struct.unpack_from("<I", b)[0], 4), "t0 double, t1 double")
+
+
+def encode_path(poses: pd.DataFrame, rests: list[tuple[float, float]] = ()) -> bytes:
+    rec = np.zeros(len(poses), PATH_POSE)
+    for n in PATH_POSE.names:
+        rec[n] = poses[n]
+    return struct.pack("<I", len(rests)) + b"".join(struct.pack("<2d", *r) for r in rests) + struct.pack("<I", len(poses)) + rec.tobytes()
+
+
+def encode_carve_map(frames: list[tuple[list[float], list[list[float]]]]) -> bytes:
+    """A carve map of (9 numbers of the sensor, points of 11 numbers) for each frame."""
+    return b"carvmap\0" + struct.pack("<Q", len(frames)) + b"".join(struct.pack("<Q9d", len(pts), *sensor) + b"".join(struct.pack("<11d", *p) for p in pts) for sensor, pts in frames)

@@ -183,3 +183,32 @@ def read_mesh_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     verts = body.where("m < nvertex").select(F.col("m").alias("v"), *[_num(i).alias(c) for i, c in enumerate("xyz")])
     corners = F.transform(F.slice(F.col("t"), F.lit(2), _num(0, "int")), lambda w: w.try_cast("int"))
     return verts, body.where("m >= nvertex and m < nvertex + nface").select((F.col("m") - F.col("nvertex")).alias("f"), corners.alias("vertices"))
+
+
+def read_chunk_list(spark: SparkSession, path: str) -> DataFrame:
+    """chunk_id, cx, cy, cz, hw of a chunk manifest: one row for each chunk, with the cube of the whole volume. Header lines may come in any order."""
+    rows = _numbered(spark, path)
+    first = F.get("t", 0)
+    end = rows.where(first == "end_header").agg(F.max("n").alias("end"))
+    value = lambda key, i: F.max(F.when(first == key, _num(i)))
+    cube = rows.agg(*[value("center", i + 1).alias(c) for i, c in enumerate(("cx", "cy", "cz"))], value("halfwidth", 1).alias("hw"))
+    return rows.join(F.broadcast(end)).where("n > end").select(first.alias("chunk_id")).join(F.broadcast(cube))  # one row each
+
+
+def read_transforms(spark: SparkSession, path: str, row_tag: str = "sensor") -> DataFrame:
+    """sensor, enabled, r (9), t (3) of a hardware XML file, whose elements hold name, enable, R and T as words; no enable means yes."""
+    rows = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False).load(path)
+    name = "name" if "name" in rows.columns else "_name"
+    numbers = lambda c: F.transform(F.split(F.trim(F.col(c)), r"[\s,]+"), lambda v: v.try_cast("double"))
+    on = F.coalesce(F.lower("enable").isin("1", "true", "yes"), F.lit(True)) if "enable" in rows.columns else F.lit(True)
+    return rows.select(F.col(name).alias("sensor"), on.alias("enabled"), numbers("R").alias("r"), numbers("T").alias("t"))
+
+
+def read_camera_log(spark: SparkSession, path: str) -> DataFrame:
+    """image, file, camera_time, exposure, gain of lines that begin with the file."""
+    return _tokens(spark, path).where(F.size("t") >= 5).select(_num(1, "int").alias("image"), F.get("t", 0).alias("file"), _num(2).alias("camera_time"), _num(3).alias("exposure"), _num(4).alias("gain")).where("image is not null")
+
+
+def read_frame_list(spark: SparkSession, path: str) -> DataFrame:
+    """frame, file, timestamp of the index of depth maps, normal maps or depth video: lines of a number, a file and a time."""
+    return _tokens(spark, path).where(F.size("t") >= 3).select(_num(0, "int").alias("frame"), F.get("t", 1).alias("file"), _num(2).alias("timestamp")).where("frame is not null and timestamp is not null")
