@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import probability as P
 from .aggregates import leaf_statistics
 from .joins import segment_cells
+from .windows import next_values, running_count
 
 #: Order of the upper triangle of a covariance.
 UPPER = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
@@ -64,13 +65,12 @@ def wedges(points: DataFrame, frame: str = "frame", point: str = "point") -> Dat
     """
     w = Window.partitionBy(frame).orderBy(point)
     dense = points.select(F.col(frame).alias("frame"), (F.row_number().over(w) - 1).alias("i"), F.col(point).alias("p"), F.lead(point).over(w).alias("q"))
-    order = dense.groupBy("frame").agg(F.count("*").alias("n"))
-    order = order.withColumn("next", F.lead("frame").over(Window.orderBy("frame")))
+    order = next_values(dense.select("frame").distinct(), "frame", "next")
     pairs = dense.where("q is not null").join(order.where("next is not null").select("frame", "next"), "frame")
     other = dense.where("q is not null").select(F.col("frame").alias("next"), "i", F.col("p").alias("b1"), F.col("q").alias("b2"))
     full = pairs.join(other, ["next", "i"]).select(F.col("frame").alias("frame_a"), F.col("p").alias("a1"), F.col("q").alias("a2"), F.col("next").alias("frame_b"), "b1", "b2")
     per = full.groupBy("frame_a").agg(F.count("*").alias("m"))
-    base = per.withColumn("base", F.coalesce(F.sum("m").over(Window.orderBy("frame_a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
+    base = running_count(per, ["frame_a"], "base", F.col("m")).drop("m")
     nth = F.row_number().over(Window.partitionBy("frame_a").orderBy("a1")) - 1
     return full.join(base, "frame_a").withColumn("wedge_id", F.col("base") + nth).drop("base")
 

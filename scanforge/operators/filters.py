@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import running_count
+
 ALL, VALID, INVALID = "ALL", "VALID", "INVALID"
 
 
@@ -26,15 +28,19 @@ def kill(df: DataFrame, scope: str = ALL) -> DataFrame:
 def decimate(df: DataFrame, every: int, order: list[str], scope: str = ALL, partition: list[str] | None = None) -> DataFrame:
     """Of the rows in scope, numbered from 0 in the given order, all but rows 0, every, 2 * every ... become invalid.
 
-    The order is total over the data or, with `partition`, within each partition, which then runs in parallel. `every` below 1
+    The order is total over the data or, with `partition`, within each partition; either way the work is spread. `every` below 1
     counts as 1; the INVALID scope changes nothing.
     """
     every = max(1, int(every))
     if scope.upper() == INVALID:
         return df
-    w = (Window.partitionBy(*partition) if partition else Window.partitionBy()).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(in_scope(scope).cast("long")).over(w), F.lit(0))
-    return df.withColumn("valid", F.col("valid") & F.when(in_scope(scope), before % every == 0).otherwise(F.col("valid")))
+    if partition:
+        w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("__before", F.coalesce(F.sum(in_scope(scope).cast("long")).over(w), F.lit(0)))
+    else:
+        df = running_count(df, order, "__before", in_scope(scope))
+    keep = F.when(in_scope(scope), F.col("__before") % every == 0).otherwise(F.col("valid"))
+    return df.withColumn("valid", F.col("valid") & keep).drop("__before")
 
 
 def partition_plane(df: DataFrame, normal, point) -> DataFrame:

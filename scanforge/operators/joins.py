@@ -178,18 +178,17 @@ def face_neighbours(leaves: DataFrame, key: str = "leaf") -> DataFrame:
     """
     axes = "xyz"
     out = None
+    top = leaves.agg(F.max(F.floor(F.log2(F.col("hw"))))).first()[0] or 0
     for n, axis in enumerate(axes):
         u, v = (axes[(n + k) % 3] for k in (1, 2))
 
         def side(sign, name):
             return leaves.select(F.col(key).alias(name), F.round(F.col(f"c{axis}") + sign * F.col("hw"), 9).alias("plane"), *[F.col(f"c{w}").alias(f"{name}_{w}") for w in (u, v)], F.col("hw").alias(f"{name}_hw"), F.floor(F.log2(F.col("hw"))).alias(f"{name}_d"))
         up, low = side(1, "a"), side(-1, "b")
-        sizes = leaves.select(F.floor(F.log2(F.col("hw"))).alias("d")).distinct()
-
         def meet(df, name):
             # a row meets those of its own size and larger ones in cells of the larger size; there are as many sizes as depths
             cells = {f"c{k}": F.floor(F.col(f"{name}_{w}") / F.pow(F.lit(2.0), F.col("d") + 2)) for k, w in enumerate((u, v))}
-            return df.crossJoin(F.broadcast(sizes)).where(F.col("d") >= F.col(f"{name}_d")).withColumns(cells)
+            return df.withColumn("d", F.explode(F.sequence(F.col(f"{name}_d"), F.lit(top)))).withColumns(cells)
 
         def spread(df):
             for k in range(2):

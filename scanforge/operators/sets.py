@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .windows import running_count
 
 
 def coalesce_intervals(df: DataFrame, start: str, end: str, by: list[str] | None = None) -> DataFrame:
@@ -48,7 +49,7 @@ def components_of(nodes: DataFrame, edges: DataFrame, node: str = "node") -> Dat
     """(node, component, number): components of all nodes, single ones too; numbered from 0 by their smallest node."""
     found = connected_components(edges)
     out = nodes.select(F.col(node).cast("long").alias("node")).distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    roots = out.select("component").distinct().withColumn("number", F.row_number().over(Window.orderBy("component")) - 1)
+    roots = running_count(out.select("component").distinct(), ["component"], "number")
     return out.join(roots, "component").select("node", "component", "number")
 
 

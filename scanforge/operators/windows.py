@@ -6,6 +6,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import cut
+
+
+def running_count(df: DataFrame, order: list[str], name: str, where: Column | None = None) -> DataFrame:
+    """df with the number of rows before each in a total order that satisfy `where`, without bringing all rows to one task.
+
+    `where` may also be a whole number for each row, of which the sum before it is taken.
+
+    Rows are dealt into ranges of the order and counted; the counts, of which there is one a range, give where each range starts.
+    """
+    mark = F.lit(1) if where is None else where.cast("long")
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # stored, as the range of a row must stay the same in both uses
+    dealt = cut(df.withColumn("__m", F.coalesce(mark, F.lit(0)).cast("long")).repartitionByRange(ranges, *order).withColumn("__p", F.spark_partition_id()))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("__p").agg(F.sum("__m").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    own = F.coalesce(F.sum("__m").over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = dealt.withColumn("__own", own).join(F.broadcast(starts), "__p")  # a row a range
+    return counted.withColumn(name, F.col("__start") + F.col("__own")).drop("__m", "__p", "__own", "__start")
+
 
 def along(time: str, by: list[str] | None = None):
     """Window of a series in time order."""
@@ -32,15 +52,22 @@ def out_of_order(df: DataFrame, time: str, order: list[str], by: list[str]) -> D
     return df.withColumn("previous", F.lag(time).over(w)).where(F.col(time) < F.col("previous"))
 
 
+def next_values(distinct: DataFrame, column: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """Distinct rows with the next value of a column: by a window within groups, and without groups by numbers and an equi-join."""
+    if by:
+        return distinct.withColumn(name, F.lead(column).over(Window.partitionBy(*by).orderBy(column)))
+    rows = running_count(distinct.select(column), [column], "__k")
+    after = rows.select(F.col(column).alias(name), (F.col("__k") - 1).alias("__k"))
+    return rows.join(after, "__k", "left").drop("__k")
+
+
 def frame_pairs(df: DataFrame, frame: str, point: str, by: list[str] | None = None) -> DataFrame:
     """Point i of frame k with point i + 1, and with point i of frame k + 1: columns next_point, next_frame.
 
     Frames follow each other in the order of their number; points that are not valid are left out before.
     """
     w = Window.partitionBy(*(by or []), frame).orderBy(point)
-    frames = df.select(*(by or []), frame).distinct()
-    order = Window.partitionBy(*(by or [])).orderBy(frame)
-    following = frames.withColumn("next_frame", F.lead(frame).over(order))
+    following = next_values(df.select(*(by or []), frame).distinct(), frame, "next_frame", by)
     return df.withColumn("next_point", F.lead(point).over(w)).join(following, [*(by or []), frame])
 
 
@@ -102,4 +129,4 @@ def local_maxima(cells: DataFrame, value: str, reach: int = 1) -> DataFrame:
     near = near.select((F.col("j0") + F.col("d0")).alias("i0"), (F.col("j1") + F.col("d1")).alias("i1"), "o", "j0", "j1")
     beaten = cells.join(near, ["i0", "i1"]).where((F.col("o") > F.col(value)) | ((F.col("o") == F.col(value)) & (F.struct("j0", "j1") < F.struct(F.col("i0"), F.col("i1")))))
     top = cells.join(beaten.select("i0", "i1").distinct(), ["i0", "i1"], "left_anti")
-    return top.withColumn("seed", F.row_number().over(Window.orderBy("i0", "i1")) - 1)
+    return running_count(top, ["i0", "i1"], "seed")

@@ -16,7 +16,6 @@ _TYPES = {
     "f22_zoned_noise": {"sigma": "DOUBLE"},
     "j04_j10_clock": {"s": "DOUBLE"},
     "t06_t10_parse_ranges": {"n": "INTEGER"},
-    "w06_local_maxima": {"seed": "INTEGER"},
     "x15_x16_planes": {"x": "DOUBLE", "z": "DOUBLE"},
     "x28_x31_polygons": {"area": "DOUBLE"},
     "x32_x40_rigid": {"x": "DOUBLE"},
