@@ -97,15 +97,16 @@ def features(text: str | None) -> np.ndarray:
 
 def fit_scorer(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 300) -> np.ndarray:
     """Logistic regression on posterior labels by accelerated gradient steps; classes are weighted alike."""
-    x = np.c_[x, np.ones(len(x), x.dtype)]
-    w = look = np.zeros(x.shape[1])
+    # products stay in the type of x, so that no wider copy of it is made
+    w = look = np.zeros(x.shape[1] + 1)
     good, bad = max(p.sum(), 1e-9), max((1 - p).sum(), 1e-9)
     weight = len(p) / 2 * (p / good + (1 - p) / bad)
-    keep = np.r_[np.full(x.shape[1] - 1, ridge), 0.0]
-    rate = 1 / (0.25 * (weight * (x * x).sum(1)).sum() + ridge)
+    keep = np.r_[np.full(x.shape[1], ridge), 0.0]
+    rate = 1 / (0.25 * (weight * (np.einsum("nd,nd->n", x, x) + 1)).sum() + ridge)
     for t in range(rounds):
-        s = 1 / (1 + np.exp(-np.clip(x @ look, -40, 40)))
-        nxt = look - rate * (x.T @ (weight * (s - p)) + keep * look)
+        s = 1 / (1 + np.exp(-np.clip(x @ look[:-1].astype(x.dtype) + look[-1], -40, 40)))
+        g = weight * (s - p)
+        nxt = look - rate * (np.r_[x.T @ g.astype(x.dtype), g.sum()] + keep * look)
         look = nxt + t / (t + 3) * (nxt - w)
         w = nxt
     return w
