@@ -86,7 +86,8 @@ def polygons(spark, sf_dir):
 
 @query("g29_delaunay")
 def delaunay(spark, sf_dir):
-    cells = plane_points(spark, sf_dir).select((F.col("k") % 7).alias("level"), F.col("k").alias("cell"), F.col("px").alias("x"), (F.col("py") + F.col("ax") / 50).alias("y"))
+    k = F.col("k")
+    cells = space_points(spark, sf_dir).select(F.floor(k / 40).alias("level"), k.alias("cell"), (F.col("ax") + F.col("cx") / 10).alias("x"), (F.col("bx") + F.col("ay") / 10).alias("y"))
     return S.triangulate(cells, ["level"], "cell")
 
 
