@@ -82,16 +82,15 @@ def majority_flip(leaves: DataFrame, neighbours: DataFrame, threshold: float = 0
     return leaves
 
 
-def remove_thin_voxels(interior: DataFrame, most_open: int = 3, rounds: int = 50) -> DataFrame:
-    """Take out voxels with more than `most_open` open sides until none is left."""
+def remove_thin_voxels(interior: DataFrame, most_open: int = 3) -> DataFrame:
+    """Take out voxels with more than `most_open` open sides until none is left; the set only shrinks, so that this ends."""
     axes = ["ix", "iy", "iz"]
-    for _ in range(rounds):
-        thin = open_sides(interior).where(F.col("open_sides") > most_open).select(*axes)
-        nxt = cut(interior.select(*axes).join(thin, axes, "left_anti"))
-        if nxt.count() == interior.count():
-            return nxt
-        interior = nxt
-    return interior
+    interior = cut(interior.select(*axes))
+    while True:
+        thin = cut(open_sides(interior).where(F.col("open_sides") > most_open).select(*axes))
+        if thin.isEmpty():
+            return interior
+        interior = cut(interior.join(thin, axes, "left_anti"))
 
 
 def watershed(cells: DataFrame, seeds: DataFrame, value: str = "open_height", by: list[str] | None = None) -> DataFrame:

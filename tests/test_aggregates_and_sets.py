@@ -108,6 +108,12 @@ def test_one_voxel_has_six_neighbours(spark):
     assert V.remove_thin_voxels(one).count() == 0
 
 
+def test_thin_sheet_erodes_to_nothing(spark):
+    # from its corners, in more than 50 rounds
+    sheet = spark.range(56 * 56).select((F.col("id") % 56).alias("ix"), F.floor(F.col("id") / 56).alias("iy"), F.lit(0).cast("long").alias("iz"))
+    assert V.remove_thin_voxels(sheet).count() == 0
+
+
 def test_double_surface(spark):
     t = spark.createDataFrame([(0, 1, 2, 3, 0.0, 0.0, 1.0), (1, 3, 2, 4, 0.0, 0.0, -1.0), (2, 7, 8, 9, 1.0, 0.0, 0.0), (3, 9, 8, 7, 1.0, 0.0, 0.0)], "t int, i int, j int, k int, nx double, ny double, nz double")
     assert [r["t"] for r in V.opposing_triangles(t).collect()] == [2]
