@@ -83,14 +83,22 @@ def majority_flip(leaves: DataFrame, neighbours: DataFrame, threshold: float = 0
 
 
 def remove_thin_voxels(interior: DataFrame, most_open: int = 3) -> DataFrame:
-    """Take out voxels with more than `most_open` open sides until none is left; the set only shrinks, so that this ends."""
+    """Take out voxels with more than `most_open` open sides, and put in those with more than `most_open` interior neighbours.
+
+    In every round all of the first kind go at once, then all of the second come, until there is neither. With `most_open` of 3
+    or more each change leaves fewer faces between inside and outside, so that this ends.
+    """
+    if most_open < 3:
+        raise ValueError("most_open must be 3 or more")
     axes = ["ix", "iy", "iz"]
     interior = cut(interior.select(*axes))
     while True:
         thin = cut(open_sides(interior).where(F.col("open_sides") > most_open).select(*axes))
-        if thin.isEmpty():
-            return interior
         interior = cut(interior.join(thin, axes, "left_anti"))
+        notches = cut(boundary_voxels(interior).where(F.bit_count("state") > most_open).select(*axes))
+        if thin.isEmpty() and notches.isEmpty():
+            return interior
+        interior = cut(interior.unionByName(notches))
 
 
 def watershed(cells: DataFrame, seeds: DataFrame, value: str = "open_height", by: list[str] | None = None) -> DataFrame:

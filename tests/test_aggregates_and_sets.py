@@ -114,6 +114,21 @@ def test_thin_sheet_erodes_to_nothing(spark):
     assert V.remove_thin_voxels(sheet).count() == 0
 
 
+def test_holes_and_notches_are_filled(spark):
+    block = {(x, y, z) for x in range(5) for y in range(5) for z in range(5)}
+    # a hole of two voxels, the second of which has four neighbours or more only once the first is filled, and a spike
+    holes = {(2, 2, 2), (2, 2, 3), (2, 2, 4)}
+    df = spark.createDataFrame(sorted(block - holes | {(2, 0, 5)}), "ix long, iy long, iz long")
+    got = {tuple(r) for r in V.remove_thin_voxels(df).collect()}
+
+    def near(v):
+        return sum((v[0] + a, v[1] + b, v[2] + c) in got for a, b, c in V.FACES)
+
+    assert holes <= got and (2, 0, 5) not in got
+    assert all(near(v) >= 3 for v in got)
+    assert all(near((x, y, z)) <= 3 for x in range(-1, 7) for y in range(-1, 7) for z in range(-1, 7) if (x, y, z) not in got)
+
+
 def test_double_surface(spark):
     t = spark.createDataFrame([(0, 1, 2, 3, 0.0, 0.0, 1.0), (1, 3, 2, 4, 0.0, 0.0, -1.0), (2, 7, 8, 9, 1.0, 0.0, 0.0), (3, 9, 8, 7, 1.0, 0.0, 0.0)], "t int, i int, j int, k int, nx double, ny double, nz double")
     assert [r["t"] for r in V.opposing_triangles(t).collect()] == [2]
