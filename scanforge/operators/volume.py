@@ -59,16 +59,16 @@ def corners(leaves: DataFrame, key: str = "leaf") -> DataFrame:
     return out.groupBy(*[F.round(F.col(f"c{a}") + F.col(f"s.{b}") * F.col("hw"), 9).alias(a) for a, b in zip("xyz", "abc")]).agg(F.array_sort(F.collect_set(key)).alias("leaves"))
 
 
-def majority_flip(leaves: DataFrame, neighbours: DataFrame, threshold: float = 0.75, rounds: int = 10, key: str = "leaf", inside: str = "interior") -> DataFrame:
+def majority_flip(leaves: DataFrame, neighbours: DataFrame, threshold: float = 0.75, key: str = "leaf", inside: str = "interior") -> DataFrame:
     """Leaves change sides while more than `threshold` of their face area looks to the other side.
 
     Interior leaves are judged first in every round, then exterior ones; all leaves of a kind change at once, and rounds end
-    when none does. Thresholds of 0.5 or less, or above 1, change nothing.
+    when none does: each change leaves less area between the sides, as no two leaves that change at once vote against each other. Thresholds of 0.5 or less, or above 1, change nothing.
     """
     if not 0.5 < threshold <= 1:
         return leaves
-    links = neighbours.select("a", "b", "area").union(neighbours.select(F.col("b"), F.col("a"), "area"))
-    for _ in range(rounds):
+    links = cut(neighbours.select("a", "b", "area").union(neighbours.select(F.col("b"), F.col("a"), "area")))
+    while True:
         changed = 0
         for kind in (True, False):
             state = leaves.select(F.col(key).alias("b"), F.col(inside).alias("other"))
@@ -78,8 +78,7 @@ def majority_flip(leaves: DataFrame, neighbours: DataFrame, threshold: float = 0
             changed += leaves.where("__flip").count()
             leaves = leaves.drop("__flip")
         if not changed:
-            break
-    return leaves
+            return leaves
 
 
 def remove_thin_voxels(interior: DataFrame, most_open: int = 3) -> DataFrame:

@@ -207,7 +207,7 @@ def corners(spark, sf_dir):
 @query("g01_majority_flip")
 def majority_flip(spark, sf_dir):
     lv = leaves(spark, sf_dir)
-    return V.majority_flip(lv, J.face_neighbours(lv), 0.6, 3).select("leaf", "interior")
+    return V.majority_flip(lv, J.face_neighbours(lv), 0.6).select("leaf", "interior")
 
 
 @query("g03_watershed")

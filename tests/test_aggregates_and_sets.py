@@ -100,6 +100,13 @@ def test_majority_flip(spark):
     assert V.majority_flip(leaves.where("leaf < 2").union(spark.createDataFrame([(2, True), (3, True)], "leaf int, interior boolean")), spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 3, 1.0), (2, 3, 1.0)], "a int, b int, area double"), 0.75).where("not interior").count() == 0
 
 
+def test_majority_flip_runs_until_nothing_changes(spark):
+    # heavier links outwards, each leaf held by the one before it, so that a single one flips in each round: 1 to 12 are inside
+    leaves = spark.createDataFrame([(i, i > 0) for i in range(13)], "leaf int, interior boolean")
+    near = spark.createDataFrame([(i, i + 1, 0.5**i) for i in range(12)], "a int, b int, area double")
+    assert V.majority_flip(leaves, near, 0.6).where("interior").count() == 0
+
+
 def test_one_voxel_has_six_neighbours(spark):
     one = spark.createDataFrame([(0, 0, 0)], "ix long, iy long, iz long")
     got = {(r["ix"], r["iy"], r["iz"]): r["state"] for r in V.boundary_voxels(one).collect()}
