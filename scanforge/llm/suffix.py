@@ -13,8 +13,8 @@ from .windows import Rolling, anchors, pieces
 WINDOW = 400
 GRAM = 128
 DIGIT = 100
-WIDE = 20000
-FLUSH = 2_000_000
+WIDE = 2000
+FLUSH = 500_000
 NO_ID = -(2**63)
 
 
@@ -63,7 +63,7 @@ def _contexts(window: int):
     return run
 
 
-_CONTEXT = "gram long, off int, lo int, n long, wide boolean, k long, th int, held binary"
+_CONTEXT = "gram long, off int, lo int, n long, wide boolean, k long, th long, held binary"
 
 
 def _windows(held: list[bytes], window: int, digit: int):
@@ -168,7 +168,7 @@ def _explode_windows(window: int):
     return run
 
 
-def _cut_out(window: int, carry: bool):
+def _cut_out(window: int):
     def run(batches):
         for batch in slices(batches):
             kept, removed, spans = [], [], []
@@ -187,22 +187,23 @@ def _cut_out(window: int, carry: bool):
                 removed.append(gone)
                 spans.append([{"start": a, "end": b} for a, b in found])
             names = [n for n in batch.schema.names if n not in ("text", "runs")]
-            strings = [pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string())] if carry else []
+            strings = pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string())
             span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, span_type), *strings], names=[*names, "kept", "n_removed", "spans", *["text"][: len(strings)]])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, span_type), strings], names=[*names, "kept", "n_removed", "spans", "text"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", wide: int = WIDE, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (array of start, end), kept (binary): one row for every row of docs.
+    """doc_id, n_bytes, n_removed, spans (array of start, end), kept (binary), text: one row for every row of docs.
 
-    With `carry`, two more columns: `rest`, a struct of those columns of docs, and `text`, the kept bytes as a string without
-    characters that are left in part only.
+    `text` is the kept bytes as a string, without characters that are left in part only. With `carry`, one more column
+    `rest`, a struct of those columns of docs.
 
     A byte is removed if it lies in a string of `window` UTF-8 bytes that also starts elsewhere, in the same document or
     another; matches do not cross documents and are judged on the input. Null texts are empty; texts shorter than a window
-    keep everything; rows that repeat an id and text count as documents of their own, so both lose what they share.
+    keep everything; rows that repeat an id and text count as documents of their own, so both lose what they share. Texts under
+    one id are told apart by 64 bits of hash.
 
     Passes, each dropping what is left alone: (1) the anchor gram of each run of window starts, (2) the whole context of the
     run, where equal contexts settle all their windows at once, (3) for the rest, one context of each kind, digit by digit
@@ -210,10 +211,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     of meeting in one task. Copies are merged by partial aggregation before they are shuffled.
     """
     bound_batches(docs.sparkSession)
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
     again = base.select("text").mapInArrow(_anchor_rows(window, gram, False), "gram long").groupBy("gram").count().where("count > 1").select("gram")
     again = stored(again)  # as a table, the join below exchanges both sides, and Spark can split a gram that is in many places
-    rows = base.mapInArrow(_anchor_rows(window, gram, True), "gram long, ctx long, k long, th int, lo int, hi int, mid int")
+    rows = base.mapInArrow(_anchor_rows(window, gram, True), "gram long, ctx long, k long, th long, lo int, hi int, mid int")
     shared = stored(rows.join(again, "gram", "left_semi"))
     kinds = stored(shared.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "lo", "hi", "mid")).alias("r")))
     settled = shared.join(kinds.where("n > 1").select("gram", "ctx"), ["gram", "ctx"], "left_semi").select("k", "th", "lo", "hi")
@@ -222,12 +223,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     spots = spots.groupBy("k", "th").agg(F.collect_list("s").alias("spots"))
     # the small sides are hashed, so that the texts are not sorted
     found = stored(base.select("k", "th", "text").join(spots.hint("shuffle_hash"), ["k", "th"]).mapInArrow(_contexts(window), _CONTEXT))
-    narrow = found.where("not wide").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort_groups(window), "k long, th int, lo int, hi int")
-    single = found.where("wide").mapInArrow(_explode_windows(window), "gram long, h1 long, h2 long, n long, k long, th int, p int")
+    narrow = found.where("not wide").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort_groups(window), "k long, th long, lo int, hi int")
+    single = found.where("wide").mapInArrow(_explode_windows(window), "gram long, h1 long, h2 long, n long, k long, th long, p int")
     double = single.groupBy("gram", "h1", "h2").agg(F.sum("n").alias("m")).where("m > 1").select("gram", "h1", "h2")
     spread = single.join(double, ["gram", "h1", "h2"], "left_semi").select("k", "th", F.col("p").alias("lo"), F.col("p").alias("hi"))
     runs = settled.union(narrow).union(spread).distinct().groupBy("k", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     cut = base.join(runs.hint("shuffle_hash"), ["k", "th"], "left").select("k", "text", "runs", *(["rest"] if carry else []))
     rest = f", rest {base.schema['rest'].dataType.simpleString()}" if carry else ""
-    cut = cut.mapInArrow(_cut_out(window, bool(carry)), f"k long{rest}, kept binary, n_removed long, spans array<struct<start: long, end: long>>" + (", text string" if carry else ""))
-    return cut.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", "spans", "kept", *(["rest", "text"] if carry else []))
+    cut = cut.mapInArrow(_cut_out(window), f"k long{rest}, kept binary, n_removed long, spans array<struct<start: long, end: long>>, text string")
+    return cut.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", "spans", "kept", "text", *(["rest"] if carry else []))
