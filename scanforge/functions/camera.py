@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .geometry import Vector, dot, norm
+from .shapes import Vector, dot, norm
 
 
 def polynomial(x: Column, coefficients: Sequence[float]) -> Column:

@@ -1,4 +1,4 @@
-"""Geometry as Column expressions. Vectors are triples (or pairs) of Columns; matrices are three rows of three."""
+"""Shapes and rigid motions as Column expressions. Vectors are triples (or pairs) of Columns; matrices are three rows of three."""
 
 from __future__ import annotations
 

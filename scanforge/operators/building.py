@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
+from ..functions import shapes as G
 from .joins import box_cells, segment_cells
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
+from ..functions import shapes as G
 from .joins import box_cells, segment_cells
 from .volume import cube_masks
 

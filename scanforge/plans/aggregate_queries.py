@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
+from ..functions import shapes as G
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import sets as S

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
+from ..functions import shapes as G
 from ..operators import building as B
 from ..operators import joins as J
 from ..operators import surfaces as S
 from ..operators import volume as V
 from .aggregate_queries import _TRIANGLES, triangles
-from .geometry_queries import _P2, _VOX, leaves, plane_points
+from .shape_queries import _P2, _VOX, leaves, plane_points
 from .inputs import points, sql, table
 from .registry import query, round_all
 

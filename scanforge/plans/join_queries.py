@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
+from ..functions import shapes as G
 from ..operators import joins as J
 from ..operators import windows as W
 from .inputs import points, poses, samples, seconds, sql, table

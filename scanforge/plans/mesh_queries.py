@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import camera as M
-from ..functions import geometry as G
+from ..functions import shapes as G
 from ..operators import aggregates as A
 from ..operators import carving as C
 from ..operators import mesh as S
 from ..operators import volume as V
-from .geometry_queries import _P2, _P3, plane_points, space_points, voxels
+from .shape_queries import _P2, _P3, plane_points, space_points, voxels
 from .inputs import points, samples, sql, table
 from .registry import query, round_all
 

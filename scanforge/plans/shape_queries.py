@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
-from ..functions import geometry as G
+from ..functions import shapes as G
 from ..functions import probability as P
 from ..operators import aggregates as A
 from ..operators import joins as J

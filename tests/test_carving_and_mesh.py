@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanforge.functions import camera as M
-from scanforge.functions import geometry as G
+from scanforge.functions import shapes as G
 from scanforge.operators import carving as C
 from scanforge.operators import mesh as S
 

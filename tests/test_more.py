@@ -5,7 +5,7 @@ import math
 import pandas as pd
 from pyspark.sql import functions as F
 
-from scanforge.functions import geometry as G
+from scanforge.functions import shapes as G
 from scanforge.operators import aggregates as A
 from scanforge.operators import volume as V
 from scanforge.sources import binary as B
@@ -40,7 +40,7 @@ def test_lists(spark, tmp_path):
     assert T.read_frame_list(spark, put(tmp_path, "f", "0 a.png 1.5\nx\n")).count() == 1
 
 
-def test_geometry(spark):
+def test_shapes(spark):
     ring = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(p, "xyz")]) for p in ((0, 0, 1), (2, 0, 1), (2, 2, 1), (0, 2, 1))])
     assert [round(v, 9) for v in one(spark, *[c.alias(n) for c, n in zip(G.polygon_normal(ring), "abc")])] == [0, 0, 1]
     p = one(spark, *[c.alias(n) for c, n in zip(G.nearest_on_planes(G.lits(5, 6, 7), G.lits(1, 0, 0), F.lit(1.0), G.lits(0, 1, 0), F.lit(2.0)), "abc")])

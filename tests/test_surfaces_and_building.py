@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from scanforge.functions import geometry as G
+from scanforge.functions import shapes as G
 from scanforge.operators import building as B
 from scanforge.operators import joins as J
 from scanforge.operators import surfaces as S
