@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,34 +27,38 @@ def erf(x: Column) -> Column:
     return F.signum(x) * (1 - poly * F.exp(-x * x))
 
 
-def exact_erf(x: Column) -> Column:
-    """To the last digit, in Python."""
-
-    @F.pandas_udf("double")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(math.erf)
-
-    return run(x)
-
-
 def normal_cdf(x: Column) -> Column:
     return 0.5 * (1 + erf(x / math.sqrt(2)))
 
 
-def carve_probability(distance: Column, lateral: Column, point: Column, sensor_sigma: Column, point_sigma: Column, lateral_sigma: Column) -> Column:
-    """Probability that a place on a ray was seen to be empty.
+def cdf_of(distance: Column, variance: Column) -> Column:
+    """Distribution function of a centred normal at a distance; a step for a variance of 0."""
+    scaled = F.try_divide(distance, F.sqrt(F.greatest(variance, F.lit(0.0))))
+    return F.coalesce(normal_cdf(scaled), F.when(distance > 0, 1.0).when(distance < 0, 0.0).otherwise(0.5))
+
+
+def carve_probability(behind: Column, ahead: Column, lateral: Column, sensor_var: Column, point_var: Column, lateral_var: Column, size: Column) -> tuple[Column, Column]:
+    """(probability that a place on a ray is empty, weight of this statement).
 
-    distance is measured along the ray from the sensor, point is where the ray ended, lateral is the offset from the ray. A
-    place beyond the sensor and before the point is empty (1), one at the point is surface (0), and what the ray has not
-    reached is unknown (0.5); the lateral density says how much the ray has to say.
+    behind is the distance along the ray from the sensor to the place, ahead that from the place to where the ray ended, both
+    signed; lateral is the distance off the ray, and size the width of the place. A place that the ray went through is empty
+    (1), one beyond its end is not (0), and what it has missed is unknown (0.5). The weight is the lateral density times the
+    width; it is 0 where the lateral variance is 0.
     """
-    forward = normal_cdf(F.try_divide(distance, sensor_sigma))
-    before = 1 - normal_cdf(F.try_divide(distance - point, point_sigma))
-    weight = F.exp(-lateral * lateral / (2 * lateral_sigma * lateral_sigma)) * forward
-    seen = weight * before
-    surface = weight * F.exp(-(distance - point) * (distance - point) / (2 * point_sigma * point_sigma))
-    total = F.least(F.lit(1.0), seen + surface)
-    return F.when(total > 0, seen * F.try_divide(total, seen + surface) + 0.5 * (1 - total)).otherwise(0.5)
+    sigma = F.sqrt(F.greatest(lateral_var, F.lit(0.0)))
+    z = F.try_divide(lateral, sigma)
+    weight = F.coalesce(F.try_divide(F.exp(-z * z / 2), sigma * math.sqrt(2 * math.pi)) * size, F.lit(0.0))
+    reached = cdf_of(behind, sensor_var) * weight
+    return reached * cdf_of(ahead, point_var) + 0.5 * (1 - reached), weight
+
+
+def density(offset, cov: Column) -> Column:
+    """Density of a three-dimensional normal at an offset from its mean; cov is an upper triangle. 0 where it is singular."""
+    xx, xy, xz, yy, yz, zz = (F.get(cov, k) for k in range(6))
+    adjugate = {(0, 0): yy * zz - yz * yz, (0, 1): xz * yz - xy * zz, (0, 2): xy * yz - xz * yy, (1, 1): xx * zz - xz * xz, (1, 2): xy * xz - xx * yz, (2, 2): xx * yy - xy * xy}
+    det = xx * adjugate[0, 0] + xy * adjugate[0, 1] + xz * adjugate[0, 2]
+    form = sum(adjugate[min(i, j), max(i, j)] * offset[i] * offset[j] for i in range(3) for j in range(3))
+    return F.when(det > 0, F.exp(-F.try_divide(form, det) / 2) * F.try_divide(F.lit((2 * math.pi) ** -1.5), F.sqrt(det))).otherwise(0.0)
 
 
 def surface_union(*parts: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import shapes as G
 from ..functions import probability as P
-from .aggregates import leaf_statistics
-from .joins import segment_cells
+from .aggregates import leaf_statistics, moments
+from .joins import box_cells, segment_cells
 from .windows import next_values, running_count
 
 #: Order of the upper triangle of a covariance.
@@ -89,25 +91,223 @@ def wedge_sample(points: DataFrame, by: list[str], weight: Column) -> DataFrame:
     return points.groupBy(*by).agg(total.alias("w"), mean("p"), mean("corner"), mean("planar"), (1 - F.aggregate(parts, F.lit(1.0), lambda a, s: a * (1 - s))).alias("surface"))
 
 
-def carve(rays: DataFrame, res: float, buffer: float = 3.0) -> DataFrame:
-    """Leaf statistics of the cells (i0, i1, i2) that rays touch, from sensor (sx, sy, sz) to point (x, y, z).
+def _three(array) -> list[Column]:
+    return [F.get(array, k) for k in range(3)]
 
-    Needs sensor_sigma, point_sigma, lateral_sigma, planar and corner. A ray is followed for `buffer` standard deviations
-    beyond its point; each cell on the way gets the probability of its centre as a sample of weight 1.
+
+def quadratic(cov: Column, v) -> Column:
+    """v C v for an upper triangle."""
+    c = symmetric(cov)
+    return sum(c[i][j] * v[i] * v[j] for i in range(3) for j in range(3))
+
+
+def aligned_axis(cov: Column | str, direction: Column | str) -> Column:
+    """The principal axis of a covariance that is nearest to a direction, turned its way; of equally near ones that of the larger variance.
+
+    Null where a number is missing or not finite.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(covs: pd.Series, directions: pd.Series) -> pd.Series:
+        c = np.array([v if v is not None and len(v) == 6 else [np.nan] * 6 for v in covs], float).reshape(-1, 6)
+        d = np.array([v if v is not None and len(v) == 3 else [np.nan] * 3 for v in directions], float).reshape(-1, 3)
+        ok = np.isfinite(c).all(1) & np.isfinite(d).all(1)
+        m = np.zeros((len(c), 3, 3))
+        for k, (i, j) in enumerate(UPPER):
+            m[:, i, j] = m[:, j, i] = np.where(ok, c[:, k], 0.0)
+        axes = np.linalg.eigh(m)[1][:, :, ::-1]
+        dots = np.einsum("ni,nij->nj", np.where(ok[:, None], d, 0.0), axes)
+        at = np.arange(len(c)), np.abs(dots).argmax(1)
+        best = axes[at[0], :, at[1]] * np.where(dots[at] < 0, -1.0, 1.0)[:, None]
+        return pd.Series([v.tolist() if k else None for v, k in zip(best, ok)], dtype=object)
+
+    return run(cov, direction)
+
+
+def ray_models(maps: DataFrame) -> DataFrame:
+    """Maps (sensor_mean, sensor_cov, point_mean, point_cov) with what their rays need: ray, range, axes and variances along the ray.
+
+    Maps whose point lies at the sensor have no ray and are left out.
+    """
+    away = G.sub(_three("point_mean"), _three("sensor_mean"))
+    out = maps.withColumn("range", G.norm(away)).where("range > 0")
+    out = out.withColumn("ray", F.array(*[c / F.col("range") for c in G.sub(_three("point_mean"), _three("sensor_mean"))]))
+    out = out.withColumns({"sensor_axis": aligned_axis("sensor_cov", "ray"), "point_axis": aligned_axis("point_cov", "ray")})
+    return out.withColumns({f"{n}_var": quadratic(F.col(f"{n}_cov"), _three("ray")) for n in ("sensor", "point")})
+
+
+def map_samples(maps: Column, place, size: Column | float) -> Column:
+    """What each of an array of maps of ray_models says of a cube of a width at a place: an array of struct<p, w, surface, planar, corner>.
+
+    p is the probability of being empty and w the weight of that statement. Distances along the ray are to the planes across the
+    axis of each covariance that is nearest to the ray. The covariance beside the ray is blended from both ends; on the ray itself,
+    where there is no direction off it, its mean variance off the ray counts.
+    """
+    size = F.lit(float(size)) if isinstance(size, (int, float)) else size
+
+    def along(mean, axis, ray):
+        return F.try_divide(G.dot(axis, G.sub(mean, place)), G.dot(axis, ray))
+
+    # every step names what the next one reads more than once
+    def distances(m):
+        ray = _three(m["ray"])
+        to_sensor = along(_three(m["sensor_mean"]), _three(m["sensor_axis"]), ray)
+        return F.struct(m.alias("m"), to_sensor.alias("s"), along(_three(m["point_mean"]), _three(m["point_axis"]), ray).alias("p"))
+
+    def share(d):
+        f = F.coalesce(F.try_divide(-d["s"], d["p"] - d["s"]), F.lit(0.0))
+        return F.struct(d["m"].alias("m"), d["s"].alias("s"), d["p"].alias("p"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), f)).alias("f"))
+
+    def blended(d):
+        m, f = d["m"], d["f"]
+        off = F.array(*[place[k] - ((1 - f) * F.get(m["sensor_mean"], k) + f * F.get(m["point_mean"], k)) for k in range(3)])
+        cov = F.zip_with(m["sensor_cov"], m["point_cov"], lambda x, y: (1 - f) * x + f * y)
+        return F.struct(m.alias("m"), d["s"].alias("s"), d["p"].alias("p"), off.alias("off"), cov.alias("cov"))
+
+    def lateral(d):
+        off, ray = _three(d["off"]), _three(d["m"]["ray"])
+        mean_off = (sum(F.get(d["cov"], k) for k in (0, 3, 5)) - quadratic(d["cov"], ray)) / 2
+        variance = F.coalesce(F.try_divide(quadratic(d["cov"], off), G.dot(off, off)), mean_off)
+        return F.struct(d["m"].alias("m"), d["s"].alias("s"), d["p"].alias("p"), G.norm(off).alias("far"), variance.alias("var"))
+
+    def stated(d):
+        m = d["m"]
+        p, w = P.carve_probability(-d["s"], d["p"], d["far"], m["sensor_var"], m["point_var"], d["var"], size)
+        surface = P.density(G.sub(place, _three(m["point_mean"])), m["point_cov"]) * size * size * size
+        return F.struct(p.alias("p"), w.alias("w"), surface.alias("surface"), m["planar_prob"].alias("planar"), m["corner_prob"].alias("corner"))
+
+    out = maps
+    for step in (distances, share, blended, lateral, stated):
+        out = F.transform(out, step)
+    return out
+
+
+def _beyond(m, buffer: float) -> list[Column]:
+    """Where a ray ends that goes on for `buffer` standard deviations beyond its point."""
+    return [a + buffer * F.sqrt(F.greatest(m["point_var"], F.lit(0.0))) * b for a, b in zip(_three(m["point_mean"]), _three(m["ray"]))]
+
+
+def carve(maps: DataFrame, res: float, buffer: float = 3.0) -> DataFrame:
+    """Leaf statistics of the cells (i0, i1, i2) that single rays cross, without a surface between rays.
+
+    maps: sensor_mean, sensor_cov, point_mean, point_cov, planar_prob, corner_prob. Each cell on the way of a ray, up to `buffer`
+    standard deviations beyond its point, gets a sample whose weight is how surely the ray went through it.
+    """
+    m = F.struct("sensor_mean", "sensor_cov", "point_mean", "point_cov", "ray", "sensor_axis", "point_axis", "sensor_var", "point_var", "planar_prob", "corner_prob")
+    rays = ray_models(maps).select(m.alias("m"))
+    ends = rays.withColumns({f"s{k}": F.get("m.sensor_mean", k) for k in range(3)} | {f"e{k}": c for k, c in enumerate(_beyond(F.col("m"), buffer))})
+    cells = segment_cells(ends, ["s0", "s1", "s2"], ["e0", "e1", "e2"], res).select("m", "i0", "i1", "i2")
+    said = map_samples(F.array("m"), [(F.col(f"i{k}") + 0.5) * res for k in range(3)], res)
+    return leaf_statistics(cells.select("i0", "i1", "i2", F.inline(said)), ["i0", "i1", "i2"])
+
+
+#: Corners of a wedge: 0 and 3 are the sensors, 1 and 2 the points of the first frame, 4 and 5 those of the next. Its triangles are
+#: the two fans, the two sides along the beams, the far side, each of these halved, and two that run across.
+WEDGE_TRIANGLES = [(0, 1, 2), (3, 4, 5), (0, 3, 4), (0, 1, 4), (0, 2, 5), (0, 3, 5), (1, 4, 5), (1, 2, 5), (0, 1, 5), (2, 3, 4)]
+
+
+def wedge_corners(wedge: DataFrame, maps: DataFrame, buffer: float = 3.0) -> DataFrame:
+    """wedge_id, corners (six arrays of three) and maps (the four models) of every wedge whose four maps are there.
+
+    The points' corners lie `buffer` standard deviations beyond the points.
+    """
+    ends = wedge_points(wedge, ray_models(maps))
+    m = F.struct("sensor_mean", "sensor_cov", "point_mean", "point_cov", "ray", "sensor_axis", "point_axis", "sensor_var", "point_var", "planar_prob", "corner_prob")
+    four = ends.groupBy("wedge_id").agg(*[F.first(F.when(F.col("end") == k, m), ignorenulls=True).alias(f"m{k}") for k in range(4)])
+    four = four.where(" and ".join(f"m{k} is not null" for k in range(4)))
+    far = [F.array(*_beyond(F.col(f"m{k}"), buffer)) for k in range(4)]
+    corners = F.array(F.col("m0.sensor_mean"), far[0], far[1], F.col("m2.sensor_mean"), far[2], far[3])
+    return four.select("wedge_id", corners.alias("corners"), F.array(*[f"m{k}" for k in range(4)]).alias("maps"))
+
+
+def triangles_meet_cubes(triangles: np.ndarray, half: float) -> np.ndarray:
+    """Which of n lists of triangles, (n, triangles, corner, axis) with the cube's centre as origin, meet a cube of a half width.
+
+    A triangle and the cube are apart if one of 13 axes parts them: those of the cube, the normal, and the products of each edge
+    with each axis of the cube. Touching counts as meeting.
+    """
+    edges = np.roll(triangles, -1, axis=2) - triangles
+    unit = np.eye(3)
+    meet = np.ones(triangles.shape[:2], bool)
+    for axis in (*unit, np.cross(edges[:, :, 0], edges[:, :, 1]), *(np.cross(edges[:, :, e], unit[k]) for e in range(3) for k in range(3))):
+        axis = np.broadcast_to(axis, (*meet.shape, 3))
+        at = np.einsum("ntcd,ntd->ntc", triangles, axis)
+        reach = half * np.abs(axis).sum(-1)
+        meet &= (at.min(-1) <= reach) & (at.max(-1) >= -reach)
+    return meet.any(1)
+
+
+def wedge_meets_cube(corners: Column, centre, half: float) -> Column:
+    """Whether one of a wedge's triangles meets a cube, its boundary included."""
+
+    @F.pandas_udf("boolean")
+    def run(v: pd.DataFrame) -> pd.Series:
+        x = v.to_numpy(float)
+        points = x[:, :18].reshape(-1, 6, 3) - x[:, None, 18:]
+        return pd.Series(triangles_meet_cubes(points[:, np.array(WEDGE_TRIANGLES)], half))
+
+    numbers = [F.get(F.get(corners, v), k).alias(f"v{v}{k}") for v in range(6) for k in range(3)]
+    return run(F.struct(*numbers, *[c.alias(f"c{k}") for k, c in enumerate(centre)]))
+
+
+def carve_wedges(wedge: DataFrame, maps: DataFrame, res: float, buffer: float = 3.0) -> DataFrame:
+    """Leaf statistics of the cells (i0, i1, i2) that wedges meet.
+
+    A wedge gives each cell one sample: the means of its four maps' statements about the cell, weighted by their weights, which
+    add up to the weight of the sample, and the probability that any of them has a surface there. A wedge is put together once, and
+    goes with its maps to the cells, so that nothing but sums of cells is shuffled after that.
+    """
+    shapes = wedge_corners(wedge, maps, buffer)
+    coordinate = lambda k: F.transform("corners", lambda v: F.get(v, k))
+    box = {f"{n}{k}": f(coordinate(k)) for k in range(3) for n, f in (("lo", F.array_min), ("hi", F.array_max))}
+    cells = box_cells(shapes.withColumns(box), ["lo0", "lo1", "lo2"], ["hi0", "hi1", "hi2"], res)
+    centre = [(F.col(f"i{k}") + 0.5) * res for k in range(3)]
+    cells = cells.where(wedge_meets_cube(F.col("corners"), centre, res / 2))
+
+    each = cells.select("i0", "i1", "i2", map_samples(F.col("maps"), centre, res).alias("e"))
+    add = lambda f: F.aggregate("e", F.lit(0.0), lambda a, v: a + f(v))
+    w = add(lambda v: v["w"])
+    mean = lambda c: F.coalesce(F.try_divide(add(lambda v: v["w"] * v[c]), w), F.lit(0.0)).alias(c)
+    nowhere = F.aggregate("e", F.lit(1.0), lambda a, v: a * (1 - v["surface"]))
+    return leaf_statistics(each.select("i0", "i1", "i2", w.alias("w"), mean("p"), (1 - nowhere).alias("surface"), mean("planar"), mean("corner")), ["i0", "i1", "i2"])
+
+
+def neighbourhood_planarity(points: DataFrame, reach: float, step: float) -> DataFrame:
+    """frame, point, planar_prob: how well the points beside each point of a frame lie on a line.
+
+    points: frame, point (numbered without gaps), x, y, z, range, point_var. Points are `step` radians apart, so that those within
+    `reach` are at most floor(atan(reach / range) / step) places away. A line is fitted to those of them within `reach`; the mean
+    distance from it of all of them, each in its own standard deviations, is e, and the result erf(-e) + 1. Points without a
+    variance count as far as their distance says in standard deviations of 1.
     """
-    length = G.distance(G.vec("sx", "sy", "sz"), G.vec("x", "y", "z"))
-    grown = rays.withColumn("len", length).where("len > 0")
-    stretch = 1 + buffer * F.col("point_sigma") / F.col("len")
-    grown = grown.withColumns({f"e{a}": F.col(f"s{a}") + (F.col(a) - F.col(f"s{a}")) * stretch for a in "xyz"})
-    cells = segment_cells(grown, ["sx", "sy", "sz"], ["ex", "ey", "ez"], res)
-    off = [(F.col(f"i{n}") + 0.5) * res - F.col(f"s{a}") for n, a in enumerate("xyz")]
-    unit = [(F.col(a) - F.col(f"s{a}")) / F.col("len") for a in "xyz"]
-    along = G.dot(off, unit)
-    across = F.sqrt(F.greatest(F.lit(0.0), G.dot(off, off) - along * along))
-    probability = P.carve_probability(along, across, F.col("len"), F.col("sensor_sigma"), F.col("point_sigma"), F.col("lateral_sigma"))
-    near = F.exp(-(along - F.col("len")) * (along - F.col("len")) / (2 * F.col("point_sigma") * F.col("point_sigma")))
-    samples = cells.withColumns({"w": F.lit(1.0), "p": probability, "surface": near})
-    return leaf_statistics(samples, ["i0", "i1", "i2"])
+    span = F.floor(F.atan2(F.lit(float(reach)), F.col("range")) / step).cast("long")
+    own = points.withColumn("m", span)
+    other = points.select("frame", F.col("point").alias("near"), *[F.col(a).alias(f"n{a}") for a in "xyz"], F.sqrt("point_var").alias("sigma"))
+    pairs = own.select("frame", "point", "x", "y", "z", F.explode(F.sequence(F.col("point") - F.col("m"), F.col("point") + F.col("m"))).alias("near")).join(other, ["frame", "near"])
+    close = sum((F.col(a) - F.col(f"n{a}")) * (F.col(a) - F.col(f"n{a}")) for a in "xyz") <= reach * reach
+    lines = principal_lines(pairs.where(close), ["frame", "point"], ["nx", "ny", "nz"])
+    met = pairs.join(lines, ["frame", "point"])
+    off = [F.col(f"n{a}") - F.col(f"at_{a}") for a in "xyz"]
+    beside = G.norm(G.cross(off, G.vec("dir_x", "dir_y", "dir_z")))
+    e = F.avg(F.coalesce(F.try_divide(beside, F.col("sigma")), beside))
+    return met.groupBy("frame", "point").agg((P.erf(-e) + 1).alias("planar_prob"))
+
+
+def principal_lines(rows: DataFrame, by: list[str], axes: list[str]) -> DataFrame:
+    """by, at_x, at_y, at_z, dir_x, dir_y, dir_z: centre and direction of the best line through the points of each group."""
+    m = moments(rows.select(*by, *[F.col(c).alias(a) for c, a in zip(axes, "xyz")]), by)
+    cov = F.array(*[F.col(f"cov_{p}") for p in ("xx", "xy", "xz", "yy", "yz", "zz")])
+
+    @F.pandas_udf("array<double>")
+    def longest(covs: pd.Series) -> pd.Series:
+        c = np.stack(covs.to_numpy()).astype(float) if len(covs) else np.zeros((0, 6))
+        full = np.zeros((len(c), 3, 3))
+        for k, (i, j) in enumerate(UPPER):
+            full[:, i, j] = full[:, j, i] = c[:, k]
+        return pd.Series(list(np.linalg.eigh(full)[1][:, :, 2]))
+
+    out = m.withColumn("d", longest(cov))
+    return out.select(*by, *[F.col(f"mean_{a}").alias(f"at_{a}") for a in "xyz"], *[F.get("d", k).alias(f"dir_{a}") for k, a in enumerate("xyz")])
 
 
 def label_rooms(leaves: DataFrame, rooms: DataFrame, res: float, key: str = "leaf") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregate_queries, building_queries, shape_queries, join_queries, mesh_queries, point_queries  # noqa: F401
+from . import aggregate_queries, building_queries, carving_queries, join_queries, mesh_queries, point_queries, shape_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

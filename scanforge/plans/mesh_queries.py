@@ -38,12 +38,6 @@ def wedge_samples(spark, sf_dir):
     return round_all(got, 8)
 
 
-@query("j16_a01_carve")
-def carve(spark, sf_dir):
-    rays = points(spark, sf_dir).select(*[F.lit(v).alias(c) for c, v in (("sx", 0.13), ("sy", 0.17), ("sz", 0.19), ("sensor_sigma", 0.1), ("point_sigma", 0.5), ("lateral_sigma", 2.0))], "x", "y", "z", (F.col("r") / 256).alias("planar"), (F.col("g") / 256).alias("corner"))
-    return round_all(C.carve(rays, 16.0).select("i0", "i1", "i2", "count", "total_weight", "prob_sum"), 4)
-
-
 @query("j37_room_labels", sql("SELECT frame, max(CASE WHEN x BETWEEN 20 AND 60 AND y BETWEEN 10 AND 40 THEN 2 WHEN x BETWEEN 5 AND 30 AND y BETWEEN 5 AND 20 THEN 1 ELSE -1 END) AS room, count(*) AS n FROM points GROUP BY frame", "points"))
 def room_labels(spark, sf_dir):
     box = lambda k, x0, y0, x1, y1: F.struct(F.lit(k).alias("room"), F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]).alias("polygon"), F.lit(-1.0).alias("z_min"), F.lit(99.0).alias("z_max"))

@@ -113,12 +113,6 @@ def normal(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.round(P.gauss_pdf(x), 7).alias("pdf"), F.round(P.normal_cdf(x), 7).alias("cdf"))
 
 
-@query("x02_carve_probability")
-def carve(spark, sf_dir):
-    p = P.carve_probability(F.col("x") / 10, F.col("z") / 100, F.lit(5.0), F.lit(0.05), F.lit(0.1), F.lit(0.2))
-    return points(spark, sf_dir).groupBy("index").agg(F.round(F.avg(p), 6).alias("mean"), F.min(p).alias("low"), F.max(p).alias("high"))
-
-
 @query("x60_butterworth", "SELECT p_partkey AS k, round(1 / (1 + pow(p_size / 20.0, 6)), 8) AS w FROM part")
 def butterworth(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.round(P.butterworth(F.col("p_size").cast("double"), 20.0, 3), 8).alias("w"))

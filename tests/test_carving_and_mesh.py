@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -41,11 +42,124 @@ def test_wedges(spark):
     assert (s["w"], s["p"], s["surface"], s["planar"]) == (4.0, 0.5, 1 - 0.5**4, 1.0)
 
 
-def test_carved_ray(spark):
-    ray = spark.createDataFrame([(0.5, 0.5, 0.5, 5.5, 0.5, 0.5, 0.01, 0.05, 0.2, 1.0, 0.0)], "sx double, sy double, sz double, x double, y double, z double, sensor_sigma double, point_sigma double, lateral_sigma double, planar double, corner double")
-    got = {(r["i0"], r["i1"], r["i2"]): r["prob_sum"] for r in C.carve(ray, 1.0).collect()}
-    assert set(got) == {(i, 0, 0) for i in range(6)}
-    assert all(got[i, 0, 0] > 0.95 for i in range(1, 5)) and got[5, 0, 0] < 0.6
+MAP = "frame long, point long, sensor_mean array<double>, sensor_cov array<double>, point_mean array<double>, point_cov array<double>, planar_prob double, corner_prob double"
+
+
+def phi(x):
+    return 0.5 * (1 + math.erf(x / math.sqrt(2)))
+
+
+def slow_sample(m, x, size):
+    s, sc, p, pc = np.array(m[2]), full(m[3]), np.array(m[4]), full(m[5])
+    ray = (p - s) / np.linalg.norm(p - s)
+
+    def plane(mean, cov):
+        axes = np.linalg.eigh(cov)[1]
+        a = axes[:, np.argmax(np.abs(ray @ axes))]
+        return a @ (mean - x) / (a @ ray)
+
+    ts, tp = plane(s, sc), plane(p, pc)
+    f = min(1.0, max(0.0, -ts / (tp - ts)))
+    off = x - ((1 - f) * s + f * p)
+    far = np.linalg.norm(off)
+    var = off @ ((1 - f) * sc + f * pc) @ off / far**2
+    w = math.exp(-far * far / 2 / var) / math.sqrt(2 * math.pi * var) * size
+    pf = phi(-ts / math.sqrt(ray @ sc @ ray)) * w
+    d = x - p
+    surface = size**3 * math.exp(-d @ np.linalg.inv(pc) @ d / 2) / math.sqrt((2 * math.pi) ** 3 * np.linalg.det(pc))
+    return pf * phi(tp / math.sqrt(ray @ pc @ ray)) + 0.5 * (1 - pf), w, surface
+
+
+def covs(rnd):
+    a = rnd.normal(size=(3, 3)) * 0.2
+    c = a @ a.T + 0.02 * np.eye(3)
+    return [float(c[i, j]) for i in range(3) for j in range(i, 3)]
+
+
+@pytest.fixture(scope="module")
+def frames():
+    rnd = np.random.default_rng(3)
+    return [(f, i, [0.1 * f, 0.05, 0.03], c, [2.2 + 0.1 * f, 0.4 * i - 0.3, 0.2 * i + 0.1 * f], covs(rnd), 0.1 * i, 0.2) for f in range(3) for c in [covs(rnd)] for i in range(4)]
+
+
+def test_samples_of_maps(spark, frames):
+    df = spark.createDataFrame(frames, MAP)
+    places = [(0.31, 0.17, 0.23), (1.7, 0.3, 0.2), (4.0, -1.0, 0.5)]
+    rays = C.ray_models(df).select("frame", "point", F.struct("*").alias("m"), F.explode(F.array(*[F.array(*map(F.lit, p)) for p in places])).alias("x"))
+    got = rays.select("frame", "point", "x", F.get(C.map_samples(F.array("m"), [F.get("x", k) for k in range(3)], 0.5), 0).alias("s")).collect()
+    by = {(m[0], m[1]): m for m in frames}
+    assert len(got) == len(frames) * len(places)
+    for r in got:
+        assert np.allclose(r["s"][:3], slow_sample(by[r["frame"], r["point"]], np.array(r["x"]), 0.5), atol=1e-5)
+
+
+def test_carved_rays(spark, frames):
+    got = {(r["i0"], r["i1"], r["i2"]): r for r in C.carve(spark.createDataFrame(frames, MAP), 0.5).collect()}
+    want = {}
+    for m in frames:
+        s, p = np.array(m[2]), np.array(m[4])
+        ray = (p - s) / np.linalg.norm(p - s)
+        end = p + 3 * math.sqrt(ray @ full(m[5]) @ ray) * ray
+        for cell in {tuple(c) for c in np.floor((s + (end - s) * np.linspace(0, 1, 20001)[:, None]) / 0.5).astype(int)}:
+            want.setdefault(cell, []).append(slow_sample(m, (np.array(cell) + 0.5) * 0.5, 0.5))
+    assert set(got) >= set(want) and len(got) <= len(want) + 3  # a sampled ray may step over a corner
+    for cell, each in want.items():
+        assert got[cell]["count"] == len(each)
+        assert np.allclose([got[cell]["total_weight"], got[cell]["prob_sum"]], [sum(w for _, w, _ in each), sum(p * w for p, w, _ in each)], atol=1e-4)
+
+
+def test_carved_wedges(spark, frames):
+    df = spark.createDataFrame(frames, MAP)
+    wedge = C.wedges(df.select("frame", "point"))
+    got = {(r["i0"], r["i1"], r["i2"]): r for r in C.carve_wedges(wedge, df, 0.5).collect()}
+    by = {(m[0], m[1]): m for m in frames}
+    want = {}
+    steps = np.array([(a, b, 1 - a - b) for a in np.linspace(0, 1, 161) for b in np.linspace(0, 1, 161) if a + b <= 1 + 1e-12])
+    for r in wedge.collect():
+        four = [by[r["frame_a"], r["a1"]], by[r["frame_a"], r["a2"]], by[r["frame_b"], r["b1"]], by[r["frame_b"], r["b2"]]]
+        far = []
+        for m in four:
+            s, p = np.array(m[2]), np.array(m[4])
+            ray = (p - s) / np.linalg.norm(p - s)
+            far.append(p + 3 * math.sqrt(ray @ full(m[5]) @ ray) * ray)
+        corners = np.array([four[0][2], far[0], far[1], four[2][2], far[2], far[3]])
+        cells = {tuple(c) for t in C.WEDGE_TRIANGLES for c in np.floor(steps @ corners[list(t)] / 0.5).astype(int)}
+        for cell in cells:
+            each = [slow_sample(m, (np.array(cell) + 0.5) * 0.5, 0.5) for m in four]
+            w = sum(e[1] for e in each)
+            want.setdefault(cell, []).append((w, sum(e[0] * e[1] for e in each), w * (1 - np.prod([1 - e[2] for e in each]))))
+    assert set(got) >= set(want) and len(got) - len(want) <= 0.05 * len(want)
+    same = [cell for cell in want if got[cell]["count"] == len(want[cell])]
+    assert len(same) > 0.9 * len(want)  # sampled triangles miss the cells that they barely touch
+    for cell in same:
+        assert np.allclose([got[cell][c] for c in ("total_weight", "prob_sum", "surface_sum")], np.sum(want[cell], axis=0), atol=1e-4)
+
+
+def test_degenerate_maps(spark):
+    flat = [0.0] * 6
+    df = spark.createDataFrame([(0, 0, [0.0] * 3, flat, [0.0] * 3, flat, 0.0, 0.0), (0, 1, [0.0] * 3, flat, [1.0, 0.0, 0.0], flat, 0.0, 0.0)], MAP)
+    assert C.ray_models(df).count() == 1  # a point at the sensor has no ray
+    got = C.carve(df, 1.0).collect()
+    assert all(r["total_weight"] == 0 and r["prob_sum"] == 0 for r in got)
+    assert C.carve(df.limit(0), 1.0).count() == 0
+
+
+def test_neighbourhood_planarity(spark):
+    rnd = np.random.default_rng(5)
+    pts = [(f, i, 0.1 * i, (0.0 if f == 0 else float(rnd.normal())), 1.0 + 0.02 * i, 2.0, 0.04) for f in (0, 1) for i in range(12)]
+    df = spark.createDataFrame(pts, "frame long, point long, x double, y double, z double, range double, point_var double")
+    got = {(r["frame"], r["point"]): r["planar_prob"] for r in C.neighbourhood_planarity(df, 0.35, 0.05).collect()}
+    m = int(math.atan(0.35 / 2.0) / 0.05)
+    for f, i, *_ in pts:
+        own = [p for p in pts if p[0] == f and abs(p[1] - i) <= m]
+        here = np.array(pts[f * 12 + i][2:5])
+        x = np.array([p[2:5] for p in own])
+        near = x[((x - here) ** 2).sum(1) <= 0.35**2]
+        c = near - near.mean(0)
+        d = np.linalg.svd(c)[2][0]
+        e = np.mean([np.linalg.norm(np.cross(v - near.mean(0), d)) for v in x]) / 0.2
+        assert abs(got[f, i] - (1 - math.erf(e))) < 1e-5 or len(near) == 1
+    assert all(got[0, i] > 0.999 for i in range(12))
 
 
 def test_room_labels(spark):
