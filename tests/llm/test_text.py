@@ -231,6 +231,98 @@ def test_html_deep_and_long():
     assert text.count("word") == 20000
 
 
+SENTENCE = "This sentence belongs to the article and says something at length, as articles do. "
+
+# (page, text): furniture has no telling name, so that only density parts it from the article
+PLAIN_PAGES = {
+    "boxes": (
+        "<body><div class='x1'><a href=a>One</a> <a href=b>Two</a> <a href=c>Three</a></div><div class='x2'><p>Buy this now.</p></div>"
+        f"<div class='x3'><h2>Head</h2>{''.join(f'<p>{SENTENCE}{i}</p>' for i in range(5))}</div><div class='x4'><p>Imprint</p><a href=z>Contact us here</a></div></body>",
+        ["Head", *[f"{SENTENCE}{i}" for i in range(5)]],
+    ),
+    "sections": (
+        "<body><div><a href=a>Home</a><a href=b>News</a></div><div><section>" + "".join(f"<p>{SENTENCE}{i}</p>" for i in range(4)) + "</section><section>" + "".join(f"<p>{SENTENCE}{i}</p>" for i in range(4, 7)) + "</section></div><div>Small print</div></body>",
+        [f"{SENTENCE}{i}" for i in range(7)],
+    ),
+    "heading beside": (
+        f"<body><div><div><a href=a>Menu one</a> <a href=b>Menu two</a></div><h1>Title</h1><div>{''.join(f'<p>{SENTENCE}{i}</p>' for i in range(4))}</div><div><a href=q>More</a> <a href=r>Even more</a></div></div></body>",
+        ["Title", *[f"{SENTENCE}{i}" for i in range(4)]],
+    ),
+    "in body": (f"<body><nav><a href=a>Home</a></nav>{''.join(f'<p>{SENTENCE}{i}</p>' for i in range(3))}<footer>F</footer></body>", [f"{SENTENCE}{i}" for i in range(3)]),
+    "unlucky names": (
+        f"<body><article><p>{SENTENCE}</p><div class='social-media-study'>A study.</div><blockquote class='alert'>A quote.</blockquote><p class='notice'>Noted.</p><div class='ad'>Buy</div><p>{SENTENCE}</p></article></body>",
+        [SENTENCE, "A study.", "A quote.", "Noted.", SENTENCE],
+    ),
+    "two articles": (f"<body><main><article><h2>A</h2><p>{SENTENCE}</p></article><article><h2>B</h2><p>{SENTENCE}</p><p>{SENTENCE}</p></article></main><div>Away</div></body>", ["A", SENTENCE, "B", SENTENCE, SENTENCE]),
+    "one paragraph": (f"<body><div><a href=a>x</a></div><article><p>{SENTENCE}</p></article><div>tiny</div></body>", [SENTENCE]),
+    "links in prose": (f"<body><div id=q>{''.join(f'<p>{SENTENCE}<a href=x>see there</a></p>' for _ in range(3))}<ul><li>first of the points</li><li>second of them</li></ul></div><div><a href=1>a b c</a></div></body>", [*[f"{SENTENCE}see there"] * 3, "first of the points", "second of them"]),
+}
+
+
+@pytest.mark.parametrize("name", PLAIN_PAGES)
+def test_html_by_density(name):
+    page, want = PLAIN_PAGES[name]
+    assert html.main_text(page).split("\n") == [w.strip() for w in want]
+
+
+def test_html_choice_decides():
+    """The same pages without a choice hold their furniture too."""
+    differ = 0
+    for page, want in PLAIN_PAGES.values():
+        root = html.parse(page)
+        html._measure(root)
+        differ += html._text(root).split("\n") != [w.strip() for w in want]
+    assert differ >= 5
+
+
+def slow_counts(node):
+    """(characters, tags, characters in links, tags of links) below a node, by plain recursion."""
+    c = t = lc = lt = 0
+    for x in node.children:
+        if isinstance(x, str):
+            c += sum(not ch.isspace() for ch in x)
+        elif not x.dropped:
+            a, b, d, e = slow_counts(x)
+            c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e + (x.tag == "a")
+    return c, t, c if node.tag == "a" else lc, lt
+
+
+def test_html_densities_against_recursion():
+    import math
+
+    rnd = random.Random(8)
+
+    def some(depth):
+        if not depth or rnd.random() < 0.2:
+            return words(rnd, rnd.randint(1, 12), SYLLABLES["en"])
+        tag = rnd.choice(["div", "p", "a", "span", "li", "section"])
+        return f"<{tag}>" + "".join(some(depth - 1) for _ in range(rnd.randint(1, 4))) + f"</{tag}>"
+
+    for _ in range(40):
+        root = html.parse("<body>" + "".join(some(4) for _ in range(3)) + "</body>")
+        order = html._measure(root)
+        all_c, _, all_l, _ = slow_counts(root)
+        own = {}
+        for x in order:
+            c, t, lc, lt = slow_counts(x)
+            ratio = (c / max(1, lc)) * (max(1, t) / max(1, lt))
+            base = math.log(c / max(1, c - lc) * lc + all_l / max(1, all_c) * c + math.e)
+            own[id(x)] = c / max(1, t) * max(0.0, math.log(ratio) / math.log(max(base, math.e))) if c and ratio > 0 else 0.0
+            assert (x.chars, x.tags, x.link_chars, x.link_tags) == (c, t, lc, lt)
+            assert abs(x.density - own[id(x)]) < 1e-9
+        for x in order:
+            assert abs(x.total - sum(own[id(y)] for y in x.children if not isinstance(y, str) and not y.dropped and not y.aside)) < 1e-9
+
+
+def test_html_column(spark):
+    page = PLAIN_PAGES["boxes"]
+    rows = [(1, "u", page[0], "t"), (1, "u", page[0], "t"), (2, None, None, None), (None, "", "", "x"), (3, "u", "<p>" + "long word " * 30000, "t")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = df.select("page_id", "url", html.extract_text("html").alias("main"), "text").collect()
+    assert [r["main"] for r in got[:4]] == ["\n".join(w.strip() for w in page[1])] * 2 + ["", ""] and got[4]["main"].count("word") == 30000
+    assert df.limit(0).select(html.extract_text("html")).count() == 0
+
+
 def test_html_pages(spark):
     from conftest import SMALL
 
