@@ -14,7 +14,7 @@ POINT_COV = (0.09, 0.0625)
 
 # The maps have diagonal covariances, so that the axis nearest to a ray is that of its largest component
 _MAPS = """m AS (SELECT l_orderkey AS frame, CAST(l_linenumber AS BIGINT) AS p, l_orderkey % 97 * 0.013::DOUBLE AS s0, l_orderkey % 89 * 0.011::DOUBLE AS s1, l_orderkey % 83 * 0.007::DOUBLE AS s2,
-    min(l_quantity) / 10 + 0.5 AS p0, min(l_discount) * 40 + 0.3 AS p1, min(l_tax) * 40 + 0.2 AS p2, 0.04::DOUBLE + l_linenumber * 0.01::DOUBLE AS v0, min(l_discount) AS planar, min(l_tax) AS corner FROM lineitem GROUP BY l_orderkey, l_linenumber),
+    min(l_quantity) / 10 + 0.5 AS p0, min(l_discount) * 40 + 0.3137 AS p1, min(l_tax) * 40 + 0.2291 AS p2, 0.04::DOUBLE + l_linenumber * 0.01::DOUBLE AS v0, min(l_discount) AS planar, min(l_tax) AS corner FROM lineitem GROUP BY l_orderkey, l_linenumber),
     n AS (SELECT *, sqrt((p0 - s0) * (p0 - s0) + (p1 - s1) * (p1 - s1) + (p2 - s2) * (p2 - s2)) AS n FROM m),
     r AS (SELECT *, (p0 - s0) / n AS r0, (p1 - s1) / n AS r1, (p2 - s2) / n AS r2 FROM n),
     map AS (SELECT *, 0.011 * r0 * r0 + 0.023 * r1 * r1 + 0.017 * r2 * r2 AS sv, v0 * r0 * r0 + 0.09 * r1 * r1 + 0.0625 * r2 * r2 AS pv FROM r),
@@ -65,7 +65,7 @@ def maps(spark, sf_dir):
         F.col("l_linenumber").cast("long").alias("point"),
         sensor.alias("sensor_mean"),
         diagonal(*lits(*SENSOR_COV)).alias("sensor_cov"),
-        F.array(F.col("quantity") / 10 + 0.5, F.col("discount") * 40 + 0.3, F.col("tax") * 40 + 0.2).alias("point_mean"),
+        F.array(F.col("quantity") / 10 + 0.5, F.col("discount") * 40 + 0.3137, F.col("tax") * 40 + 0.2291).alias("point_mean"),
         diagonal(0.04 + F.col("l_linenumber") * 0.01, *lits(*POINT_COV)).alias("point_cov"),
         F.col("discount").alias("planar_prob"),
         F.col("tax").alias("corner_prob"),
