@@ -12,15 +12,21 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, held_out
 
-WINDOW = 40
+WINDOW = 32
 ORDINARY_DICTIONARY = 8192
-TOXIC_DICTIONARY = 4096
+#: Sizes of the toxic dictionary to try: the larger it is, the more words it holds, and the more ordinary text it codes by chance.
+TOXIC_DICTIONARIES = (512, 1024, 2048, 4096)
 TOXIC_SAMPLE = 1500
 ORDINARY_SAMPLE = 3000
 SAMPLE_BYTES = 100_000
 THRESHOLD = 0.7
+#: A window counts as toxic from so many bytes saved.
+SAVED = 3
+TOP = 5
 GRAM = 6
 BUCKETS = 1 << 22
+#: Fixed value of the dictionary format: the three offsets that end the tables before a trained dictionary's content.
+_OFFSETS = bytes((1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0))
 _BLANK = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -42,6 +48,12 @@ def windows(data: bytes, size: int = WINDOW) -> list[bytes]:
     return out
 
 
+def both_windows(data: bytes, size: int = WINDOW) -> list[bytes]:
+    """The windows of data, and once more those from half a window on, so that no word lies at the edge of all that hold it."""
+    half = data.find(b" ", size // 2)
+    return windows(data, size) + (windows(data[half:], size) if half > 0 and len(data) > size else [])
+
+
 def _buckets(data: bytes) -> np.ndarray:
     a = np.frombuffer(data, np.uint8).astype(np.uint64)
     h = np.zeros(max(0, a.size - GRAM + 1), np.uint64)
@@ -50,10 +62,18 @@ def _buckets(data: bytes) -> np.ndarray:
     return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
 
 
+def content(dictionary: bytes) -> bytes:
+    """A trained dictionary without its head: magic number, id, entropy tables and first offsets."""
+    return dictionary[dictionary.index(_OFFSETS, 8) + len(_OFFSETS) :]
+
+
 def _trained(size: int, samples: list[bytes]) -> bytes:
-    """The content of a dictionary trained on samples; the samples themselves where they are too few to train on."""
+    """The content of a dictionary trained on samples; the samples themselves where they are too few to train on.
+
+    Entropy tables are left out, so that both dictionaries code what they do not hold in the same way.
+    """
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()[-size:]
+        return content(zstandard.train_dictionary(size, samples).as_bytes())
     except zstandard.ZstdError:
         return b" ".join(dict.fromkeys(samples))[-size:]
 
@@ -72,18 +92,16 @@ class ToxicityModel:
         p = zstandard.ZstdCompressionParameters(window_log=18, hash_log=14, chain_log=14, search_log=4, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
         return zstandard.ZstdCompressor(compression_params=p, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(content) >= 8 else None)
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def lengths(self, texts: list[str | None], toxic: bool):
+        """Compressed lengths of the windows of each text, by the ordinary dictionary or by the toxic one followed by it."""
         # the toxic dictionary ends in the ordinary one, so that ordinary text is coded alike by both
-        with_toxic, plain = self._compressor(self.toxic + self.ordinary).compress, self._compressor(self.ordinary).compress
-        out = np.zeros((len(texts), 9))
-        for i, text in enumerate(texts):
-            d = np.array([len(plain(w)) - len(with_toxic(w)) for w in windows(normal(text))], float)
-            if d.size:
-                top = np.sort(d)[::-1][:5]
-                many = (d >= 4).sum()
-                out[i, : top.size] = top
-                out[i, 5:] = d.mean(), np.log(d.size), many / np.sqrt(d.size), many
-        return out
+        compress = self._compressor(self.toxic + self.ordinary if toxic else self.ordinary).compress
+        for text in texts:
+            yield np.array([len(compress(w)) for w in both_windows(normal(text))], float)
+
+    def features(self, texts: list[str | None], plain=None) -> np.ndarray:
+        both = zip(self.lengths(texts, False) if plain is None else plain, self.lengths(texts, True))
+        return np.stack([_summary(p - q) for p, q in both]) if texts else np.zeros((0, TOP + 4))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.weights.size:
@@ -92,8 +110,19 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -40, 40)))
 
 
-def _calibrate(model: ToxicityModel, texts: list[str], toxic: np.ndarray) -> None:
-    x = model.features(texts)
+def _summary(saved: np.ndarray) -> np.ndarray:
+    """Of the bytes that a text's windows save: the TOP largest, the mean, and how many windows there are and reach SAVED."""
+    out = np.zeros(TOP + 4)
+    if saved.size:
+        top, many = np.sort(saved)[::-1][:TOP], (saved >= SAVED).sum()
+        out[: top.size] = top
+        out[TOP:] = saved.mean(), np.log(saved.size), many / np.sqrt(saved.size), many
+    return out
+
+
+def _calibrate(model: ToxicityModel, texts: list[str], toxic: np.ndarray, plain: list[np.ndarray]) -> float:
+    """Fit the logistic calibration; its mean loss."""
+    x = model.features(texts, plain)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     a = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
     w = np.zeros(a.shape[1])
@@ -104,6 +133,8 @@ def _calibrate(model: ToxicityModel, texts: list[str], toxic: np.ndarray) -> Non
         if np.abs(step).max() < 1e-6:
             break
     model.weights = w
+    margin = np.clip(a @ w, -40, 40)
+    return float((np.log1p(np.exp(-np.abs(margin))) + np.maximum(margin, 0) - toxic * margin).mean())
 
 
 def _spans(data: bytes, marked: np.ndarray) -> list[bytes]:
@@ -121,7 +152,8 @@ def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     """Fit dictionaries and calibration. Without both kinds of text the model scores everything 0.
 
     The toxic dictionary is trained on the stretches of toxic texts whose byte 6-grams are over-represented there.
-    Dictionaries and calibration come from different halves, so that windows learned by heart don't mislead the latter.
+    Dictionaries and calibration come from different halves, so that windows learned by heart don't mislead the latter. Of
+    TOXIC_DICTIONARIES that size is kept whose calibration fits best.
     """
     if len(toxic) < 2 or len(ordinary) < 2:
         return ToxicityModel(b"", b"")
@@ -144,11 +176,14 @@ def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     spans = [s for t in p for s in _spans(t, marked)]
     plain = [w for t in n for w in windows(t)]
     plain = [plain[i] for i in np.random.default_rng(0).permutation(len(plain))[:30000]]
-    model = ToxicityModel(_trained(ORDINARY_DICTIONARY, plain), _trained(TOXIC_DICTIONARY, [b" ".join(spans[i : i + 3]) for i in range(0, len(spans), 3)]))
+    ordinary_content = _trained(ORDINARY_DICTIONARY, plain)
     rest = slice(1, None, 2) if len(toxic) >= 400 else slice(None)
-    held = [*toxic[rest], *ordinary[rest]]
-    _calibrate(model, held, np.r_[np.ones(len(toxic[rest])), np.zeros(len(ordinary[rest]))])
-    return model
+    held, truth = [*toxic[rest], *ordinary[rest]], np.r_[np.ones(len(toxic[rest])), np.zeros(len(ordinary[rest]))]
+    samples = [b" ".join(spans[i : i + 3]) for i in range(0, len(spans), 3)]
+    tried = [ToxicityModel(ordinary_content, _trained(size, samples)) for size in TOXIC_DICTIONARIES]
+    lengths = list(tried[0].lengths(held, False))
+    losses = [_calibrate(m, held, truth, lengths) for m in tried]
+    return tried[int(np.argmin(losses))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE, ordinary_sample: int = ORDINARY_SAMPLE) -> ToxicityModel:
