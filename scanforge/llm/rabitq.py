@@ -68,18 +68,17 @@ def near_duplicate_vectors(
     block: int = BLOCK,
     epsilon: float | None = None,
 ) -> DataFrame:
-    """One row per id: vec_id, n_links, component_id, kept.
+    """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     Vectors link if their labels are equal and not null, they have the same length, and their cosine in double precision
     is at least the threshold. Vectors that are null, empty, all zero, or hold null or non-finite components link with
-    nothing. Equal vectors of a label are worked on once, with their number as weight. Of rows that repeat an id, the
-    smallest (label, vector) counts; a null id gives one row with no links, a null component and kept false.
+    nothing, nor do rows with a null id, whose component is null and which are not kept. Equal vectors of a label are worked on
+    once, with their number as weight. Rows that repeat an id are vectors of their own, which link like any others.
     Each label is dealt into blocks of bounded size, and every pair of blocks of a label meets in one task, which returns
     counts and a spanning star of its links rather than pairs. The first block's vectors are the exact side; the second
     is represented by its codes and correction factors until a pair survives the confidence bound.
     """
     one = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
-    one = one.groupBy("id").agg(F.min(F.struct("label", "vec")).alias("r")).select("id", "r.label", "r.vec")
     live = one.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable("vec") & F.exists("vec", lambda x: x != 0))
 
     def index(batches):
@@ -93,12 +92,14 @@ def near_duplicate_vectors(
                 c, factors[at] = encode(x / np.linalg.norm(x, axis=1, keepdims=True))
                 for i, row in zip(at, c):
                     codes[i] = row.tobytes()
-            cols = [b.column(n) for n in ("label", "vec", "rep", "weight")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(codes, pa.binary()), pa.array(factors)], names=["label", "vec", "rep", "weight", "code", "factor"])
+            cols = [b.column(n) for n in ("label", "vec", "first", "weight")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(codes, pa.binary()), pa.array(factors)], names=["label", "vec", "first", "weight", "code", "factor"])
 
     label_type = one.schema["label"].dataType.simpleString()
-    reps = live.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
-    reps = cut(reps.mapInArrow(index, f"label {label_type}, vec array<double>, rep long, weight long, code binary, factor double"))
+    reps = live.groupBy("label", "vec").agg(F.min("id").alias("first"), F.count("*").alias("weight"))
+    reps = reps.mapInArrow(index, f"label {label_type}, vec array<double>, first long, weight long, code binary, factor double")
+    # numbered before they are stored, as ids may repeat
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))
     sizes = reps.groupBy("label", F.size("vec").alias("dim")).agg(F.ceil(F.count("*") / block).alias("blocks"))
     dealt = reps.withColumn("dim", F.size("vec")).join(sizes, ["label", "dim"]).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     left = dealt.withColumn("j", F.explode(F.expr("sequence(b, blocks - 1)"))).withColumn("i", F.col("b")).withColumn("side", F.lit(0))
@@ -129,8 +130,10 @@ def near_duplicate_vectors(
     found = cut(left.select(cols).unionByName(right.select(cols)).groupBy("label", "dim", "i", "j").applyInArrow(link, "rep long, links long, root long"))
     count = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = connected_components(found.select("rep", "root"))
-    known = reps.select("label", "vec", "rep", "weight").join(count, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = reps.select("label", "vec", "rep", "first", "weight").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = known.groupBy("component").agg(F.min("first").alias("component_id"))
+    known = known.join(least, "component").join(count, "rep", "left")
+    known = known.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     return one.join(known, ["label", "vec"], "left").select(
         F.col("id").alias("vec_id"),
         F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
