@@ -130,8 +130,8 @@ def train(x: np.ndarray, langs: list[str]) -> LanguageModel:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Train on at most `sample` documents with a language that are not held out, the first by hash of the id.
 
-    Features are taken on the executors; the driver gets `sample` vectors of 2 ** BITS numbers at most. Without any labelled
-    document the model knows no language and predicts `und`.
+    Features are taken on the executors; the driver gets `sample` vectors of 2 ** BITS numbers at most. Of rows that repeat an id
+    the smallest language and vector count. Without any labelled document the model knows no language and predicts `und`.
     """
     bound_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
@@ -142,8 +142,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         return texts.map(lambda t: features(t).astype(np.float32).tobytes())
 
     # the broadcast side has at most `sample` ids
-    rows = known.join(F.broadcast(ids), "doc_id").where("lang = only").select("doc_id", "lang", vector("text").alias("x")).limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    rows = known.join(F.broadcast(ids), "doc_id").where("lang = only").select("doc_id", "lang", vector("text").alias("x"))
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("x").alias("x")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     if not rows:
         return LanguageModel({}, {})
     langs = [r["lang"] for r in rows]

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 16
 SHARD = 20_000
@@ -50,9 +52,9 @@ class _Left:
 def pack(lengths: np.ndarray, capacities=CAPACITIES, overhead: int = OVERHEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin, capacity of that bin, offset within it) of every length; lengths are 1 to max(capacities).
 
-    Lengths go from long to short into the open bin with the least room that suffices. If there is none, a bin is opened with
-    the capacity of least cost a token, cost being capacity + overhead and tokens being what the lengths still to come
-    would fill. In the end each bin gets the smallest permitted capacity that holds its contents.
+    Lengths go from long to short into the open bin with the least room that suffices, of such bins the one filled last. If there
+    is none, a bin is opened with the capacity of least cost a token, cost being capacity + overhead and tokens being what the
+    lengths still to come would fill. In the end each bin gets the smallest permitted capacity that holds its contents.
     """
     sizes = sorted(set(capacities))
     left = _Left(lengths, sizes[-1])
@@ -89,23 +91,29 @@ def pack_documents(docs: DataFrame, length: Column, capacities=CAPACITIES, overh
     """doc_id, piece, start, n_tokens, bin_id, capacity, offset: one row for each piece of each row of docs.
 
     A document longer than the largest capacity falls into pieces of that capacity and a rest; nothing is dropped. A document
-    of no tokens gets one row with null bin_id, capacity and offset. Full pieces are bins of their own; the others are dealt
-    evenly into shards of about `shard` pieces, each packed in one task, whatever their ids. A bin_id occurs in one shard only.
+    of no tokens, a null text among them, gets one row with null bin_id, capacity and offset. Pieces are dealt by a hash into
+    shards of about `shard` pieces, each packed in one task. A bin_id occurs in one shard only.
+
+    Rows of one id and length are told apart by a number only, so that the result follows from the rows and not from how they
+    lie in files; a null id, or any other that many rows share, is spread over all shards. Other columns are not read.
     """
     top = max(capacities)
-    items = docs.select(F.col(id_col).alias("doc_id"), F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).alias("n"), F.monotonically_increasing_id().alias("row"))
-    pieces = items.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / top)).cast("long"))))
+    # rows of one id and length are counted rather than shuffled one by one
+    items = docs.select(F.col(id_col).alias("doc_id"), F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).alias("n")).groupBy("doc_id", "n").count()
+    items = cut(items.withColumn("last", F.greatest(F.lit(0), F.floor((F.col("n") - 1) / top)).cast("long")))
+    shards = max(1, -(-(items.agg(F.sum(F.col("count") * (F.col("last") + 1))).first()[0] or 0) // shard))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    pieces = items.withColumn("copy", F.explode(F.sequence(one, "count"))).withColumn("piece", F.explode(F.sequence(zero, "last")))
     pieces = pieces.withColumn("start", F.col("piece") * top).withColumn("n_tokens", F.least(F.col("n") - F.col("start"), F.lit(top)))
-    shards = max(1, -(-docs.count() // shard))
-    key = F.xxhash64("row", "piece")
-    full = pieces.where(F.col("n_tokens") == top).select("doc_id", "piece", "start", "n_tokens", (-1 - F.monotonically_increasing_id()).alias("bin_id"), F.lit(top).cast("long").alias("capacity"), F.lit(0).cast("long").alias("offset"))
     none = pieces.where("n_tokens = 0").select("doc_id", "piece", "start", "n_tokens", *(F.lit(None).cast("long").alias(c) for c in ("bin_id", "capacity", "offset")))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(tab: pa.Table) -> pa.Table:
+        tab = tab.sort_by([("n_tokens", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "n", "copy"))])
         bins, capacity, offset = pack(tab.column("n_tokens").to_numpy(), capacities, overhead)
         return pa.table({c: tab.column(c) for c in ("doc_id", "piece", "start", "n_tokens")} | {"bin_id": bins + (tab.column("shard")[0].as_py() << 32), "capacity": capacity, "offset": offset})
 
-    rest = pieces.where((F.col("n_tokens") > 0) & (F.col("n_tokens") < top)).select(F.pmod(key, F.lit(shards)).cast("long").alias("shard"), "doc_id", "piece", "start", "n_tokens")
-    packed = rest.groupBy("shard").applyInArrow(run, f"doc_id {id_type}, piece long, start long, n_tokens long, bin_id long, capacity long, offset long")
-    return packed.union(full).union(none)
+    key = F.pmod(F.xxhash64("doc_id", "n", "piece", "copy"), F.lit(shards)).cast("long")
+    dealt = pieces.where("n_tokens > 0").select(key.alias("shard"), "doc_id", "piece", "start", "n_tokens", "n", "copy")
+    packed = dealt.groupBy("shard").applyInArrow(run, f"doc_id {id_type}, piece long, start long, n_tokens long, bin_id long, capacity long, offset long")
+    return packed.union(none)

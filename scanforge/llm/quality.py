@@ -138,10 +138,10 @@ def classify_quality(docs: DataFrame, sample: int = SAMPLE, threshold: float = T
         return texts.map(lambda t: features(t).astype(np.float32).tobytes())
 
     ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # the broadcast side has at most `sample` ids; limit() bounds what repeated ids could add
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(2 * sample)
-    rows = picked.select("doc_id", _vote_column(F.col("text")).alias("v"), vector("text").alias("x")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    # the broadcast side has at most `sample` ids; of rows that repeat one, the smallest votes and vector count
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", _vote_column(F.col("text")).alias("v"), vector("text").alias("x"))
+    rows = picked.groupBy("doc_id").agg(F.min(F.struct("v", "x")).alias("r")).select("doc_id", "r.v", "r.x").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     if rows:
         p = model.posterior(unpack([r["v"] for r in rows]))
         x = np.frombuffer(b"".join([r["x"] for r in rows]), np.float32).reshape(len(rows), -1)

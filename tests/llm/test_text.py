@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
 import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scanforge.llm import html, langid, packing, pieces, quality, toxicity
 from scanforge.llm.common import held_out
@@ -43,6 +45,39 @@ def test_language_without_labels(spark, texts):
     assert langid.identify_language(df.limit(0)).count() == 0
 
 
+def test_language_against_loops(texts):
+    x = np.stack([langid.features(t[1]) for t in texts[:120]])
+    model = langid.train(x, [t[2] for t in texts[:120]])
+    lang, score = model.predict([t[1] for t in texts[120:]])
+
+    def choose(v, names, prefix):
+        """One against one: the class with the most won duels, then the highest mean probability."""
+        if len(names) == 1:
+            return names[0], 1.0
+        won, sure = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                w, slope = model.machines[prefix + a, prefix + b]
+                p = 1 / (1 + math.exp(-max(-40, min(40, slope * (sum(float(s) * float(t) for s, t in zip(v, w)) + w[-1])))))
+                won[a if p >= 0.5 else b] += 1
+                sure[a] += p / (len(names) - 1)
+                sure[b] += (1 - p) / (len(names) - 1)
+        best = max(names, key=lambda n: (won[n], sure[n]))
+        return best, sure[best]
+
+    for t, got, s in list(zip(texts[120:], lang, score))[::6]:
+        v = langid.features(t[1])
+        fam, p = choose(v, sorted(model.families), "family ")
+        want, q = choose(v, model.families[fam], "")
+        assert got == want and abs(s - p * q) < 1e-6
+
+
+def test_language_of_repeated_rows(spark, texts):
+    df = spark.createDataFrame([*texts, *texts[:50]], DOCS)
+    some = lambda d: sorted(map(str, langid.identify_language(d, 100).collect()))
+    assert some(df.repartition(3)) == some(df.repartition(7, "text"))
+
+
 def test_families():
     assert langid.family("de-AT") == "germanic" and langid.family("xx") == "xx"
 
@@ -93,8 +128,6 @@ def test_dictionary_content():
 
 
 def test_toxic_scores_against_loops():
-    import math
-
     rnd = random.Random(10)
     plain = [words(rnd, 50, SYLLABLES["en"]) for _ in range(300)]
     bad = [f"{words(rnd, 20, SYLLABLES['en'])} blockhead {words(rnd, 20, SYLLABLES['en'])} nincompoop {words(rnd, 5, SYLLABLES['en'])}" for _ in range(100)]
@@ -138,6 +171,32 @@ def test_quality(spark, texts):
     assert quality.classify_quality(df.limit(0)).count() == 0
 
 
+def test_quality_against_loops(spark, texts):
+    """Expectation and maximisation written out vote by vote, over all rows rather than over patterns."""
+    rnd = random.Random(14)
+    rows = [(i, t[1] if i % 3 else " ".join(w + rnd.choice(["###", "$$$"]) for w in t[1].split()), None, "s", 1) for i, t in enumerate(texts[:90])]
+    all_votes = [quality.votes(r[1]) for r in rows]
+    acc = [[[0.6, 0.3, 0.1], [0.3, 0.05, 0.65]] for _ in range(quality.LABELLERS)]
+    prior = 0.8
+    for turn in range(201):
+        post = []
+        for v in all_votes:
+            good, bad = math.log(prior), math.log(1 - prior)
+            for j, x in enumerate(v):
+                if x >= 0:
+                    good, bad = good + math.log(acc[j][1][x + 1]), bad + math.log(acc[j][0][x + 1])
+            post.append(1 / (1 + math.exp(max(-40, min(40, bad - good)))))
+        for j in range(quality.LABELLERS) if turn < 200 else ():
+            for c in range(2):
+                n = [1.0, 1.0, 1.0]
+                for v, p in zip(all_votes, post):
+                    n[v[j] + 1] += p if c else 1 - p
+                acc[j][c] = [k / sum(n) for k in n]
+        prior = min(0.99, max(0.01, (sum(post) + 1) / (len(post) + 2))) if turn < 200 else prior
+    got = {r["doc_id"]: r["posterior"] for r in quality.classify_quality(spark.createDataFrame(rows, DOCS), 60).collect()}
+    assert max(abs(got[i] - p) for i, p in enumerate(post)) < 1e-4
+
+
 def test_label_model_finds_accuracies():
     rnd = np.random.default_rng(0)
     truth = rnd.random(20000) < 0.7
@@ -173,6 +232,45 @@ def test_packing_invariants(spark):
     assert packing.pack_documents(df.limit(0), packing.count_words("text")).count() == 0
 
 
+def slow_pack(lengths, capacities, overhead):
+    """Best fit by trying every open bin, and every capacity for a new one, one after the other."""
+    todo, bins = sorted(lengths, reverse=True), []  # bins: [capacity, used], that changed last at the end
+    while todo:
+        n = todo.pop(0)
+        fits = [b for b in bins[::-1] if b[0] - b[1] >= n]
+        if fits:
+            b = min(fits, key=lambda b: b[0] - b[1])
+            bins = [x for x in bins if x is not b] + [[b[0], b[1] + n]]
+            continue
+        best = None
+        for c in sorted(capacities):
+            if c >= n:
+                room, tokens = c - n, n
+                for m in todo:  # the largest that still fit
+                    if m <= room:
+                        room, tokens = room - m, tokens + m
+                best = min(best or (math.inf,), ((c + overhead) / tokens, c))
+        bins.append([best[1], n])
+    return sorted((min(c for c in capacities if c >= used), used) for _, used in bins)
+
+
+def test_packing_against_brute_force():
+    rnd = random.Random(12)
+    for _ in range(60):
+        lengths = [rnd.randint(1, 64) for _ in range(rnd.randint(1, 80))]
+        bins, capacity, _ = packing.pack(np.array(lengths), (16, 32, 64), 3)
+        used = np.bincount(bins, lengths).astype(int)
+        assert sorted({b: (int(capacity[list(bins).index(b)]), int(used[b])) for b in set(bins.tolist())}.values()) == slow_pack(lengths, (16, 32, 64), 3)
+
+
+def test_packing_does_not_follow_the_files(spark):
+    rnd = random.Random(13)
+    docs = [(rnd.choice([None, i, i // 3]), "w " * rnd.choice([0, 1, 3, 50, 300, 512, 4095, 4096, 9000]), None, "s", 1) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n string, shard string, piece int").repartition(2)
+    some = lambda d: sorted(map(str, packing.pack_documents(d, packing.count_words("text"), shard=40).collect()))
+    assert some(df) == some(df.repartition(13, "text")) == some(df.coalesce(1).orderBy(F.desc("doc_id")))
+
+
 def test_packing_is_best_fit():
     b, c, _ = packing.pack(np.array([7, 5, 3, 2]), (8, 10), 0)
     # 7 opens 10, as 7 + 3 fill it; 5 opens 8, as 5 + 3 fill it; 3 goes where it fits exactly, 2 into what is left
@@ -330,8 +428,6 @@ def slow_counts(node):
 
 
 def test_html_densities_against_recursion():
-    import math
-
     rnd = random.Random(8)
 
     def some(depth):
