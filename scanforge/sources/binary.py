@@ -30,7 +30,8 @@ def _frame(records: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({n: list(records[n]) if records[n].ndim > 1 else records[n].astype(records[n].dtype.newbyteorder("=")) for n in records.dtype.names})
 
 
-def _read(spark: SparkSession, path: str, decode: Callable[[bytes], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+def _read(spark: SparkSession, path: str | DataFrame, decode: Callable[[bytes], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Rows of the files of a path, or of a DataFrame of (path, content)."""
     names = [c.split()[0] for c in _columns(schema)]
 
     def run(batches):
@@ -39,7 +40,8 @@ def _read(spark: SparkSession, path: str, decode: Callable[[bytes], Iterator[pd.
                 for part in decode(content):
                     yield part.assign(path=name)[[*names, "path"]]
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"{schema}, path string")
+    files = spark.read.format("binaryFile").load(path) if isinstance(path, str) else path
+    return files.select("path", "content").mapInPandas(run, f"{schema}, path string")
 
 
 def _columns(schema: str) -> list[str]:
@@ -63,7 +65,19 @@ def _records(content: bytes, kind: np.dtype, count: int, offset: int) -> Iterato
         yield _frame(all_of_them[at : at + CHUNK])
 
 
-def read_noisy_path(spark: SparkSession, path: str) -> DataFrame:
+def encoded(rows: DataFrame, by: str, encode: Callable[[pd.DataFrame], bytes]) -> DataFrame:
+    """(path, content): one file for each value of `by`, encoded from the rows of that value, in parallel over the values.
+
+    A file is held whole by one task, as its header counts its records. The readers take the result in place of a path.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"path": [str(pdf[by].iloc[0])], "content": [encode(pdf)]})
+
+    return rows.groupBy(by).applyInPandas(run, "path string, content binary")
+
+
+def read_noisy_path(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Pose distributions: means, and covariances as arrays of the upper triangle."""
     def decode(b):
         _expect(b, b"noisypath\0")
@@ -73,7 +87,7 @@ def read_noisy_path(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, decode, "timestamp double, mean_x double, mean_y double, mean_z double, cov_pos array<double>, mean_roll double, mean_pitch double, mean_yaw double, cov_rot array<double>")
 
 
-def read_rest_intervals(spark: SparkSession, path: str) -> DataFrame:
+def read_rest_intervals(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Rest intervals (t0, t1) of a file of pose distributions."""
     def decode(b):
         _expect(b, b"noisypath\0")
@@ -89,7 +103,7 @@ def encode_noisy_path(poses: pd.DataFrame, rests: list[tuple[float, float]] = ()
     return b"noisypath\0" + struct.pack("<II", len(rests), len(poses)) + b"".join(struct.pack("<2d", *r) for r in rests) + rec.tobytes()
 
 
-def read_wedges(spark: SparkSession, path: str) -> DataFrame:
+def read_wedges(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """wedge_id and the six indices of each wedge."""
     def decode(b):
         _expect(b, b"wedge\0")
@@ -107,7 +121,7 @@ def encode_wedges(wedges: pd.DataFrame, buffer: float) -> bytes:
     return b"wedge\0" + struct.pack("<Qd", len(wedges), buffer) + rec.tobytes()
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """chunk_id (16 hex digits), cube and distinct wedge ids of chunk files."""
     def decode(b):
         _expect(b, b"chunkfile\0")
@@ -122,24 +136,33 @@ def encode_chunk(uuid: int, cube: tuple[float, float, float, float], wedge_ids)
     return b"chunkfile\0" + struct.pack("<Q4dI", uuid, *cube, len(wedge_ids)) + np.asarray(wedge_ids, "<u8").tobytes()
 
 
-def read_carve_map(spark: SparkSession, path: str) -> DataFrame:
+def read_carve_map(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """frame, point, sensor and point distributions, planar and corner probability."""
     def decode(b):
         _expect(b, b"carvmap\0")
-        at = 16
-        for frame in range(struct.unpack_from("<Q", b, 8)[0]):
-            n = struct.unpack_from("<Q", b, at)[0]
-            sensor = np.frombuffer(b, "<f8", 9, at + 8)
-            part = _frame(np.frombuffer(b, CARVE_POINT, n, at + 80)).rename(columns={"mean": "point_mean", "cov": "point_cov"})
-            part.insert(0, "sensor_cov", [list(sensor[3:])] * n)
-            part.insert(0, "sensor_mean", [list(sensor[:3])] * n)
-            yield part.assign(frame=frame, point=np.arange(n))
-            at += 80 + n * CARVE_POINT.itemsize
+        at, starts, sizes = 16, [], []
+        for _ in range(struct.unpack_from("<Q", b, 8)[0]):
+            starts.append(at)
+            sizes.append(struct.unpack_from("<Q", b, at)[0])
+            at += 80 + sizes[-1] * CARVE_POINT.itemsize
+        frame = 0
+        while frame < len(starts):
+            last, n = frame, 0
+            while last < len(starts) and n < CHUNK:
+                n += sizes[last]
+                last += 1
+            size = np.array(sizes[frame:last])
+            sensor = np.stack([np.frombuffer(b, "<f8", 9, s + 8) for s in starts[frame:last]])
+            part = _frame(np.concatenate([np.frombuffer(b, CARVE_POINT, k, s + 80) for s, k in zip(starts[frame:last], sizes[frame:last])])).rename(columns={"mean": "point_mean", "cov": "point_cov"})
+            own = np.repeat(np.arange(last - frame), size)
+            part["sensor_mean"], part["sensor_cov"] = list(sensor[own, :3]), list(sensor[own, 3:])
+            yield part.assign(frame=own + frame, point=np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size))
+            frame = last
 
     return _read(spark, path, decode, "frame long, point long, sensor_mean array<double>, sensor_cov array<double>, point_mean array<double>, point_cov array<double>, planar_prob double, corner_prob double")
 
 
-def read_interior_histogram(spark: SparkSession, path: str) -> DataFrame:
+def read_interior_histogram(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """level, res and the cells of an interior histogram."""
     def decode(b):
         _expect(b, b"hiafile\0")
@@ -158,7 +181,7 @@ def encode_interior_histogram(cells: pd.DataFrame, level: int, res: float) -> by
     return b"hiafile\0" + struct.pack("<iiiI7d", 1, 0, level, len(cells), *box, res) + rec.tobytes()
 
 
-def read_tree(spark: SparkSession, path: str) -> DataFrame:
+def read_tree(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Leaves with data of a voxel tree: depth, centre, half width, statistics. Version 1 has no total weight; the count stands for it."""
     names = ("count", "total_weight", "prob_sum", "prob_sum_sq", "surface_sum", "corner_sum", "planar_sum", "fp_room")
 
@@ -214,7 +237,7 @@ def encode_tree(leaves: pd.DataFrame, cube: tuple[float, float, float, float], m
     return b"octtree\0" + struct.pack("<III", 2, max_depth, nodes) + b"".join(out)
 
 
-def read_scan_frames(spark: SparkSession, path: str) -> DataFrame:
+def read_scan_frames(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """scanner, units, frame_idx, timestamp and the points of each frame, of all three encodings; frames may differ in size."""
     def decode(b):
         end = b.index(b"end_header") + len(b"end_header")
@@ -267,7 +290,7 @@ def scan_points(frames: DataFrame, correct: bool = True) -> DataFrame:
     return correct_bias(rows) if correct else rows
 
 
-def read_las(spark: SparkSession, path: str) -> DataFrame:
+def read_las(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Points of uncompressed LAS files, record formats 0 to 3."""
     def decode(b):
         _expect(b, b"LASF")
@@ -288,7 +311,7 @@ def read_las(spark: SparkSession, path: str) -> DataFrame:
 PATH_POSE = np.dtype([(n, "<f8") for n in ("timestamp", "x", "y", "z", "roll", "pitch", "yaw")])
 
 
-def read_path(spark: SparkSession, path: str) -> DataFrame:
+def read_path(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Poses of a path file: NED positions in metres, angles in degrees. The order of times is not checked; see out_of_order."""
     def decode(b):
         rests = struct.unpack_from("<I", b)[0]
@@ -298,7 +321,7 @@ def read_path(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, decode, ", ".join(f"{n} double" for n in PATH_POSE.names))
 
 
-def read_path_rests(spark: SparkSession, path: str) -> DataFrame:
+def read_path_rests(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Rest intervals (t0, t1) of a path file."""
     return _read(spark, path, lambda b: _records(b, np.dtype([("t0", "<f8"), ("t1", "<f8")]), struct.unpack_from("<I", b)[0], 4), "t0 double, t1 double")
 
@@ -313,3 +336,131 @@ def encode_path(poses: pd.DataFrame, rests: list[tuple[float, float]] = ()) -> b
 def encode_carve_map(frames: list[tuple[list[float], list[list[float]]]]) -> bytes:
     """A carve map of (9 numbers of the sensor, points of 11 numbers) for each frame."""
     return b"carvmap\0" + struct.pack("<Q", len(frames)) + b"".join(struct.pack("<Q9d", len(pts), *sensor) + b"".join(struct.pack("<11d", *p) for p in pts) for sensor, pts in frames)
+
+
+LAS_POINT = np.dtype([("xyz", "<i4", 3), ("intensity", "<u2"), ("flags", "u1"), ("class", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2"), ("time", "<f8"), ("rgb", "<u2", 3)])
+
+
+def encode_las(points: pd.DataFrame, scale: float = 0.0001) -> bytes:
+    """An uncompressed LAS 1.2 file of point format 3 from x, y, z, r, g, b, timestamp; places are whole multiples of scale."""
+    xyz = points[["x", "y", "z"]].to_numpy(float).reshape(-1, 3)
+    shift = np.floor(xyz.min(axis=0)) if len(xyz) else np.zeros(3)
+    rec = np.zeros(len(xyz), LAS_POINT)
+    rec["xyz"] = np.rint((xyz - shift) / scale)
+    rec["time"] = points["timestamp"]
+    rec["rgb"] = points[["r", "g", "b"]].to_numpy(int).reshape(-1, 3) << 8
+    low, high = (xyz.min(axis=0), xyz.max(axis=0)) if len(xyz) else (shift, shift)
+    head = bytearray(227)
+    head[:4] = b"LASF"
+    head[24:26] = bytes((1, 2))
+    struct.pack_into("<HIIBHI5I", head, 94, 227, 227, 0, 3, LAS_POINT.itemsize, len(xyz), len(xyz), 0, 0, 0, 0)
+    struct.pack_into("<6d", head, 131, *[scale] * 3, *shift)
+    struct.pack_into("<6d", head, 179, *[v for a, b in zip(high, low) for v in (a, b)])
+    return bytes(head) + rec.tobytes()
+
+
+def encode_planar_scans(serial: int, rotation: list[float], translation: list[float], scans: list[tuple[float, np.ndarray]]) -> bytes:
+    """A file of planar scans: serial number, rigid transform (9 and 3 numbers), and (timestamp, n x 2 places in millimetres)."""
+    head = struct.pack("<I9d3dI", serial, *rotation, *translation, len(scans))
+    return head + b"".join(struct.pack("<Id", len(p), t) + np.asarray(p, "<f8").tobytes() for t, p in scans)
+
+
+def read_planar_scans(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """serial, scan, timestamp, point, x, y, z (metres, by the file's rigid transform) of files of planar scans in millimetres."""
+    def decode(b):
+        serial, *rigid, scans = struct.unpack_from("<I9d3dI", b)
+        r, t, at = np.array(rigid[:9]).reshape(3, 3), np.array(rigid[9:]), struct.calcsize("<I9d3dI")
+        rows = []
+        for k in range(scans):
+            n, time = struct.unpack_from("<Id", b, at)
+            rows.append((k, time, np.frombuffer(b, "<f8", 2 * n, at + 12).reshape(n, 2)))
+            at += 12 + 16 * n
+        for first in range(0, len(rows), 4096):
+            some = rows[first : first + 4096]
+            size = np.array([len(p) for *_, p in some])
+            flat = np.concatenate([p for *_, p in some]) / 1000
+            xyz = np.c_[flat, np.zeros(len(flat))] @ r.T + t
+            yield pd.DataFrame({"serial": serial, "scan": np.repeat([k for k, *_ in some], size), "timestamp": np.repeat([s for _, s, _ in some], size), "point": np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size), **dict(zip("xyz", xyz.T))})
+
+    return _read(spark, path, decode, "serial long, scan long, timestamp double, point long, x double, y double, z double")
+
+
+def encode_camera_model(name: str, k: list[float], distortion: list[float]) -> bytes:
+    return b"KCALIB\0" + name.encode() + b"\0" + struct.pack("<9d5d", *k, *distortion)
+
+
+def read_camera_model(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """camera, k (9 numbers), distortion (5 numbers) of files of rectilinear camera models."""
+    def decode(b):
+        _expect(b, b"KCALIB\0")
+        end = b.index(b"\0", 7)
+        v = list(struct.unpack_from("<14d", b, end + 1))
+        yield pd.DataFrame({"camera": [b[7:end].decode()], "k": [v[:9]], "distortion": [v[9:]]})
+
+    return _read(spark, path, decode, "camera string, k array<double>, distortion array<double>")
+
+
+def encode_mesh_ply(verts: pd.DataFrame, faces: list[list[int]], form: str = "little_endian", coloured: bool = False) -> bytes:
+    """A PLY mesh, ascii or binary of either order, from x, y, z and, if coloured, r, g, b, and lists of vertex numbers from 0."""
+    kind = "ascii" if form == "ascii" else f"binary_{form}"
+    colours = [f"property uchar {c}" for c in ("red", "green", "blue")] if coloured else []
+    head = "\n".join(["ply", f"format {kind} 1.0", f"element vertex {len(verts)}", *(f"property float {a}" for a in "xyz"), *colours, f"element face {len(faces)}", "property list uchar int vertex_indices", "end_header", ""]).encode()
+    names = [*"xyz", *("rgb" if coloured else "")]
+    if form == "ascii":
+        rows = [" ".join(map(str, r)) for r in verts[names].itertuples(index=False)] + [" ".join(map(str, (len(f), *f))) for f in faces]
+        return head + "\n".join([*rows, ""]).encode()
+    order = "<" if form == "little_endian" else ">"
+    rec = np.zeros(len(verts), [(a, order + "f4") for a in "xyz"] + [(c, "u1") for c in "rgb" if coloured])
+    for n in names:
+        rec[n] = verts[n]
+    return head + rec.tobytes() + b"".join(struct.pack(f"{order}B{len(f)}i", len(f), *f) for f in faces)
+
+
+_PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "float32": "f4", "float64": "f8"}
+
+
+def read_ply(spark: SparkSession, path: str | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices (v, x, y, z, r, g, b) and faces (f, vertices) of PLY meshes, ascii or binary; a mesh without colours has nulls there."""
+    def parts(b):
+        end = b.index(b"end_header")
+        body = b.index(b"\n", end) + 1
+        elements, kind = [], "ascii"
+        for line in b[:end].decode("latin-1").splitlines():
+            w = line.split()
+            if w[:1] == ["format"]:
+                kind = w[1]
+            elif w[:1] == ["element"]:
+                elements.append((w[1], int(w[2]), []))
+            elif w[:1] == ["property"]:
+                elements[-1][2].append(w[1:])
+        order = ">" if kind == "binary_big_endian" else "<"
+        words, at, out = (iter(b[body:].split()) if kind == "ascii" else None), body, {}
+
+        def one(t):
+            nonlocal at
+            if words is not None:
+                return float(next(words))
+            v = np.frombuffer(b, order + _PLY_TYPES[t], 1, at)[0]
+            at += np.dtype(_PLY_TYPES[t]).itemsize
+            return v.item()
+
+        for name, n, props in elements:
+            rows = []
+            for _ in range(n):
+                row = {}
+                for p in props:
+                    row[p[-1]] = [int(one(p[2])) for _ in range(int(one(p[1])))] if p[0] == "list" else one(p[0])
+                rows.append(row)
+            out[name] = rows
+        return out
+
+    def vertices(b):
+        rows = parts(b).get("vertex", [])
+        colour = lambda r, *names: next((float(r[n]) for n in names if n in r), None)
+        yield pd.DataFrame([(k, float(r["x"]), float(r["y"]), float(r["z"]), colour(r, "red", "r"), colour(r, "green", "g"), colour(r, "blue", "b")) for k, r in enumerate(rows)], columns=["v", "x", "y", "z", "r", "g", "b"])
+
+    def faces(b):
+        yield pd.DataFrame([(k, next(iter(r.values()))) for k, r in enumerate(parts(b).get("face", []))], columns=["f", "vertices"])
+
+    v = _read(spark, path, vertices, "v long, x double, y double, z double, r double, g double, b double")
+    return v.withColumns({c: F.col(c).cast("int") for c in "rgb"}), _read(spark, path, faces, "f long, vertices array<int>")

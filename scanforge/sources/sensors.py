@@ -118,14 +118,45 @@ def decode(content: bytes, kind: str):
     yield pd.DataFrame(rows, columns=names)
 
 
-def read_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def _put(fields: tuple, values: dict, known: dict) -> bytes:
+    out = b""
+    for name, kind, *rest in fields:
+        if len(rest) == 2 and not known.get(rest[1]):
+            continue
+        value = values[name]
+        if kind == "z":
+            out += value.encode("latin-1") + b"\0"
+        elif kind in ("bytes", "text"):
+            out += value if kind == "bytes" else value.encode()
+        else:
+            out += np.asarray(value, kind).tobytes()
+    return out
+
+
+def encode(kind: str, header: dict, frames: list[dict]) -> bytes:
+    """A log of a kind from the raw values of its header and frames, as LAYOUTS names them; `num` is set here."""
+    layout = LAYOUTS[kind]
+    header = header | {"num": len(frames)}
+    return layout.magic + _put(layout.header, header, header) + b"".join(_put(layout.record, f, header) for f in frames)
+
+
+def encode_tango(frames: list[tuple]) -> bytes:
+    """A depth log with poses of (timestamp, position, quaternion (w, x, y, z), points)."""
+    out = struct.pack(">ih", 74960, 1)
+    for t, (x, y, z), (qw, qx, qy, qz), points in frames:
+        body = np.asarray(points, "<f4").tobytes()
+        out += struct.pack(">8di", t, x, y, z, qx, qy, qz, qw, len(body)) + body
+    return out
+
+
+def read_log(spark: SparkSession, path: str | DataFrame, kind: str) -> DataFrame:
     """Frames of sensor logs of a kind: range2d, inertial, magnetometer, barometer, gps, wifi, depth."""
     if kind not in LAYOUTS:
         raise ValueError(f"unknown kind of log {kind}")
     return _read(spark, path, lambda b: decode(b, kind), LAYOUTS[kind].schema)
 
 
-def read_tango(spark: SparkSession, path: str) -> DataFrame:
+def read_tango(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Depth frames with poses: frame_idx, timestamp, position, quaternion (w, x, y, z), points (array of struct<x, y, z>)."""
     def frames(b: bytes):
         if struct.unpack_from(">i", b)[0] != 74960:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.colour import UNITS
@@ -15,12 +15,27 @@ def _tokens(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.split("value", r"\s+").alias("t"))
 
 
+def _whole(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
+    """(file, lines): each small file as an array of its lines that are not empty, without comments."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("lines"))
+    clean = lambda v: F.trim(F.regexp_replace(v, f"{comment}.*$", "") if comment else v)
+    return text.select("file", F.filter(F.transform("lines", clean), lambda v: v != "").alias("lines"))
+
+
 def _numbered(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
-    """(n, t): lines of a small file that are not empty, numbered from 0, as arrays of words."""
-    text = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"))
-    line = F.regexp_replace("line", f"{comment}.*$", "") if comment else F.col("line")
-    rows = text.select(F.posexplode("lines").alias("raw", "line")).withColumn("line", F.trim(line)).where("line <> ''")
-    return rows.select((F.row_number().over(Window.orderBy("raw")) - 1).alias("n"), F.split("line", r"\s+").alias("t"))
+    """(file, n, t): lines of small files that are not empty, numbered from 0 in each file, as arrays of words."""
+    return _whole(spark, path, comment).select("file", F.posexplode("lines").alias("n", "line")).select("file", "n", F.split("line", r"\s+").alias("t"))
+
+
+def _word(line: int, word: int = 0) -> Column:
+    """A word of a line of `lines`."""
+    return F.get(F.split(F.get("lines", line), r"\s+"), word)
+
+
+def _part(files: DataFrame, start: Column, count: Column, name: str) -> DataFrame:
+    """(file, name, t): `count` lines from `start` on of each file, numbered from 0, as arrays of words."""
+    rows = files.select("file", F.posexplode(F.slice("lines", start + 1, F.greatest(F.lit(0), count))).alias(name, "line"))
+    return rows.select("file", name, F.split("line", r"\s+").alias("t"))
 
 
 def _num(i: int, kind: str = "double", of: str = "t") -> Column:
@@ -91,13 +106,12 @@ def read_wall_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_floor_plan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(v, x, y), (t, i, j, k) and (room, z_min, z_max, t) of a floor plan, a small file."""
-    rows = _numbered(spark, path)
-    head = rows.where("n between 1 and 3").agg(*[F.max(F.when(F.col("n") == k, _num(0, "int"))).alias(c) for k, c in ((1, "nv"), (2, "nt"), (3, "nr"))])
-    rows = rows.join(F.broadcast(head)).withColumn("m", F.col("n") - 4)  # the header is one row
-    verts = rows.where("m >= 0 and m < nv").select(F.col("m").alias("v"), _num(0).alias("x"), _num(1).alias("y"))
-    tris = rows.where("m >= nv and m < nv + nt").select((F.col("m") - F.col("nv")).alias("t"), *[_num(i, "int").alias(c) for i, c in enumerate("ijk")])
-    rooms = rows.where("m >= nv + nt and m < nv + nt + nr").select((F.col("m") - F.col("nv") - F.col("nt")).alias("room"), _num(0).alias("z_min"), _num(1).alias("z_max"), F.explode(F.transform(F.slice("t", F.lit(4), _num(2, "int")), lambda v: v.try_cast("int"))).alias("t"))
+    """(v, x, y), (t, i, j, k) and (room, z_min, z_max, t) of floor plans, which are small files; each with its file."""
+    files = _whole(spark, path).select("file", "lines", *[F.coalesce(_word(k).try_cast("int"), F.lit(0)).alias(c) for k, c in ((1, "nv"), (2, "nt"), (3, "nr"))])
+    nv, nt, nr = (F.col(c) for c in ("nv", "nt", "nr"))
+    verts = _part(files, F.lit(4), nv, "v").select("v", _num(0).alias("x"), _num(1).alias("y"), "file")
+    tris = _part(files, 4 + nv, nt, "t0").select(F.col("t0").alias("n"), "t", "file").select("n", *[_num(i, "int").alias(c) for i, c in enumerate("ijk")], "file").withColumnRenamed("n", "t")
+    rooms = _part(files, 4 + nv + nt, nr, "room").select("room", _num(0).alias("z_min"), _num(1).alias("z_max"), F.explode(F.transform(F.slice("t", F.lit(4), _num(2, "int")), lambda v: v.try_cast("int"))).alias("t"), "file")
     return verts, tris, rooms
 
 
@@ -113,9 +127,8 @@ def read_image_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_coordinate_map(spark: SparkSession, path: str) -> DataFrame:
-    """One row: resolution, offset_x, offset_y. model = (image - offset) * resolution."""
-    rows = _numbered(spark, path)
-    return rows.agg(*[F.max(F.when(F.col("n") == k, _num(0))).alias(c) for k, c in enumerate(("resolution", "offset_x", "offset_y"))])
+    """One row a file: resolution, offset_x, offset_y, file. model = (image - offset) * resolution."""
+    return _whole(spark, path).select(*[_word(k).try_cast("double").alias(c) for k, c in enumerate(("resolution", "offset_x", "offset_y"))], "file")
 
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
@@ -124,8 +137,8 @@ def read_windows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_room_values(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """room, value of a file of one number a line, the line number being the room: lights, people, plug loads."""
-    return _numbered(spark, path).select(F.col("n").alias("room"), _num(0).alias(name))
+    """room, value, file of files of one number a line, the line number being the room: lights, people, plug loads."""
+    return _numbered(spark, path).select(F.col("n").alias("room"), _num(0).alias(name), "file")
 
 
 def read_clock_fits(spark: SparkSession, path: str, row_tag: str = "sensor") -> DataFrame:
@@ -144,13 +157,24 @@ def read_settings(spark: SparkSession, path: str) -> dict[str, str]:
     return {e.tag: (e.text or "").strip() for e in ET.fromstring(text) if len(e) == 0}
 
 
+def _starting(word: str):
+    return F.filter("lines", lambda v: v.startswith(f"{word} "))
+
+
 def read_mesh_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices (v, x, y, z), numbered from 0, and faces (f, vertices) of a mesh, whose lines count."""
-    rows = _numbered(spark, path)
-    nth = F.row_number().over(Window.orderBy("n")) - 1
-    verts = rows.where(F.get("t", 0) == "v").select(nth.alias("v"), *[_num(i + 1).alias(c) for i, c in enumerate("xyz")])
-    corner = F.transform(F.slice("t", F.lit(2), F.size("t") - 1), lambda w: F.get(F.split(w, "/"), 0).try_cast("int") - 1)
-    return verts, rows.where(F.get("t", 0) == "f").select(nth.alias("f"), corner.alias("vertices"))
+    """Vertices (v, x, y, z, file), numbered from 0 in each file, and faces (f, vertices, file) of meshes, whose lines count.
+
+    Faces may name vertices from the first (1) on or back from the last one so far (-1).
+    """
+    files = _whole(spark, path)
+    verts = files.select("file", F.posexplode(_starting("v")).alias("v", "line")).select("v", F.split("line", r"\s+").alias("t"), "file")
+    # how many vertices there are before each face
+    step = lambda acc, line: F.struct((acc["n"] + line.startswith("v ").cast("int")).alias("n"), F.when(line.startswith("f "), F.concat(acc["f"], F.array(F.struct(acc["n"].alias("n"), line.alias("line"))))).otherwise(acc["f"]).alias("f"))
+    none = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<n: int, line: string>>").alias("f"))
+    faces = files.select("file", F.posexplode(F.aggregate("lines", none, step)["f"]).alias("f", "s")).select("file", "f", "s.n", F.split("s.line", r"\s+").alias("t"))
+    number = lambda w: F.get(F.split(w, "/"), 0).try_cast("int")
+    corner = F.transform(F.slice("t", F.lit(2), F.size("t") - 1), lambda w: F.when(number(w) < 0, F.col("n") + number(w)).otherwise(number(w) - 1))
+    return verts.select("v", *[_num(i + 1).alias(c) for i, c in enumerate("xyz")], "file"), faces.select("f", corner.alias("vertices"), "file")
 
 
 def read_image_list(spark: SparkSession, path: str) -> DataFrame:
@@ -160,12 +184,11 @@ def read_image_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_camera_file(spark: SparkSession, path: str) -> DataFrame:
-    """serial, k (9), r (9), t (3), mask, image and timestamp of a camera file, one row for each image; a small file."""
-    rows = _numbered(spark, path)
-    numbers = lambda n, c: F.max(F.when(F.col("n") == n, F.transform("t", lambda v: v.try_cast("double")))).alias(c)
-    head = rows.agg(F.max(F.when(F.col("n") == 0, F.get("t", 0))).alias("serial"), numbers(1, "k"), numbers(2, "r"), numbers(3, "tr"), F.max_by(F.get("t", 0), "n").alias("mask"))
-    images = rows.where("n > 3 and size(t) = 2").select(F.get("t", 0).alias("image"), _num(1).alias("timestamp"))
-    return images.join(F.broadcast(head)).withColumnRenamed("tr", "translation")  # the header is one row
+    """serial, k (9), r (9), translation (3), mask, image, timestamp and file of camera files, one row for each image; small files."""
+    numbers = lambda line, c: F.transform(F.split(F.get("lines", line), r"\s+"), lambda v: v.try_cast("double")).alias(c)
+    files = _whole(spark, path).select("file", _word(0).alias("serial"), numbers(1, "k"), numbers(2, "r"), numbers(3, "translation"), F.element_at("lines", -1).alias("mask"), F.explode(F.slice("lines", F.lit(5), F.greatest(F.lit(0), F.size("lines") - 5))).alias("line"))
+    t = F.split("line", r"\s+")
+    return files.withColumn("t", t).where("size(t) = 2").select("serial", "k", "r", "translation", "mask", F.get("t", 0).alias("image"), _num(1).alias("timestamp"), "file")
 
 
 def read_panorama_list(spark: SparkSession, path: str) -> DataFrame:
@@ -175,24 +198,24 @@ def read_panorama_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mesh_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices (v, x, y, z) and faces (f, vertices) of an ascii PLY file whose vertices begin with x y z; its lines count."""
-    rows = _numbered(spark, path)
-    end = rows.where(F.get("t", 0) == "end_header").agg(F.max("n").alias("end"))
-    sizes = rows.where(F.get("t", 0) == "element").agg(*[F.max(F.when(F.get("t", 1) == k, _num(2, "int"))).alias(f"n{k}") for k in ("vertex", "face")])
-    body = rows.join(F.broadcast(end)).join(F.broadcast(sizes)).withColumn("m", F.col("n") - F.col("end") - 1).where("m >= 0")  # one row each
-    verts = body.where("m < nvertex").select(F.col("m").alias("v"), *[_num(i).alias(c) for i, c in enumerate("xyz")])
+    """Vertices (v, x, y, z, file) and faces (f, vertices, file) of ascii PLY files whose vertices begin with x y z; their lines count.
+
+    binary.read_ply reads PLY files of any encoding and any properties.
+    """
+    size = lambda name: F.coalesce(F.regexp_extract(F.get(F.filter("lines", lambda v: v.startswith(f"element {name} ")), 0), r"(\d+)$", 1).try_cast("int"), F.lit(0))
+    files = _whole(spark, path).withColumns({"end": F.array_position("lines", "end_header").cast("int"), "nv": size("vertex"), "nf": size("face")}).where("end > 0")
+    verts = _part(files, F.col("end"), F.col("nv"), "v").select("v", *[_num(i).alias(c) for i, c in enumerate("xyz")], "file")
     corners = F.transform(F.slice(F.col("t"), F.lit(2), _num(0, "int")), lambda w: w.try_cast("int"))
-    return verts, body.where("m >= nvertex and m < nvertex + nface").select((F.col("m") - F.col("nvertex")).alias("f"), corners.alias("vertices"))
+    return verts, _part(files, F.col("end") + F.col("nv"), F.col("nf"), "f").select("f", corners.alias("vertices"), "file")
 
 
 def read_chunk_list(spark: SparkSession, path: str) -> DataFrame:
-    """chunk_id, cx, cy, cz, hw of a chunk manifest: one row for each chunk, with the cube of the whole volume. Header lines may come in any order."""
-    rows = _numbered(spark, path)
-    first = F.get("t", 0)
-    end = rows.where(first == "end_header").agg(F.max("n").alias("end"))
-    value = lambda key, i: F.max(F.when(first == key, _num(i)))
-    cube = rows.agg(*[value("center", i + 1).alias(c) for i, c in enumerate(("cx", "cy", "cz"))], value("halfwidth", 1).alias("hw"))
-    return rows.join(F.broadcast(end)).where("n > end").select(first.alias("chunk_id")).join(F.broadcast(cube))  # one row each
+    """chunk_id, cx, cy, cz, hw, file of chunk manifests: one row for each chunk, with the cube of the whole volume. Header lines may come in any order."""
+    value = lambda key, i: F.get(F.split(F.get(F.filter("lines", lambda v: F.split(v, r"\s+")[0] == key), 0), r"\s+"), i).try_cast("double")
+    files = _whole(spark, path).withColumn("end", F.array_position("lines", "end_header").cast("int")).where("end > 0")
+    cube = [value("center", i + 1).alias(c) for i, c in enumerate(("cx", "cy", "cz"))]
+    ids = F.explode(F.slice("lines", F.col("end") + 1, F.size("lines")))
+    return files.select(ids.alias("chunk_id"), *cube, value("halfwidth", 1).alias("hw"), "file")
 
 
 def read_transforms(spark: SparkSession, path: str, row_tag: str = "sensor") -> DataFrame:
