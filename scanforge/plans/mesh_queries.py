@@ -33,9 +33,9 @@ def wedges(spark, sf_dir):
 
 @query("a07_wedge_samples")
 def wedge_samples(spark, sf_dir):
-    cmap = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("point")).agg(F.avg("l_quantity").alias("w"), F.avg("l_discount").alias("p"), F.avg("l_tax").alias("surface"), F.avg("l_tax").alias("corner"), F.avg("l_discount").alias("planar"))
+    cmap = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("point")).agg(F.avg("l_quantity").alias("w"), *[F.sqrt(F.avg(f"l_{c}") + 0.0031).alias(n) for n, c in (("p", "discount"), ("surface", "tax"), ("corner", "tax"), ("planar", "discount"))])
     got = C.wedge_sample(C.wedge_points(C.wedges(cmap.select("frame", "point")), cmap), ["wedge_id"], F.col("w"))
-    return round_all(got, 8)
+    return round_all(got, 7)
 
 
 @query("j37_room_labels", sql("SELECT frame, max(CASE WHEN x BETWEEN 20 AND 60 AND y BETWEEN 10 AND 40 THEN 2 WHEN x BETWEEN 5 AND 30 AND y BETWEEN 5 AND 20 THEN 1 ELSE -1 END) AS room, count(*) AS n FROM points GROUP BY frame", "points"))

@@ -15,19 +15,20 @@ from .aggregate_queries import _TRIANGLES, triangles
 from .inputs import points, sql, table
 from .registry import query, round_all
 
-# Three plane points and one more from each supplier, and the same in space from each part
-_P2 = "p AS (SELECT s_suppkey AS k, s_acctbal / 1000 AS ax, s_nationkey * 0.5 AS ay, s_suppkey % 13 * 0.7 AS bx, s_suppkey % 7 * 1.3 AS by2, s_suppkey % 5 * 1.1 - 2 AS cx, s_suppkey % 11 * 0.9 AS cy, s_suppkey % 17 * 0.37 AS px, s_suppkey % 19 * 0.31 AS py FROM supplier)"
-_P3 = "p AS (SELECT p_partkey AS k, p_size * 0.2 AS ax, p_partkey % 7 * 1.0 AS ay, p_partkey % 11 * 0.5 AS az, p_partkey % 13 * 0.7 AS bx, p_size % 9 * 1.1 AS by2, p_partkey % 5 * 1.0 AS bz, p_partkey % 17 * 0.3 AS cx, p_partkey % 3 * 2.0 AS cy, p_size % 4 * 1.5 AS cz FROM part)"
+# Three plane points and one more from each supplier, and the same in space from each part; all are whole multiples of 1 / 64, so
+# that what is degenerate is exactly so
+_P2 = "p AS (SELECT s_suppkey AS k, floor(s_acctbal / 16) / 64 AS ax, s_nationkey * 0.5 AS ay, s_suppkey % 13 * 0.75 AS bx, s_suppkey % 7 * 1.25 AS by2, s_suppkey % 5 * 1.125 - 2 AS cx, s_suppkey % 11 * 0.875 AS cy, s_suppkey % 17 * 0.375 AS px, s_suppkey % 19 * 0.3125 AS py FROM supplier)"
+_P3 = "p AS (SELECT p_partkey AS k, p_size * 0.25 AS ax, p_partkey % 7 * 1.0 AS ay, p_partkey % 11 * 0.5 AS az, p_partkey % 13 * 0.75 AS bx, p_size % 9 * 1.125 AS by2, p_partkey % 5 * 1.0 AS bz, p_partkey % 17 * 0.3125 AS cx, p_partkey % 3 * 2.0 AS cy, p_size % 4 * 1.5 AS cz FROM part)"
 
 
 def plane_points(spark, sf_dir):
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(k.alias("k"), (F.col("s_acctbal") / 1000).alias("ax"), (F.col("s_nationkey") * 0.5).alias("ay"), (k % 13 * 0.7).alias("bx"), (k % 7 * 1.3).alias("by2"), (k % 5 * 1.1 - 2).alias("cx"), (k % 11 * 0.9).alias("cy"), (k % 17 * 0.37).alias("px"), (k % 19 * 0.31).alias("py"))
+    return table(spark, sf_dir, "supplier").select(k.alias("k"), (F.floor(F.col("s_acctbal") / 16) / 64).alias("ax"), (F.col("s_nationkey") * 0.5).alias("ay"), (k % 13 * 0.75).alias("bx"), (k % 7 * 1.25).alias("by2"), (k % 5 * 1.125 - 2).alias("cx"), (k % 11 * 0.875).alias("cy"), (k % 17 * 0.375).alias("px"), (k % 19 * 0.3125).alias("py"))
 
 
 def space_points(spark, sf_dir):
     k, s = F.col("p_partkey"), F.col("p_size")
-    return table(spark, sf_dir, "part").select(k.alias("k"), (s * 0.2).alias("ax"), (k % 7 * 1.0).alias("ay"), (k % 11 * 0.5).alias("az"), (k % 13 * 0.7).alias("bx"), (s % 9 * 1.1).alias("by2"), (k % 5 * 1.0).alias("bz"), (k % 17 * 0.3).alias("cx"), (k % 3 * 2.0).alias("cy"), (s % 4 * 1.5).alias("cz"))
+    return table(spark, sf_dir, "part").select(k.alias("k"), (s * 0.25).alias("ax"), (k % 7 * 1.0).alias("ay"), (k % 11 * 0.5).alias("az"), (k % 13 * 0.75).alias("bx"), (s % 9 * 1.125).alias("by2"), (k % 5 * 1.0).alias("bz"), (k % 17 * 0.3125).alias("cx"), (k % 3 * 2.0).alias("cy"), (s % 4 * 1.5).alias("cz"))
 
 
 A2, B2, C2, P2 = ["ax", "ay"], ["bx", "by2"], ["cx", "cy"], ["px", "py"]
@@ -45,18 +46,17 @@ def in_triangle(spark, sf_dir):
     return plane_points(spark, sf_dir).select("k", G.in_triangle(*(G.vec(*n) for n in (P2, A2, B2, C2))).alias("inside"))
 
 
-@query("x23_x61_circles", f"WITH {_P2}, q AS (SELECT *, 2 * ((bx - ax) * (cy - ay) - (by2 - ay) * (cx - ax)) AS d, (bx - ax) * (bx - ax) + (by2 - ay) * (by2 - ay) AS m, (cx - ax) * (cx - ax) + (cy - ay) * (cy - ay) AS n FROM p), r AS (SELECT *, ((cy - ay) * m - (by2 - ay) * n) / d AS ux, ((bx - ax) * n - (cx - ax) * m) / d AS uy FROM q WHERE abs(d) > 0.0123) SELECT k, round(ax + ux, 9) AS x, round(sqrt(ux * ux + uy * uy), 9) AS radius FROM r")
+@query("x23_x61_circles", f"WITH {_P2}, q AS (SELECT *, 2 * ((bx - ax) * (cy - ay) - (by2 - ay) * (cx - ax)) AS d, (bx - ax) * (bx - ax) + (by2 - ay) * (by2 - ay) AS m, (cx - ax) * (cx - ax) + (cy - ay) * (cy - ay) AS n FROM p), r AS (SELECT *, ((cy - ay) * m - (by2 - ay) * n) / nullif(d, 0) AS ux, ((bx - ax) * n - (cx - ax) * m) / nullif(d, 0) AS uy FROM q) SELECT k, round(ax + ux, 9) AS x, round(sqrt(ux * ux + uy * uy), 9) AS radius FROM r")
 def circles(spark, sf_dir):
     a, b, c = (G.vec(*n) for n in (A2, B2, C2))
     x, _, r = G.circumcircle(a, b, c)
-    return round_all(plane_points(spark, sf_dir).where(F.abs(2 * G.orient2d(a, b, c)) > 0.0123).select("k", x.alias("x"), r.alias("radius")), 9)
+    return round_all(plane_points(spark, sf_dir).select("k", x.alias("x"), r.alias("radius")), 9)
 
 
-@query("x25_x63_segments", f"WITH {_P2}, q AS (SELECT *, bx - ax AS rx, by2 - ay AS ry, px - cx AS sx, py - cy AS sy FROM p), t AS (SELECT *, greatest(0.0, least(1.0, coalesce(((px - ax) * rx + (py - ay) * ry) / nullif(rx * rx + ry * ry, 0), 0.0))) AS f FROM q WHERE abs(rx * sy - ry * sx) > 0.0123) SELECT k, round(((cx - ax) * sy - (cy - ay) * sx) / (rx * sy - ry * sx), 9) AS t, round(sqrt((px - ax - rx * f) * (px - ax - rx * f) + (py - ay - ry * f) * (py - ay - ry * f)), 9) AS d FROM t")
+@query("x25_x63_segments", f"WITH {_P2}, q AS (SELECT *, bx - ax AS rx, by2 - ay AS ry, px - cx AS sx, py - cy AS sy FROM p), t AS (SELECT *, greatest(0.0, least(1.0, coalesce(((px - ax) * rx + (py - ay) * ry) / nullif(rx * rx + ry * ry, 0), 0.0))) AS f FROM q) SELECT k, round(((cx - ax) * sy - (cy - ay) * sx) / nullif(rx * sy - ry * sx, 0), 9) AS t, round(sqrt((px - ax - rx * f) * (px - ax - rx * f) + (py - ay - ry * f) * (py - ay - ry * f)), 9) AS d FROM t")
 def segments(spark, sf_dir):
     a, b, c, p = (G.vec(*n) for n in (A2, B2, C2, P2))
-    df = plane_points(spark, sf_dir).where(F.abs((F.col("bx") - F.col("ax")) * (F.col("py") - F.col("cy")) - (F.col("by2") - F.col("ay")) * (F.col("px") - F.col("cx"))) > 0.0123)
-    return df.select("k", F.round(G.segment_crossing(a, b, c, p)[0], 9).alias("t"), F.round(G.point_segment_distance(p, a, b), 9).alias("d"))
+    return plane_points(spark, sf_dir).select("k", F.round(G.segment_crossing(a, b, c, p)[0], 9).alias("t"), F.round(G.point_segment_distance(p, a, b), 9).alias("d"))
 
 
 @query("x14_x18_segment_box", f"""WITH {_P2}, q AS (SELECT k, ax, ay, bx, by2, (1 - ax) / nullif(bx - ax, 0) AS tx0, (4 - ax) / nullif(bx - ax, 0) AS tx1, (2 - ay) / nullif(by2 - ay, 0) AS ty0, (5 - ay) / nullif(by2 - ay, 0) AS ty1 FROM p)
@@ -65,19 +65,18 @@ def segment_box(spark, sf_dir):
     return plane_points(spark, sf_dir).select("k", G.segment_meets_box(G.vec(*A2), G.vec(*B2), G.lits(1, 2), G.lits(4, 5)).alias("hit"))
 
 
-@query("x15_x16_planes", f"WITH {_P3} SELECT k, round(ax - 0.6 * (0.6 * ax + 0.8 * az - 2), 9) AS x, round(az - 0.8 * (0.6 * ax + 0.8 * az - 2), 9) AS z, round((2 - 0.6 * ax - 0.8 * az) / (0.6 * (bx - ax) + 0.8 * (bz - az)), 9) AS t FROM p WHERE abs(0.6 * (bx - ax) + 0.8 * (bz - az)) > 0.0123")
+@query("x15_x16_planes", f"WITH {_P3} SELECT k, round(ax, 9) AS x, 2.0 AS z, round((2 - az) / nullif(bz - az, 0), 9) + 0 AS t FROM p")
 def planes(spark, sf_dir):
-    a, b, n, at = G.vec(*A3), G.vec(*B3), G.lits(0.6, 0, 0.8), G.lits(1.2, 0, 1.6)
-    df = space_points(spark, sf_dir).where(F.abs(G.dot(G.sub(b, a), n)) > 0.0123)
+    a, b, n, at = G.vec(*A3), G.vec(*B3), G.lits(0, 0, 1), G.lits(5, 7, 2)
+    df = space_points(spark, sf_dir)
     q = G.project_on_plane(a, n, at)
-    return df.select("k", F.round(q[0], 9).alias("x"), F.round(q[2], 9).alias("z"), F.round(G.plane_hit(a, b, n, at), 9).alias("t"))
+    return df.select("k", F.round(q[0], 9).alias("x"), F.round(q[2], 9).alias("z"), (F.round(G.plane_hit(a, b, n, at), 9) + 0.0).alias("t"))
 
 
-@query("x26_x69_normals", f"WITH {_P3}, q AS (SELECT k, (by2 - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (by2 - ay) * (cx - ax) AS nz FROM p) SELECT k, round(sqrt(nx * nx + ny * ny + nz * nz) / 2, 9) AS area, round(nx / sqrt(nx * nx + ny * ny + nz * nz), 9) + 0 AS nx FROM q WHERE sqrt(nx * nx + ny * ny + nz * nz) > 0.0123")
+@query("x26_x69_normals", f"WITH {_P3}, q AS (SELECT k, (by2 - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (by2 - ay) * (cx - ax) AS nz FROM p) SELECT k, round(sqrt(nx * nx + ny * ny + nz * nz) / 2, 9) AS area, round(nx / nullif(sqrt(nx * nx + ny * ny + nz * nz), 0), 9) + 0 AS nx FROM q")
 def normals(spark, sf_dir):
     a, b, c = (G.vec(*n) for n in (A3, B3, C3))
-    df = space_points(spark, sf_dir).where(G.norm(G.cross(G.sub(b, a), G.sub(c, a))) > 0.0123)
-    return df.select("k", F.round(G.triangle_area(a, b, c), 9).alias("area"), (F.round(G.triangle_normal(a, b, c)[0], 9) + 0.0).alias("nx"))
+    return space_points(spark, sf_dir).select("k", F.round(G.triangle_area(a, b, c), 9).alias("area"), (F.round(G.triangle_normal(a, b, c)[0], 9) + 0.0).alias("nx"))
 
 
 @query("x32_x40_rigid", f"WITH {_P3}, q AS (SELECT *, ax / 10 AS r, ay / 10 AS pi, bx / 10 AS yw FROM p) SELECT k, round(r, 6) AS roll, round(pi, 6) AS pitch, round(yw, 6) AS yaw, round(cx, 9) AS x, round(cos(yw) * cos(pi) * cx + (cos(yw) * sin(pi) * sin(r) - sin(yw) * cos(r)) * cy + (cos(yw) * sin(pi) * cos(r) + sin(yw) * sin(r)) * cz + 1, 9) AS wx FROM q")
@@ -91,11 +90,10 @@ def rigid(spark, sf_dir):
     return df.select("k", *[F.round(c, 6).alias(n) for c, n in zip(G.rpy_from_rotation(m), ("roll", "pitch", "yaw"))], F.round(back[0], 9).alias("x"), F.round(world[0], 9).alias("wx"))
 
 
-@query("x65_corner_cosine", f"WITH {_P3} SELECT k, round(((bx - ax) * (cx - ax) + (by2 - ay) * (cy - ay)) / (sqrt((bx - ax) * (bx - ax) + (by2 - ay) * (by2 - ay)) * sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay))), 9) + 0 AS cosine FROM p WHERE (bx - ax) * (bx - ax) + (by2 - ay) * (by2 - ay) > 0.0123 AND (cx - ax) * (cx - ax) + (cy - ay) * (cy - ay) > 0.0123")
+@query("x65_corner_cosine", f"WITH {_P3} SELECT k, round(((bx - ax) * (cx - ax) + (by2 - ay) * (cy - ay)) / nullif(sqrt((bx - ax) * (bx - ax) + (by2 - ay) * (by2 - ay)) * sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)), 0), 9) + 0 AS cosine FROM p")
 def corner_cosine(spark, sf_dir):
     a, b, c = (G.vec(*n[:2]) for n in (A3, B3, C3))
-    df = space_points(spark, sf_dir).where((G.dot(G.sub(b, a), G.sub(b, a)) > 0.0123) & (G.dot(G.sub(c, a), G.sub(c, a)) > 0.0123))
-    return df.select("k", (F.round(G.corner_cosine(a, b, c), 9) + 0.0).alias("cosine"))
+    return space_points(spark, sf_dir).select("k", (F.round(G.corner_cosine(a, b, c), 9) + 0.0).alias("cosine"))
 
 
 @query("x29_polygon_contains", f"WITH {_P2} SELECT k, (px BETWEEN 1 AND 4 AND py BETWEEN 1 AND 2) OR (px BETWEEN 1 AND 2 AND py BETWEEN 1 AND 4) AS inside, 5.0::DOUBLE AS area FROM p")
