@@ -41,6 +41,21 @@ def time_colour(time: Column, start: Column, end: Column) -> Column:
     return F.struct(ramp(0.0).alias("r"), ramp(0.5).alias("g"), ramp(1.0).alias("b"))
 
 
+def palette(name: str, value: Column) -> Column:
+    """Colour of a value from 0 to 1 in a named palette: grey, hot, jet or cool; struct of red, green, blue from 0 to 255."""
+    v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    ramp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    rules = {
+        "grey": (v, v, v),
+        "hot": (ramp(3 * v), ramp(3 * v - 1), ramp(3 * v - 2)),
+        "jet": tuple(ramp(1.5 - F.abs(4 * v - k)) for k in (3, 2, 1)),
+        "cool": (v, 1 - v, F.lit(1.0)),
+    }
+    if name not in rules:
+        raise ValueError(f"unknown palette {name}")
+    return F.struct(*[F.floor(255 * c).cast("int").alias(n) for c, n in zip(rules[name], "rgb")])
+
+
 def dataset_name(path: Column) -> Column:
     """File name without folders and extension."""
     return F.regexp_extract(path, r"([^/\\]+?)(\.[^./\\]*)?$", 1)

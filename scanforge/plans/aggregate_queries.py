@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import shapes as G
@@ -235,16 +236,15 @@ def labelled_components(spark, sf_dir):
     return S.components_of_size(found, 3).select("component", "node")
 
 
-_TRIANGLES = "tri AS (SELECT row_number() OVER (ORDER BY i, j, k) AS t, * FROM (SELECT DISTINCT s_suppkey % 12 AS i, (s_suppkey % 12 + 1 + s_nationkey % 3) % 12 AS j, (s_suppkey % 12 + 5 + s_nationkey % 2) % 12 AS k FROM supplier))"
+_TRIANGLES = "tri AS (SELECT p_partkey AS t, p_partkey AS i, p_partkey + 1 + p_size % 3 AS j, p_partkey + 5 + p_size % 2 AS k FROM part)"
+_RINGS = "ring AS (SELECT c_custkey AS a, c_custkey // 7 AS grp, coalesce(lead(c_custkey) OVER (PARTITION BY c_custkey // 7 ORDER BY c_custkey), min(c_custkey) OVER (PARTITION BY c_custkey // 7)) AS b FROM customer)"
 _EDGES = "edge AS (SELECT t, i AS a, j AS b FROM tri UNION ALL SELECT t, j, k FROM tri UNION ALL SELECT t, k, i FROM tri)"
 
 
 def triangles(spark, sf_dir):
-    from pyspark.sql import Window
-
-    i, n = F.col("s_suppkey") % 12, F.col("s_nationkey")
-    t = table(spark, sf_dir, "supplier").select(i.alias("i"), ((i + 1 + n % 3) % 12).alias("j"), ((i + 5 + n % 2) % 12).alias("k")).distinct()
-    return t.withColumn("t", F.row_number().over(Window.orderBy("i", "j", "k")).cast("long"))
+    """A triangle for each part, over vertices that near-by parts share."""
+    i, n = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf_dir, "part").select(i.alias("t"), i.alias("i"), (i + 1 + n % 3).alias("j"), (i + 5 + n % 2).alias("k"))
 
 
 @query("t19_t22_boundary_edges", f"WITH {_TRIANGLES}, {_EDGES} SELECT a, b FROM edge e WHERE NOT EXISTS (SELECT 1 FROM edge o WHERE o.a = e.b AND o.b = e.a)")
@@ -257,10 +257,17 @@ def neighbour_triangles(spark, sf_dir):
     return S.neighbour_triangles(triangles(spark, sf_dir))
 
 
-@query("t29_cliques", "WITH e AS (SELECT DISTINCT least(l_partkey % 40, l_suppkey % 40) AS a, greatest(l_partkey % 40, l_suppkey % 40) AS b FROM lineitem WHERE l_partkey % 40 <> l_suppkey % 40) SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
+@query("t29_cliques", "WITH e AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey) SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
 def cliques(spark, sf_dir):
-    p, s = F.col("l_partkey"), F.col("l_suppkey")
-    return S.triangles_of_graph(table(spark, sf_dir, "lineitem").select((p % 40).alias("u"), (s % 40).alias("v")))
+    return S.triangles_of_graph(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v")))
+
+
+@query("t20_t27_loops", f"WITH RECURSIVE {_RINGS}, r(loop, position, vertex) AS (SELECT min(a), 0::BIGINT, min(a) FROM ring GROUP BY grp UNION ALL SELECT r.loop, r.position + 1, ring.b FROM r JOIN ring ON ring.a = r.vertex WHERE ring.b <> r.loop) SELECT * FROM r")
+def loops(spark, sf_dir):
+    """Rings of seven customers each, chained from their smallest one."""
+    k = F.col("c_custkey")
+    ring = table(spark, sf_dir, "customer").select(k.alias("a"), F.floor(k / 7).alias("grp"), F.lead(k).over(Window.partitionBy(F.floor(k / 7)).orderBy(k)).alias("b"), F.min(k).over(Window.partitionBy(F.floor(k / 7))).alias("first"))
+    return S.chain_loops(ring.select("a", F.coalesce("b", "first").alias("b")))
 
 
 @query("t23_last_wins", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregate_queries, building_queries, carving_queries, format_queries, iterative_oracles, join_queries, mesh_queries, point_queries, shape_queries  # noqa: F401
+from . import aggregate_queries, building_queries, carving_queries, format_queries, iterative_oracles, join_queries, mesh_queries, more_queries, point_queries, shape_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

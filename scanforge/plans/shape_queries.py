@@ -17,8 +17,8 @@ from .registry import query, round_all
 
 # Three plane points and one more from each supplier, and the same in space from each part; all are whole multiples of 1 / 64, so
 # that what is degenerate is exactly so
-_P2 = "p AS (SELECT s_suppkey AS k, floor(s_acctbal / 16) / 64 AS ax, s_nationkey * 0.5 AS ay, s_suppkey % 13 * 0.75 AS bx, s_suppkey % 7 * 1.25 AS by2, s_suppkey % 5 * 1.125 - 2 AS cx, s_suppkey % 11 * 0.875 AS cy, s_suppkey % 17 * 0.375 AS px, s_suppkey % 19 * 0.3125 AS py FROM supplier)"
-_P3 = "p AS (SELECT p_partkey AS k, p_size * 0.25 AS ax, p_partkey % 7 * 1.0 AS ay, p_partkey % 11 * 0.5 AS az, p_partkey % 13 * 0.75 AS bx, p_size % 9 * 1.125 AS by2, p_partkey % 5 * 1.0 AS bz, p_partkey % 17 * 0.3125 AS cx, p_partkey % 3 * 2.0 AS cy, p_size % 4 * 1.5 AS cz FROM part)"
+_P2 = "p AS (SELECT s_suppkey AS k, floor(s_acctbal / 16) / 64::DOUBLE AS ax, s_nationkey * 0.5::DOUBLE AS ay, s_suppkey % 13 * 0.75::DOUBLE AS bx, s_suppkey % 7 * 1.25::DOUBLE AS by2, s_suppkey % 5 * 1.125::DOUBLE - 2 AS cx, s_suppkey % 11 * 0.875::DOUBLE AS cy, s_suppkey % 17 * 0.375::DOUBLE AS px, s_suppkey % 19 * 0.3125::DOUBLE AS py FROM supplier)"
+_P3 = "p AS (SELECT p_partkey AS k, p_size * 0.25::DOUBLE AS ax, p_partkey % 7 * 1.0::DOUBLE AS ay, p_partkey % 11 * 0.5::DOUBLE AS az, p_partkey % 13 * 0.75::DOUBLE AS bx, p_size % 9 * 1.125::DOUBLE AS by2, p_partkey % 5 * 1.0::DOUBLE AS bz, p_partkey % 17 * 0.3125::DOUBLE AS cx, p_partkey % 3 * 2.0::DOUBLE AS cy, p_size % 4 * 1.5::DOUBLE AS cz FROM part)"
 
 
 def plane_points(spark, sf_dir):
@@ -208,10 +208,11 @@ def watershed(spark, sf_dir):
     return V.watershed(cells, W.local_maxima(cells, "open_height").select("i0", "i1", "seed"))
 
 
-@query("g41_laplace", f"WITH {_TRIANGLES}, v AS (SELECT n AS v, n * n * 0.1 AS x, n * 0.5 AS y, n % 3 * 1.0 AS z FROM (SELECT unnest(generate_series(0, 11)) AS n)), e AS (SELECT i AS v, j AS n FROM tri UNION ALL SELECT i, k FROM tri UNION ALL SELECT j, i FROM tri UNION ALL SELECT j, k FROM tri UNION ALL SELECT k, i FROM tri UNION ALL SELECT k, j FROM tri), s AS (SELECT e.v, count(*) AS m, sum(v.x) AS x, sum(v.y) AS y, sum(v.z) AS z FROM e JOIN v ON e.n = v.v GROUP BY e.v) SELECT v.v, round((v.x * 2 + coalesce(s.x, 0)) / (2 + coalesce(m, 0)), 6) AS x, round((v.y * 2 + coalesce(s.y, 0)) / (2 + coalesce(m, 0)), 6) AS y, round((v.z * 2 + coalesce(s.z, 0)) / (2 + coalesce(m, 0)), 6) AS z FROM v LEFT JOIN s USING (v)")
+@query("g41_laplace", f"WITH {_TRIANGLES}, v AS (SELECT n AS v, n % 11 * 0.25::DOUBLE AS x, n * 0.5::DOUBLE AS y, n % 3 * 1.0::DOUBLE AS z FROM (SELECT i AS n FROM tri UNION SELECT j FROM tri UNION SELECT k FROM tri)), e AS (SELECT i AS v, j AS n FROM tri UNION ALL SELECT i, k FROM tri UNION ALL SELECT j, i FROM tri UNION ALL SELECT j, k FROM tri UNION ALL SELECT k, i FROM tri UNION ALL SELECT k, j FROM tri), s AS (SELECT e.v, count(*) AS m, sum(v.x) AS x, sum(v.y) AS y, sum(v.z) AS z FROM e JOIN v ON e.n = v.v GROUP BY e.v) SELECT v.v, round((v.x * 2 + coalesce(s.x, 0)) / (2 + coalesce(m, 0)), 6) AS x, round((v.y * 2 + coalesce(s.y, 0)) / (2 + coalesce(m, 0)), 6) AS y, round((v.z * 2 + coalesce(s.z, 0)) / (2 + coalesce(m, 0)), 6) AS z FROM v LEFT JOIN s USING (v)")
 def laplace(spark, sf_dir):
-    n = F.col("id")
-    v = spark.range(12).select(n.alias("v"), (n * n * 0.1).alias("x"), (n * 0.5).alias("y"), (n % 3 * 1.0).alias("z"))
+    n = F.col("n")
+    v = triangles(spark, sf_dir).select(F.explode(F.array("i", "j", "k")).alias("n")).distinct()
+    v = v.select(n.alias("v"), (n % 11 * 0.25).alias("x"), (n * 0.5).alias("y"), (n % 3 * 1.0).alias("z"))
     return round_all(V.laplace_smooth(v, triangles(spark, sf_dir)))
 
 
