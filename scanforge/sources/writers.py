@@ -77,8 +77,14 @@ def edge_lines(edges: DataFrame) -> DataFrame:
     return edges.select(_line("x0", "y0", "x1", "y1"))
 
 
+#: Rows of a floor plan that one text may take to the driver; larger ones are written by floor_plan_documents.
+MOST_PLAN_ROWS = 1_000_000
+
+
 def floor_plan_text(res: float, verts: DataFrame, tris: DataFrame, rooms: DataFrame) -> str:
-    """The text of a floor plan, a small file: a few thousand vertices at most."""
+    """The text of a floor plan, a small file. Raises ValueError beyond MOST_PLAN_ROWS vertices, triangles or room triangles."""
+    if any(d.limit(MOST_PLAN_ROWS + 1).count() > MOST_PLAN_ROWS for d in (verts, tris, rooms)):
+        raise ValueError("too large a floor plan for one text; use floor_plan_documents")
     v, t = verts.orderBy("v").collect(), tris.orderBy("t").collect()
     r = rooms.groupBy("room", "z_min", "z_max").agg(F.array_sort(F.collect_list("t")).alias("ts")).orderBy("room").collect()
     lines = [str(res), str(len(v)), str(len(t)), str(len(r)), *(f"{x['x']!r} {x['y']!r}" for x in v), *(f"{x['i']} {x['j']} {x['k']}" for x in t)]
