@@ -78,6 +78,12 @@ def antialiased(pixels: DataFrame, wanted: DataFrame, radius: int, channels: lis
     return at.join(pixels, ["row", "col"]).groupBy(*key).agg(*[F.avg(c).alias(c) for c in channels])
 
 
+def unmasked(pixels: DataFrame, mask: DataFrame, camera: list[str]) -> DataFrame:
+    """Pixels (camera columns, row, col) that the mask of their camera (same columns, usable) lets through; a pixel that it does not list is not usable."""
+    keys = [*camera, "row", "col"]
+    return pixels.join(mask.where("usable").select(*keys).distinct(), keys, "left_semi")
+
+
 def first_room_images(hits: DataFrame, image: str, room: str) -> DataFrame:
     """Number of images by room, each counted in the smallest room that it lies in."""
     w = Window.partitionBy(image).orderBy(room)

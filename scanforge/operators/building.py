@@ -155,3 +155,18 @@ def farthest_pair(points: DataFrame, by: list[str]) -> DataFrame:
     d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
     best = points.join(other, by).where("p < q").groupBy(*by).agg(F.max(F.struct(d2.alias("d"), (-F.col("p")).alias("a"), (-F.col("q")).alias("b"))).alias("m"))
     return best.select(*by, (-F.col("m.a")).alias("a"), (-F.col("m.b")).alias("b"), F.sqrt("m.d").alias("distance"))
+
+
+def room_pixels(pixels: DataFrame, rooms: DataFrame, resolution: float, offset_x: float, offset_y: float, width: float) -> DataFrame:
+    """Pixels (row, col) of a plan image that lie in the polygon of some room, its boundary included; the others are blanked by leaving them out.
+
+    model = (image - offset) * resolution, as in coordinate maps. Rooms have polygon, an array of struct<x, y>; both sides meet on
+    plan cells of a width.
+    """
+    cells = rooms.select("polygon")
+    for n, a in enumerate("xy"):
+        cells = cells.withColumn(f"i{n}", F.explode(F.sequence(F.floor(F.array_min(F.col(f"polygon.{a}")) / width), F.floor(F.array_max(F.col(f"polygon.{a}")) / width))))
+    at = pixels.withColumns({"__x": (F.col("col") - offset_x) * resolution, "__y": (F.col("row") - offset_y) * resolution})
+    at = at.withColumns({"i0": F.floor(F.col("__x") / width), "i1": F.floor(F.col("__y") / width)})
+    on = (at["i0"] == cells["i0"]) & (at["i1"] == cells["i1"]) & G.polygon_contains(F.col("__x"), F.col("__y"), F.col("polygon"))
+    return at.join(cells, on, "left_semi").select(*pixels.columns)

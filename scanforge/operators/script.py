@@ -19,18 +19,19 @@ class Command:
 
     arity: frozenset[int]
     scoped: bool
-    build: Callable[[list[float], str], Operator]
+    build: Callable[[list, str], Operator]
     help: str
+    words: bool = False
 
 
 COMMANDS: dict[str, Command] = {}
 
 
-def command(keyword: str, *arity: int, scoped: bool = True, help: str = ""):
-    """Register a row operator under a keyword of the script language."""
+def command(keyword: str, *arity: int, scoped: bool = True, help: str = "", words: bool = False):
+    """Register a row operator under a keyword of the script language; its arguments are numbers, or words as they stand."""
 
     def register(build):
-        COMMANDS[keyword.upper()] = Command(frozenset(arity), scoped, build, help)
+        COMMANDS[keyword.upper()] = Command(frozenset(arity), scoped, build, help, words)
         return build
 
     return register
@@ -53,7 +54,7 @@ def parse(text: str, order: list[str] | None = None) -> list[Operator]:
         scope = rest.pop().upper() if known.scoped and rest and rest[-1].upper() in (filters.ALL, filters.VALID, filters.INVALID) else filters.ALL
         if len(rest) not in known.arity:
             raise ValueError(f"{words[0]} takes {sorted(known.arity)} arguments, not {len(rest)}")
-        operator = known.build([float(v) for v in rest], scope)
+        operator = known.build(rest if known.words else [float(v) for v in rest], scope)
         chain.append((lambda op: lambda df: op(df, order))(operator) if keyword == "DECIMATE" else operator)
     return chain
 
@@ -119,3 +120,14 @@ def _translate(a, scope):
 @command("Recolor", 1, 3, help="grey or red, green, blue")
 def _recolor(a, scope):
     return lambda df: filters.recolor(df, *map(int, a), scope=scope)
+
+
+@command("Output", 1, help="write the rows in scope, as they are by now, to a folder; the format is taken from its extension", words=True)
+def _output(a, scope):
+    from ..sources.writers import write_points
+
+    def run(df):
+        write_points(df.where(filters.in_scope(scope)), a[0], a[0].rsplit(".", 1)[-1].lower())
+        return df
+
+    return run

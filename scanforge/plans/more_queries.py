@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..arguments import Tag
+from ..arguments import parse as parse_arguments
 from ..functions import camera as M
 from ..functions import colour as C
 from ..functions import shapes as G
@@ -16,8 +20,10 @@ from ..operators import joins as J
 from ..operators import sets as S
 from ..operators import surfaces as U
 from ..operators import volume as V
+from ..operators.components import checkpoint_folder
 from ..operators.script import run_script
 from ..sources import sensors
+from ..sources import text as T
 from .inputs import points, poses, samples, seconds, sql, table
 from .registry import query, round_all
 from .shape_queries import _P2, _P3, _VOX, leaves, plane_points, space_points, voxels
@@ -89,6 +95,47 @@ def covers(spark, sf_dir):
     return plane_points(spark, sf_dir).select("k", B.polygon_covers_box(ring, low, [c + 1 for c in low]).alias("covers"))
 
 
+@query("f14_output", sql("SELECT x, z + 1 AS z, timestamp FROM points WHERE x BETWEEN 5 AND 60 AND y BETWEEN 5 AND 45 AND z BETWEEN 0 AND 8", "points"))
+def output(spark, sf_dir):
+    """The rows in scope in the middle of a script, as they were then."""
+    path = f"{checkpoint_folder(spark)}/{uuid.uuid4()}.xyz"
+    run_script(points(spark, sf_dir), f"PartitionAABB 5 60 5 45 0 8\nTranslate 0 0 1\nOutput {path} VALID\nScale 7\n", ["timestamp", "index", "x", "y", "z", "part"])
+    return T.load_points(spark, path).select("x", "z", "timestamp")
+
+
+_PIXELS = "px AS (SELECT s_suppkey % 5 AS camera, CAST(n AS INT) AS col, s_suppkey % 40 AS row FROM supplier, (SELECT unnest(generate_series(0, 39)) AS n))"
+
+
+def _pixels(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select((k % 5).alias("camera"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("col"), (k % 40).alias("row"))
+
+
+@query("f37_room_pixels", f"WITH {_PIXELS} SELECT camera, col, row FROM px WHERE ((col - 2) * 0.5 BETWEEN 1 AND 6 AND (row - 3) * 0.5 BETWEEN 1 AND 4) OR ((col - 2) * 0.5 BETWEEN 9 AND 14 AND (row - 3) * 0.5 BETWEEN 0 AND 12)")
+def room_pixels(spark, sf_dir):
+    ring = lambda x0, y0, x1, y1: F.struct(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]).alias("polygon"))
+    rooms = spark.range(1).select(F.inline(F.array(ring(1, 1, 6, 4), ring(9, 0, 14, 12))))
+    return B.room_pixels(_pixels(spark, sf_dir), rooms, 0.5, 2.0, 3.0, 3.0)
+
+
+@query("f38_unmasked_pixels", f"WITH {_PIXELS} SELECT camera, col, row FROM px WHERE (camera + col) % 3 > 0 AND row % 2 = 0")
+def unmasked(spark, sf_dir):
+    px = _pixels(spark, sf_dir)
+    mask = px.where("row % 2 = 0").withColumn("usable", (F.col("camera") + F.col("col")) % 3 > 0)
+    return M.unmasked(px, mask, ["camera"])
+
+
+@query("u05_arguments", "SELECT n_nationkey AS k, n_name || '.xyz' AS infile, n_regionkey * 0.5::DOUBLE AS res, n_nationkey % 2 = 0 AS fast FROM nation")
+def arguments(spark, sf_dir):
+    """A command line for each nation, told apart again; command lines are a few words on the driver."""
+    tags = [Tag("-i", values=0, extensions=(".xyz", ".pts"), required=True), Tag("-r", values=1, required=True), Tag("--fast")]
+    rows = []
+    for r in table(spark, sf_dir, "nation").collect():
+        got = parse_arguments(tags, ["-r", str(r["n_regionkey"] * 0.5), f"{r['n_name']}.xyz", *(["--fast"] if r["n_nationkey"] % 2 == 0 else [])])
+        rows.append((r["n_nationkey"], got["-i"][0], float(got["-r"][0]), got["--fast"]))
+    return spark.createDataFrame(rows, "k int, infile string, res double, fast boolean")
+
+
 # --- joins ----------------------------------------------------------------------------------------------------------------
 
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 import math
 
 import pandas as pd
@@ -97,3 +99,14 @@ def test_loops_and_rooms(spark):
     b = spark.createDataFrame([(0, 0, 1, 1.0), (0, 1, 2, 5.0), (0, 2, 3, 2.0)], "level int, u long, v long, length double")
     s = spark.createDataFrame([(0, 0, 7), (0, 3, 9)], "level int, t long, room long")
     assert {r["t"]: r["room"] for r in V.flood_rooms(t, b, s, "level").collect()} == {0: 7, 1: 9, 2: 9, 3: 9, 4: -1}
+
+
+def test_arguments():
+    from scanforge.arguments import Tag, parse
+
+    tags = [Tag("-i", required=True, extensions=(".xyz", ".PTS")), Tag("-r", values=2), Tag("-v")]
+    assert parse(tags, ["a.xyz", "-r", "1", "2", "b.pts", "-v"]) == {"-i": ["a.xyz", "b.pts"], "-r": ["1", "2"], "-v": True}
+    assert parse(tags, ["a.xyz"]) == {"-i": ["a.xyz"], "-r": [], "-v": False}
+    for words in ([], ["a.txt"], ["a.xyz", "-r", "1"], ["a.xyz", "-q"]):
+        with pytest.raises(ValueError):
+            parse(tags, words)
