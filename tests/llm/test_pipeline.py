@@ -79,3 +79,62 @@ def test_entry_without_this_subpackage():
     root = Path(__file__).resolve().parents[2]
     code = "import sys; sys.modules['x']=1; import importlib.util as u; f=u.find_spec; u.find_spec=lambda n,*a: None if n.startswith(('scanforge.llm','corpus_pipeline')) else f(n,*a); import __spark_entry__ as e; q=e.queries(); assert q and not any(k.startswith('op') and k[2].isdigit() for k in q); assert not any('scanforge.llm' in m for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def alike(a, b):
+    """Whether texts have a Jaccard similarity of 0.8 or more by distinct 5-word shingles; texts without words are alike."""
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    x, y = shingles(a), shingles(b)
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
+def test_run_against_loops(spark, tmp_path, case):
+    """Every stage once more by plain loops over rows, with the fitted models as the only thing in common."""
+    from scanforge.llm import langid, toxicity
+
+    docs, labels, _ = case
+    sf = folder(spark, tmp_path, docs, labels)
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    toxic = toxicity.fit(df, spark.read.parquet(f"{sf}/labels.parquet"))
+    left = [d for d in docs if toxic.scores([d[1]])[0] < corpus_pipeline.TOXIC_SCORE]
+    lang = langid.fit(spark.createDataFrame(left, COLUMNS))
+    left = [d for d in left if lang.predict([d[1]])[1][0] >= corpus_pipeline.LANGUAGE_SCORE]
+
+    root = list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if alike(left[i][1], left[j][1]):
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    first = {}
+    for r, d in zip(root, left):
+        if r not in first or first[r][0] is None or d[0] is not None and d[0] < first[r][0]:
+            first[r] = d
+    left = list(first.values())
+
+    size, where = corpus_pipeline.PASSAGE_BYTES, {}
+    data = [(d[1] or "").encode() for d in left]
+    for k, b in enumerate(data):
+        for p in range(len(b) - size + 1):
+            where.setdefault(b[p : p + size], []).append((k, p))
+    gone = [set() for _ in data]
+    for places in where.values():
+        if len(places) > 1:
+            for k, p in places:
+                gone[k].update(range(p, p + size))
+    kept = [bytes(v for i, v in enumerate(b) if i not in g).decode(errors="ignore") for b, g in zip(data, gone)]
+    assert any(gone)
+
+    got = corpus_pipeline.run(spark, sf).collect()
+    tokens = {}
+    for r in got:
+        tokens[r["doc_id"]] = tokens.get(r["doc_id"], 0) + r["n_tokens"]
+    assert tokens == {d[0]: len(t.split()) for d, t in zip(left, kept)}
+    bins = {}
+    for r in got:
+        if r["n_tokens"]:
+            bins.setdefault((r["bin_id"], r["capacity"]), []).append((r["offset"], r["n_tokens"]))
+    assert all(sum(n for _, n in own) <= c for (_, c), own in bins.items())
