@@ -268,3 +268,81 @@ def drop_small_rooms(rooms: DataFrame, borders: DataFrame, by: str, most: float)
         return own[own["room"].isin(stays)][[by, "room", "area"]]
 
     return rows.groupBy(by).applyInPandas(run, f"{by} {rooms.schema[by].dataType.simpleString()}, room {rooms.schema['room'].dataType.simpleString()}, area {rooms.schema['area'].dataType.simpleString()}")
+
+
+def fill_ring(points: np.ndarray) -> list[tuple[int, int, int]]:
+    """Triangles of a simple polygon that runs anticlockwise, by cutting ears: of all ears that with the shortest diagonal, then the first.
+
+    Where repeated or straight points leave no proper ear, the corner that turns most to the left is cut, so that n points always
+    give n - 2 triangles.
+    """
+    left, out = list(range(len(points))), []
+
+    def turn(a, b, c):
+        return (points[b][0] - points[a][0]) * (points[c][1] - points[a][1]) - (points[b][1] - points[a][1]) * (points[c][0] - points[a][0])
+
+    while len(left) >= 3:
+        best = None
+        for n in range(len(left)):
+            a, b, c = left[n - 1], left[n], left[(n + 1) % len(left)]
+            area = turn(a, b, c)
+            ear = area > 0 and not any(min(turn(a, b, v), turn(b, c, v), turn(c, a, v)) >= 0 for v in left if v not in (a, b, c))
+            diagonal = float(((points[a] - points[c]) ** 2).sum())
+            key = (0, diagonal, n) if ear else (1, -area, n)
+            if best is None or key < best[0]:
+                best = (key, n, (a, b, c))
+        out.append(best[2])
+        left.pop(best[1])
+    return out
+
+
+def fill_loops(df: DataFrame, loop: str, order: str, key: str) -> DataFrame:
+    """(loop, i, j, k): triangles that fill each loop of points (key, x, y), which run anticlockwise in their order. A loop is one task."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        ids = pdf[key].to_numpy()
+        got = [tuple(ids[v] for v in t) for t in fill_ring(pdf[["x", "y"]].to_numpy(float))]
+        out = pd.DataFrame(got, columns=["i", "j", "k"])
+        out.insert(0, loop, pdf[loop].iloc[0])
+        return out
+
+    return df.select(loop, order, *([key] if key != order else []), "x", "y").groupBy(loop).applyInPandas(run, f"{loop} {df.schema[loop].dataType.simpleString()}, i {kind}, j {kind}, k {kind}")
+
+
+def largest_circles(triangles: DataFrame, neighbours: DataFrame, by: str, least: float) -> DataFrame:
+    """(by, t): triangles of radius `least` or more whose circumcircle no larger one meets among those that a walk leads to.
+
+    triangles: by, t, x, y, r, the circle; neighbours: by, u, v. The walk goes from triangle to neighbour over circles that meet the
+    first one. Each triangle is judged by itself, so that their order does not matter; a storey is one task.
+    """
+    none = lambda c, k: F.lit(None).cast(k).alias(c)
+    rows = triangles.select(by, F.col("t").cast("long").alias("t"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "r")], none("v", "long"))
+    rows = rows.unionByName(neighbours.select(by, F.col("u").cast("long").alias("t"), none("x", "double"), none("y", "double"), none("r", "double"), F.col("v").cast("long").alias("v")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, link = pdf[pdf["v"].isna()], pdf[pdf["v"].notna()]
+        circle = {int(t): (x, y, r) for t, x, y, r in zip(own["t"], own["x"], own["y"], own["r"])}
+        near: dict[int, list[int]] = {}
+        for a, b in zip(link["t"], link["v"]):
+            near.setdefault(int(a), []).append(int(b))
+            near.setdefault(int(b), []).append(int(a))
+        top = []
+        for t, (x, y, r) in circle.items():
+            if not r >= least:
+                continue
+            seen, todo, beaten = {t}, [t], False
+            while todo and not beaten:
+                for n in near.get(todo.pop(), ()):
+                    if n not in seen and n in circle:
+                        seen.add(n)
+                        nx, ny, nr = circle[n]
+                        if (nx - x) ** 2 + (ny - y) ** 2 <= (r + nr) ** 2:
+                            beaten = beaten or nr > r
+                            todo.append(n)
+            if not beaten:
+                top.append(t)
+        return pd.DataFrame({by: pdf[by].iloc[0], "t": pd.Series(sorted(top), dtype="int64")})
+
+    return rows.groupBy(by).applyInPandas(run, f"{by} {triangles.schema[by].dataType.simpleString()}, t long")

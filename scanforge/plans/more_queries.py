@@ -17,6 +17,7 @@ from ..operators import building as B
 from ..operators import carving as K
 from ..operators import filters as L
 from ..operators import joins as J
+from ..operators import mesh as E
 from ..operators import sets as S
 from ..operators import surfaces as U
 from ..operators import volume as V
@@ -489,3 +490,32 @@ def states(spark, sf_dir):
 def named_colours(spark, sf_dir):
     c = C.palette("jet", F.col("y") / 50)
     return points(spark, sf_dir).select("frame", c["r"].alias("r"), c["b"].alias("b"))
+
+
+_STARS = "c AS (SELECT c_custkey // 12 AS loop, c_custkey AS k, row_number() OVER (PARTITION BY c_custkey // 12 ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_custkey // 12) AS m FROM customer), s AS (SELECT loop, k, i, m, (1 + k * 7 % 5 / 4.0::DOUBLE) * cos(2 * pi() * i / m) AS x, (1 + k * 7 % 5 / 4.0::DOUBLE) * sin(2 * pi() * i / m) AS y FROM c)"
+
+
+@query("g52_filled_loops", f"WITH {_STARS}, n AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM s WINDOW w AS (PARTITION BY loop ORDER BY i)) SELECT loop, count(*) - 2 AS triangles, round(sum(x * ny - nx * y) / 2, 6) AS area FROM n GROUP BY loop HAVING count(*) >= 3")
+def filled_loops(spark, sf_dir):
+    """Stars of twelve customers each: n corners give n - 2 triangles, whose areas add up to that of the star."""
+    k, w = F.col("c_custkey"), Window.partitionBy("loop").orderBy("k")
+    c = table(spark, sf_dir, "customer").select(F.floor(k / 12).alias("loop"), k.alias("k"))
+    c = c.withColumns({"i": F.row_number().over(w) - 1, "m": F.count("*").over(Window.partitionBy("loop")), "r": 1 + F.col("k") * 7 % 5 / 4.0})
+    turn = 2 * F.pi() * F.col("i") / F.col("m")
+    c = c.select("loop", "k", "i", (F.col("r") * F.cos(turn)).alias("x"), (F.col("r") * F.sin(turn)).alias("y"))
+    tri = E.fill_loops(c, "loop", "i", "k")
+    for n in "ijk":
+        tri = tri.join(c.select("loop", F.col("k").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y")), ["loop", n]) if n != "k" else tri.join(c.select("loop", "k", F.col("x").alias("kx"), F.col("y").alias("ky")), ["loop", "k"])
+    area = G.orient2d(*[G.vec(f"{n}x", f"{n}y") for n in "ijk"]) / 2
+    return tri.groupBy("loop").agg(F.count("*").alias("triangles"), F.round(F.sum(area), 6).alias("area"))
+
+
+_CIRCLES = "c AS (SELECT o_custkey % 20 AS level, o_orderkey AS t, o_orderkey % 97 * 0.5::DOUBLE AS x, o_custkey % 31 * 0.5::DOUBLE AS y, 0.25 + o_orderkey % 13 * 0.25::DOUBLE AS r FROM orders), l AS (SELECT level, t AS u, lead(t) OVER (PARTITION BY level ORDER BY t) AS v FROM c)"
+
+
+@query("w07_largest_circles", f"WITH RECURSIVE {_CIRCLES}, e AS (SELECT level, u, v FROM l WHERE v IS NOT NULL UNION ALL SELECT level, v, u FROM l WHERE v IS NOT NULL), w(level, t, n) AS (SELECT level, t, t FROM c WHERE r >= 0.381 UNION SELECT w.level, w.t, e.v FROM w JOIN e ON e.level = w.level AND e.u = w.n JOIN c a ON a.t = w.t JOIN c b ON b.t = e.v WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= (a.r + b.r) * (a.r + b.r)) SELECT w.level, w.t FROM w JOIN c a ON a.t = w.t JOIN c b ON b.t = w.n GROUP BY w.level, w.t, a.r HAVING max(b.r) <= a.r")
+def largest_circles(spark, sf_dir):
+    o, u = F.col("o_orderkey"), F.col("o_custkey")
+    c = table(spark, sf_dir, "orders").select((u % 20).alias("level"), o.alias("t"), (o % 97 * 0.5).alias("x"), (u % 31 * 0.5).alias("y"), (0.25 + o % 13 * 0.25).alias("r"))
+    links = c.select("level", F.col("t").alias("u"), F.lead("t").over(Window.partitionBy("level").orderBy("t")).alias("v")).where("v is not null")
+    return E.largest_circles(c, links, "level", 0.381)

@@ -146,3 +146,15 @@ def test_palettes(spark):
     got = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (2.0,)], "v double").select(*[C.palette(n, F.col("v")).alias(n) for n in ("grey", "hot", "jet", "cool")]).collect()
     assert [tuple(r["grey"]) for r in got] == [(0, 0, 0), (127, 127, 127), (255, 255, 255), (255, 255, 255)]
     assert tuple(got[0]["jet"]) == (0, 0, 127) and tuple(got[2]["hot"]) == (255, 255, 255) and tuple(got[1]["cool"]) == (127, 127, 255)
+
+
+def test_filled_rings():
+    rnd = random.Random(8)
+    for _ in range(40):
+        n = rnd.randint(3, 20)
+        ring = np.array([[rnd.uniform(0.5, 2) * f(2 * np.pi * k / n) for f in (np.cos, np.sin)] for k in range(n)])
+        got = E.fill_ring(ring)
+        areas = [((ring[b] - ring[a])[0] * (ring[c] - ring[a])[1] - (ring[b] - ring[a])[1] * (ring[c] - ring[a])[0]) / 2 for a, b, c in got]
+        whole = sum(ring[k - 1][0] * ring[k][1] - ring[k][0] * ring[k - 1][1] for k in range(n)) / 2
+        assert len(got) == n - 2 and abs(sum(areas) - whole) < 1e-9
+    assert len(E.fill_ring(np.zeros((5, 2)))) == 3 and E.fill_ring(np.zeros((2, 2))) == []
