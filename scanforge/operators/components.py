@@ -27,16 +27,20 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that lost executors need not redo what led to it."""
+    """Materialise df in the shared checkpoint folder, so that lost executors need not redo what led to it.
+
+    Not for loops: the optimiser keeps its estimate of the size, which a join multiplies, so that a loop of joins soon has it
+    multiply numbers of millions of digits. See stored().
+    """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder: columnar and compressed, for what is too wide for cut()."""
+    """df as a Parquet table in the shared checkpoint folder: columnar, compressed and of known size, for wide tables and for loops."""
     path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -77,7 +81,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (two long columns); component is the smallest node reachable.
 
     Alternating large-star and small-star rounds. Every batch of edges is first contracted to stars where it lies, and
-    minima are taken by partial aggregation, so a hub is never gathered in one task. Each round is checkpointed.
+    minima are taken by partial aggregation, so a hub is never gathered in one task. Each round is stored.
     """
     a, b = edges.columns[:2]
     cur = (
@@ -86,7 +90,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .mapInArrow(_contract, "u long, v long")
         .distinct()
     )
-    cur = cut(cur)
+    cur = stored(cur)
     seen = None
     for _ in range(max_rounds):
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -100,7 +104,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        cur = cut(small)
+        cur = stored(small)
         mark = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen:
             break

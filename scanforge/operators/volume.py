@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components, cut
+from .components import connected_components, stored
 
 #: The order of faces in a voxel's state is y-, x+, y+, x-, z-, z+.
 FACES = [(0, -1, 0), (1, 0, 0), (0, 1, 0), (-1, 0, 0), (0, 0, -1), (0, 0, 1)]
@@ -67,14 +67,14 @@ def majority_flip(leaves: DataFrame, neighbours: DataFrame, threshold: float = 0
     """
     if not 0.5 < threshold <= 1:
         return leaves
-    links = cut(neighbours.select("a", "b", "area").union(neighbours.select(F.col("b"), F.col("a"), "area")))
+    links = stored(neighbours.select("a", "b", "area").union(neighbours.select(F.col("b"), F.col("a"), "area")))
     while True:
         changed = 0
         for kind in (True, False):
             state = leaves.select(F.col(key).alias("b"), F.col(inside).alias("other"))
             vote = links.join(state, "b").groupBy(F.col("a").alias(key)).agg(F.sum(F.when(F.col("other") != F.lit(kind), F.col("area")).otherwise(0.0)).alias("against"), F.sum("area").alias("total"))
             flips = leaves.where(F.col(inside) == F.lit(kind)).join(vote, key).where(F.col("against") > threshold * F.col("total")).select(key, F.lit(True).alias("__flip"))
-            leaves = cut(leaves.join(flips, key, "left").withColumn(inside, F.col(inside) != F.coalesce("__flip", F.lit(False))).withColumn("__flip", F.coalesce("__flip", F.lit(False))))
+            leaves = stored(leaves.join(flips, key, "left").withColumn(inside, F.col(inside) != F.coalesce("__flip", F.lit(False))).withColumn("__flip", F.coalesce("__flip", F.lit(False))))
             changed += leaves.where("__flip").count()
             leaves = leaves.drop("__flip")
         if not changed:
@@ -90,14 +90,17 @@ def remove_thin_voxels(interior: DataFrame, most_open: int = 3) -> DataFrame:
     if most_open < 3:
         raise ValueError("most_open must be 3 or more")
     axes = ["ix", "iy", "iz"]
-    interior = cut(interior.select(*axes))
+    interior = stored(interior.select(*axes))
     while True:
-        thin = cut(open_sides(interior).where(F.col("open_sides") > most_open).select(*axes))
-        interior = cut(interior.join(thin, axes, "left_anti"))
-        notches = cut(boundary_voxels(interior).where(F.bit_count("state") > most_open).select(*axes))
-        if thin.isEmpty() and notches.isEmpty():
+        thin = stored(open_sides(interior).where(F.col("open_sides") > most_open).select(*axes))
+        some_go = not thin.isEmpty()
+        if some_go:
+            interior = stored(interior.join(thin, axes, "left_anti"))
+        notches = stored(boundary_voxels(interior).where(F.bit_count("state") > most_open).select(*axes))
+        if not notches.isEmpty():
+            interior = stored(interior.unionByName(notches))
+        elif not some_go:
             return interior
-        interior = cut(interior.unionByName(notches))
 
 
 def watershed(cells: DataFrame, seeds: DataFrame, value: str = "open_height", by: list[str] | None = None) -> DataFrame:
