@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from ..functions import shapes as G
@@ -69,9 +71,11 @@ def corner_edges(spark, sf_dir):
 
 @query("g60_nearest_region", "SELECT l_orderkey AS face, arg_min(l_suppkey, (abs(0.6 * 1 + 0.8 * l_linenumber - (l_discount * 10 + l_suppkey * 0.0001)), l_suppkey)) AS region FROM lineitem GROUP BY 1")
 def nearest_region(spark, sf_dir):
+    # numbers that SQL writes as decimals are decimals here too: regions that lie equally far by one and not by the other would tie differently
+    one, zero, slope, unit = (F.lit(Decimal(v)) for v in ("1", "0", "0.6", "0.0001"))
     line = table(spark, sf_dir, "lineitem")
-    f = line.select(F.col("l_orderkey").alias("face")).distinct().withColumns({"fx": F.lit(1.0), "fy": F.lit(0.0), "fz": F.lit(1.0)})
-    c = line.select(F.col("l_orderkey").alias("face"), F.col("l_suppkey").alias("region"), F.lit(0.6).alias("nx"), F.lit(0.0).alias("ny"), (0.8 * F.col("l_linenumber")).alias("nz"), (F.col("l_discount") * 10 + F.col("l_suppkey") * 0.0001).alias("d"))
+    f = line.select(F.col("l_orderkey").alias("face")).distinct().withColumns({"fx": one, "fy": zero, "fz": one})
+    c = line.select(F.col("l_orderkey").alias("face"), F.col("l_suppkey").alias("region"), slope.alias("nx"), zero.alias("ny"), (F.lit(Decimal("0.8")) * F.col("l_linenumber")).alias("nz"), (F.col("l_discount") * 10 + F.col("l_suppkey") * unit).alias("d"))
     return S.nearest_region(f, c).select("face", "region")
 
 
