@@ -87,7 +87,9 @@ def chain_loops(edges: DataFrame) -> DataFrame:
     """
     import pandas as pd
 
-    comp = connected_components(edges.select("a", "b")).withColumnRenamed("node", "a").withColumnRenamed("component", "loop")
+    comp = connected_components(edges.select("a", "b")).withColumnRenamed("node", "a").withColumnRenamed("component", "__loop")
+    # an edge from a vertex to itself joins nothing: a vertex without other edges is a loop of its own
+    named = edges.join(comp, "a", "left").select("a", "b", F.coalesce("__loop", "a").alias("loop"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ways: dict[int, list[int]] = {}
@@ -99,7 +101,7 @@ def chain_loops(edges: DataFrame) -> DataFrame:
             at = ways[at].pop()
         return pd.DataFrame({"loop": pdf["loop"].iloc[0], "position": range(len(out)), "vertex": out})
 
-    return edges.join(comp, "a").groupBy("loop").applyInPandas(run, "loop long, position long, vertex long")
+    return named.groupBy("loop").applyInPandas(run, "loop long, position long, vertex long")
 
 
 def neighbour_triangles(triangles: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 from compare import canonical
 
+from scanforge.operators import sets as O
 from scanforge.plans.library import ORACLES, QUERIES
 
 
@@ -19,6 +20,12 @@ def against_sql(spark, folder, name, **tables):
     assert canonical(QUERIES[name](spark, str(folder)).toPandas()) == canonical(con.sql(ORACLES[name]).df())
 
 
+def test_ring_of_one_vertex_is_a_loop(spark, tmp_path):
+    against_sql(spark, tmp_path, "t20_t27_loops", customer=pd.DataFrame({"c_custkey": range(8)}))
+    edges = spark.createDataFrame([(5, 5), (1, 2), (2, 1)], "a long, b long")
+    assert sorted(map(tuple, O.chain_loops(edges).collect())) == [(1, 0, 1), (1, 1, 2), (5, 0, 5)]
+
+
 def test_nearest_region_ties_as_in_sql(spark, tmp_path):
     rows = [(1, 0, 1, 0.0), (1, 38000, 7, 0.1), (2, 7500, 1, 0.0), (2, 58500, 7, 0.1)]
     against_sql(spark, tmp_path, "g60_nearest_region", lineitem=pd.DataFrame(rows, columns=["l_orderkey", "l_suppkey", "l_linenumber", "l_discount"]).astype({"l_linenumber": "int32"}))
