@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import shapes as G
-from .joins import box_cells, segment_cells
+from .joins import box_cells, met_first, segment_cells
 
 
 def windows_on_walls(windows: DataFrame, walls: DataFrame) -> DataFrame:
@@ -31,16 +31,29 @@ def locate(points: DataFrame, triangles: DataFrame, width: float, key: list[str]
 
 
 def segment_triangles(segments: DataFrame, triangles: DataFrame, width: float, key: list[str]) -> DataFrame:
-    """Triangles that each segment (x0, y0)-(x1, y1) crosses or touches: key, t."""
+    """Triangles that each segment (x0, y0)-(x1, y1) crosses or touches: key, t.
+
+    A triangle without area is taken by the signs of its three sides like any other: it holds whatever lies on its line. Such
+    triangles, which are few, meet all starts; the others meet segments in grid cells.
+    """
+    low, high = ["lox", "loy"], ["hix", "hiy"]
     box = triangles.select("*", *[f(*[F.col(f"{c}{a}") for c in "abc"]).alias(f"{n}{a}") for a in "xy" for n, f in (("lo", F.least), ("hi", F.greatest))])
-    cells = box_cells(box, ["lox", "loy"], ["hix", "hiy"], width).drop("lox", "loy", "hix", "hiy")
-    met = segment_cells(segments, ["x0", "y0"], ["x1", "y1"], width).join(cells, ["i0", "i1"])
-    p, q = G.vec("x0", "y0"), G.vec("x1", "y1")
-    inside = G.in_triangle(p, G.vec("ax", "ay"), G.vec("bx", "by"), G.vec("cx", "cy"))
-    for a, b in (("a", "b"), ("b", "c"), ("c", "a")):
-        s, t = G.segment_crossing(p, q, G.vec(f"{a}x", f"{a}y"), G.vec(f"{b}x", f"{b}y"))
-        inside = inside | F.coalesce(s.between(0.0, 1.0) & t.between(0.0, 1.0), F.lit(False))
-    return met.where(inside).select(*key, "t").distinct()
+    met = segment_cells(segments, ["x0", "y0"], ["x1", "y1"], width, "p").join(box_cells(box, low, high, width), ["i0", "i1"]).where(met_first("p", low, high, width))
+    p, corners = G.vec("x0", "y0"), [G.vec(f"{c}x", f"{c}y") for c in "abc"]
+    # step by step, so that no number is worked out twice; a filter would take all of them into the join, so that an explode picks the hits
+    sides = [(corners[k], corners[(k + 1) % 3]) for k in range(3)]
+    steps = {"__r": G.sub(G.vec("x1", "y1"), p)} | {f"__e{k}": G.sub(b, a) for k, (a, b) in enumerate(sides)} | {f"__w{k}": G.sub(a, p) for k, (a, _) in enumerate(sides)}
+    met = met.select(*key, "t", *[c.alias(f"{n}{a}") for n, v in steps.items() for a, c in zip("xy", v)])
+    turn = lambda u, v: F.col(f"{u}x") * F.col(f"{v}y") - F.col(f"{u}y") * F.col(f"{v}x")
+    met = met.withColumns({f"__{n}{k}": turn(*uv) for k in range(3) for n, uv in (("o", (f"__w{k}", f"__e{k}")), ("l", (f"__w{k}", "__r")), ("d", ("__r", f"__e{k}")))})
+    inside = (F.least("__o0", "__o1", "__o2") >= 0) | (F.greatest("__o0", "__o1", "__o2") <= 0)
+    for k in range(3):
+        inside = inside | F.coalesce(F.try_divide(f"__o{k}", f"__d{k}").between(0.0, 1.0) & F.try_divide(f"__l{k}", f"__d{k}").between(0.0, 1.0), F.lit(False))
+    hit = met.select(*key, "t", F.explode(F.filter(F.array(inside), lambda v: v)))
+    # rounding may leave a trace of an area
+    flat = triangles.where(F.abs(G.orient2d(*corners)) <= 1e-9 * (1 + F.greatest(*[F.abs(F.col(f"{c}{a}")) for c in "abc" for a in "xy"]) ** 2))
+    starts = segments.select("x0", "y0").distinct().join(flat, G.in_triangle(p, *corners)).select("x0", "y0", "t")
+    return hit.select(*key, "t").union(segments.join(starts, ["x0", "y0"]).select(*key, "t")).distinct()
 
 
 def visited_rooms(rooms: DataFrame, path_hits: DataFrame, room: str = "room") -> DataFrame:

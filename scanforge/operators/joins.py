@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,8 +151,12 @@ def cell_lookup(df: DataFrame, cells: DataFrame, width: float, axes: list[str],
     return joined.withColumn(value, F.coalesce(F.col(value), F.lit(missing))).drop(*keys)
 
 
-def segment_cells(df: DataFrame, start: list[str], end: list[str], width: float) -> DataFrame:
-    """The grid cells that a segment crosses, as columns i0, i1, ...: one row for each, found from the crossings of grid lines."""
+def segment_cells(df: DataFrame, start: list[str], end: list[str], width: float, before: str | None = None) -> DataFrame:
+    """The grid cells that a segment crosses, as columns i0, i1, ...: one row for each, found from the crossings of grid lines.
+
+    With `before`, a prefix, the cell before it on the segment comes along, null for the first. The cells of a segment that lie in a
+    box follow on each other, so that a pair of both is met once where the cell before lies outside the box.
+    """
     def crossings(a, b):
         lo, hi = F.floor(F.least(a, b) / width), F.floor(F.greatest(a, b) / width)
         lines = F.when(hi > lo, F.sequence(lo + 1, hi)).otherwise(F.array().cast("array<bigint>"))
@@ -159,8 +165,18 @@ def segment_cells(df: DataFrame, start: list[str], end: list[str], width: float)
     t = F.concat(F.array(F.lit(0.0), F.lit(1.0)), *[crossings(F.col(a), F.col(b)) for a, b in zip(start, end)])
     cut = df.withColumn("__t", F.array_sort(F.array_distinct(F.filter(t, lambda v: v.between(0.0, 1.0)))))
     middle = F.transform(F.slice(F.col("__t"), F.lit(1), F.greatest(F.lit(1), F.size("__t") - 1)), lambda v, i: F.when(F.size("__t") > 1, (v + F.get(F.col("__t"), i + 1)) / 2).otherwise(v))
-    cut = cut.withColumn("__m", F.explode(middle))
-    return cut.withColumns({f"i{n}": F.floor((F.col(a) + (F.col(b) - F.col(a)) * F.col("__m")) / width) for n, (a, b) in enumerate(zip(start, end))}).drop("__t", "__m").distinct()
+    cell = lambda m: {n: F.floor((F.col(a) + (F.col(b) - F.col(a)) * m) / width) for n, (a, b) in enumerate(zip(start, end))}
+    if before is None:
+        cut = cut.withColumn("__m", F.explode(middle))
+        return cut.withColumns({f"i{n}": c for n, c in cell(F.col("__m")).items()}).drop("__t", "__m").distinct()
+    cut = cut.withColumn("__m", middle).select("*", F.posexplode("__m").alias("__k", "__v")).withColumn("__p", F.get("__m", F.col("__k") - 1))
+    cells = {f"i{n}": c for n, c in cell(F.col("__v")).items()} | {f"{before}{n}": c for n, c in cell(F.col("__p")).items()}
+    return cut.withColumns(cells).drop("__t", "__m", "__k", "__v", "__p")
+
+
+def met_first(before: str, low: list[str], high: list[str], width: float) -> Column:
+    """Whether the cell before, of segment_cells, lies outside a box."""
+    return F.col(f"{before}0").isNull() | ~reduce(and_, [F.col(f"{before}{n}").between(F.floor(F.col(a) / width), F.floor(F.col(b) / width)) for n, (a, b) in enumerate(zip(low, high))])
 
 
 def box_cells(df: DataFrame, low: list[str], high: list[str], width: float) -> DataFrame:

@@ -29,3 +29,12 @@ def test_ring_of_one_vertex_is_a_loop(spark, tmp_path):
 def test_nearest_region_ties_as_in_sql(spark, tmp_path):
     rows = [(1, 0, 1, 0.0), (1, 38000, 7, 0.1), (2, 7500, 1, 0.0), (2, 58500, 7, 0.1)]
     against_sql(spark, tmp_path, "g60_nearest_region", lineitem=pd.DataFrame(rows, columns=["l_orderkey", "l_suppkey", "l_linenumber", "l_discount"]).astype({"l_linenumber": "int32"}))
+
+
+def plane_tables(keys, balance):
+    return pd.DataFrame({"s_suppkey": keys, "s_nationkey": 0, "s_acctbal": balance}).astype({"s_nationkey": "int32"})
+
+
+def test_flat_triangles_as_in_sql(spark, tmp_path):
+    """1925 has no area: (0.90625, 0), (0.75, 0), (-2, 0), and starts of other rows lie on its line beyond its ends."""
+    against_sql(spark, tmp_path, "j46_g31_segment_triangles", supplier=plane_tables([1925, 19, 57, 1311, 17, 2], [930.0, 10.0, 99.0, 500.0, 7000.0, 1.0]))
