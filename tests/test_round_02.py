@@ -38,3 +38,16 @@ def plane_tables(keys, balance):
 def test_flat_triangles_as_in_sql(spark, tmp_path):
     """1925 has no area: (0.90625, 0), (0.75, 0), (-2, 0), and starts of other rows lie on its line beyond its ends."""
     against_sql(spark, tmp_path, "j46_g31_segment_triangles", supplier=plane_tables([1925, 19, 57, 1311, 17, 2], [930.0, 10.0, 99.0, 500.0, 7000.0, 1.0]))
+
+
+def test_equal_rays_and_triangles_are_tested_once(spark):
+    from scanforge.operators import mesh as M
+
+    ends, corners = ("ox", "oy", "oz", "ex", "ey", "ez"), [f"{c}{a}" for c in "abc" for a in "xyz"]
+    rays = spark.createDataFrame([(k, 0.3, 0.2, -5.0, 0.3, 0.2, 9.0) for k in range(40)], ("ray", *ends))
+    tri = spark.createDataFrame([(t, -4.0, -4.0, z, 6.0, -4.0, z, 0.0, 6.0, z) for t, z in ((7, 1.0), (3, 1.0), (1, 4.0))], ("t", *corners))
+    got = M.ray_hits(rays, tri, 2.0, ["ray"])
+    assert sorted(map(tuple, got.collect())) == [(k, 3, 6.0) for k in range(40)]
+    # one row for the rays' only direction meets the triangles
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 4
