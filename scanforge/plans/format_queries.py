@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,10 @@ def _line(*cols):
     return F.concat_ws(" ", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]).alias("value")
 
 
+#: Order of the lines of an order.
+_LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
 # --- points ---------------------------------------------------------------------------------------------------------------
 
 
@@ -183,11 +189,14 @@ def nearest_record(spark, sf_dir):
 
 @query("s29_k11_carve_map", "WITH c AS (SELECT l_suppkey % 16 AS file, dense_rank() OVER (PARTITION BY l_suppkey % 16 ORDER BY l_orderkey) - 1 AS frame, row_number() OVER (PARTITION BY l_suppkey % 16, l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS point, l_quantity AS x, l_discount AS planar_prob, l_orderkey * 1.0::DOUBLE AS sx FROM lineitem) SELECT file, frame, point, x, x + 1 AS cov, planar_prob, sx FROM c")
 def carve_map(spark, sf_dir):
-    def encode(p):
-        p = p.sort_values(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
-        return B.encode_carve_map([([float(k), 0.0, 0.0] + [0.5] * 6, [[q, 0.0, 0.0, q + 1, *[0.0] * 5, d, t] for q, d, t in zip(g["l_quantity"], g["l_discount"], g["l_tax"])]) for k, g in p.groupby("l_orderkey", sort=True)])
-
-    files = B.encoded(table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 16).alias("file"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"), "file", encode)
+    def encode(file, p, sizes):
+        keys = p["l_orderkey"].to_numpy(float)[np.cumsum(sizes) - sizes]
+        points = np.zeros((len(p), 11))
+        points[:, 0], points[:, 3], points[:, 9], points[:, 10] = p["l_quantity"], p["l_quantity"] + 1, p["l_discount"], p["l_tax"]
+        return B.carve_bytes(np.c_[keys, np.zeros((len(keys), 2)), np.full((len(keys), 6), 0.5)], sizes, points)
+
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 16).alias("file"), "l_orderkey", *_LINE_ORDER, "l_quantity", "l_discount", "l_tax")
+    files = B.encoded_frames(rows, "file", "l_orderkey", _LINE_ORDER, encode, lambda file, n: b"carvmap\0" + struct.pack("<Q", n))
     got = B.read_carve_map(spark, files)
     return got.select(F.col("path").cast("long").alias("file"), "frame", "point", F.get("point_mean", 0).alias("x"), F.get("point_cov", 0).alias("cov"), "planar_prob", F.get("sensor_mean", 0).alias("sx"))
 
@@ -235,14 +244,17 @@ def interior_histogram(spark, sf_dir):
 _FORMS = ("ascii", "little_endian", "big_endian")
 
 
-def _frames(p):
-    p = p.sort_values(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
-    return [(float(k), [(q, e, t, int(n), 0.25, d, 0.5) for q, e, t, n, d in zip(g["l_quantity"], g["l_extendedprice"], g["l_tax"], g["l_linenumber"], g["l_discount"])]) for k, g in p.groupby("l_orderkey", sort=True)]
+def _scan_files(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 15).alias("file"), "l_orderkey", *_LINE_ORDER, "l_quantity", "l_tax", "l_discount")
+    form = lambda file: _FORMS[file % 3]
 
+    def encode(file, p, sizes):
+        points = np.zeros(len(p), B.FSS_POINT)
+        for name, values in (("x", p["l_quantity"]), ("y", p["l_extendedprice"]), ("z", p["l_tax"]), ("intensity", p["l_linenumber"]), ("bias", 0.25), ("stddev", p["l_discount"]), ("width", 0.5)):
+            points[name] = values
+        return B.scan_bytes(p["l_orderkey"].to_numpy(float)[np.cumsum(sizes) - sizes], sizes, points, form(file))
 
-def _scan_files(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 15).alias("file"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "l_discount")
-    return B.encoded(rows, "file", lambda p: B.encode_scan_frames(_frames(p), f"scanner{p['file'].iloc[0]}", "centimeters", _FORMS[p["file"].iloc[0] % 3]))
+    return B.encoded_frames(rows, "file", "l_orderkey", _LINE_ORDER, encode, lambda file, n: B.scan_head(f"scanner{file}", "centimeters", form(file), n))
 
 
 @query("s08_s11_s61_k07_frames", "SELECT concat('scanner', l_suppkey % 15) AS scanner, CAST(l_orderkey AS DOUBLE) AS timestamp, count(*) AS points, round(sum(l_quantity), 6) AS x, CAST(sum(l_linenumber) AS BIGINT) AS intensity FROM lineitem GROUP BY ALL")
@@ -288,7 +300,15 @@ def depth_log(spark, sf_dir):
 
 @query("s14_tango", "SELECT CAST(event_id AS DOUBLE) AS timestamp, value AS px, 0.5::DOUBLE AS qx, CAST(user_id AS DOUBLE) AS x FROM events")
 def tango(spark, sf_dir):
-    files = B.encoded(_events(spark, sf_dir), "file", lambda p: S.encode_tango([(float(r.event_id), (r.value, 0.0, 0.0), (1.0, 0.5, 0.0, 0.0), [[r.user_id, 1, 2], [3, 4, 5]]) for r in p.itertuples()]))
+    def encode(file, p, sizes):
+        n, zero = len(p), np.zeros(len(p))
+        points = np.tile(np.array([0.0, 1, 2, 3, 4, 5]), (n, 1))
+        points[:, 0] = p["user_id"]
+        return S.tango_bytes(p["event_id"].to_numpy(float), np.c_[p["value"], zero, zero], np.tile([1.0, 0.5, 0.0, 0.0], (n, 1)), np.full(n, 2), points)
+
+    # each event is a frame of its own, so that a piece may end after any
+    rows = _events(spark, sf_dir).withColumn("row", F.monotonically_increasing_id())
+    files = B.encoded_frames(rows, "file", "row", [], encode, lambda file, n: S.TANGO_HEAD)
     got = S.read_tango(spark, files)
     return got.select("timestamp", F.get("position", 0).alias("px"), F.get("quaternion", 1).alias("qx"), F.get("points.x", 0).alias("x"))
 
@@ -340,12 +360,12 @@ def wifi_log(spark, sf_dir):
 
 @query("s47_k08_planar_scans", "SELECT l_suppkey % 16 AS serial, CAST(l_orderkey AS DOUBLE) AS timestamp, count(*) AS points, round(sum(1 - l_tax), 6) AS x, round(sum(2 + l_quantity), 6) AS y, 3.0::DOUBLE AS z FROM lineitem GROUP BY ALL")
 def planar_scans(spark, sf_dir):
-    def encode(p):
-        scans = [(float(k), g[["l_quantity", "l_tax"]].to_numpy(float) * 1000) for k, g in p.groupby("l_orderkey", sort=True)]
-        return B.encode_planar_scans(int(p["file"].iloc[0]), [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0], [1.0, 2.0, 3.0], scans)
+    def encode(file, p, sizes):
+        return B.planar_bytes(p["l_orderkey"].to_numpy(float)[np.cumsum(sizes) - sizes], sizes, p[["l_quantity", "l_tax"]].to_numpy(float) * 1000)
 
+    head = lambda file, n: B.planar_head(int(file), [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0], [1.0, 2.0, 3.0], n)
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 16).alias("file"), "l_orderkey", "l_quantity", "l_tax")
-    got = B.read_planar_scans(spark, B.encoded(rows, "file", encode))
+    got = B.read_planar_scans(spark, B.encoded_frames(rows, "file", "l_orderkey", [], encode, head))
     return got.groupBy("serial", "timestamp").agg(F.count("*").alias("points"), F.round(F.sum("x"), 6).alias("x"), F.round(F.sum("y"), 6).alias("y"), F.max("z").alias("z"))
 
 

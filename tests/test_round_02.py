@@ -51,3 +51,40 @@ def test_equal_rays_and_triangles_are_tested_once(spark):
     # one row for the rays' only direction meets the triangles
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") >= 4
+
+
+def in_parts(spark, content, size, path="a"):
+    rows = [(path, k, content[k * size : (k + 1) * size]) for k in range(-(-len(content) // size))]
+    return spark.createDataFrame(rows, "path string, part long, content binary").coalesce(1).sortWithinPartitions("path", "part")
+
+
+def test_frames_are_read_from_any_parts(spark):
+    from scanforge.sources import binary as B
+    from scanforge.sources import sensors as N
+
+    scans = [(0.5, [(1.0, 2.0, 3.0, 4, 0.1, 0.2, 0.3)] * 3), (1.5, []), (2.5, [(7.25, 0.0, -1.0, 9, 0.0, 0.5, 0.25)])]
+    for form in ("ascii", "little_endian", "big_endian"):
+        got = B.read_scan_frames(spark, in_parts(spark, B.encode_scan_frames(scans, "s", "meters", form), 7)).orderBy("frame_idx").collect()
+        assert [(r["scanner"], r["frame_idx"], r["timestamp"], [tuple(p) for p in r["points"]]) for r in got] == [("s", k, t, p) for k, (t, p) in enumerate(scans)]
+    carved = B.encode_carve_map([([1.0] * 9, [[float(v) for v in range(11)]] * 2), ([2.0] * 9, []), ([3.0] * 9, [[5.0] * 11])])
+    assert [(r["frame"], r["point"], r["sensor_mean"], r["corner_prob"]) for r in B.read_carve_map(spark, in_parts(spark, carved, 13)).collect()] == [(0, 0, [1.0] * 3, 10.0), (0, 1, [1.0] * 3, 10.0), (2, 0, [3.0] * 3, 5.0)]
+    tango = N.encode_tango([(1.0, (1, 2, 3), (4, 5, 6, 7), [[1, 2, 3], [4, 5, 6]]), (2.0, (0, 0, 0), (1, 0, 0, 0), [])])
+    assert [(r["frame_idx"], r["quaternion"], len(r["points"])) for r in N.read_tango(spark, in_parts(spark, tango, 11)).collect()] == [(0, [4.0, 5.0, 6.0, 7.0], 2), (1, [1.0, 0.0, 0.0, 0.0], 0)]
+
+
+def test_files_of_frames_are_made_in_parts(spark):
+    """No task holds a file: parts are of batches, and a frame that goes on in the next batch stays whole."""
+    from scanforge.sources import binary as B
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        rows = spark.createDataFrame([(f, k // 4, k, float(k)) for f in (1, 2, 3) for k in range(20)], "file long, frame long, n long, x double")
+        encode = lambda file, p, sizes: B.planar_bytes(p["frame"].to_numpy(float)[sizes.cumsum() - sizes], sizes, p[["x", "n"]].to_numpy(float))
+        files = B.encoded_frames(rows, "file", "frame", ["n"], encode, lambda file, n: B.planar_head(file, [1.0, 0, 0, 0, 1, 0, 0, 0, 1], [0.0, 0, 0], n))
+        assert all(n > 3 for n in (r["count"] for r in files.groupBy("path").count().collect()))
+        got = B.read_planar_scans(spark, files).groupBy("serial", "timestamp").count().collect()
+        assert sorted(map(tuple, got)) == [(f, float(t), 4) for f in (1, 2, 3) for t in range(5)]
+    finally:
+        spark.conf.set(key, kept)
