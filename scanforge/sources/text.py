@@ -168,10 +168,10 @@ def read_mesh_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """
     files = _whole(spark, path)
     verts = files.select("file", F.posexplode(_starting("v")).alias("v", "line")).select("v", F.split("line", r"\s+").alias("t"), "file")
-    # how many vertices there are before each face
-    step = lambda acc, line: F.struct((acc["n"] + line.startswith("v ").cast("int")).alias("n"), F.when(line.startswith("f "), F.concat(acc["f"], F.array(F.struct(acc["n"].alias("n"), line.alias("line"))))).otherwise(acc["f"]).alias("f"))
-    none = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<n: int, line: string>>").alias("f"))
-    faces = files.select("file", F.posexplode(F.aggregate("lines", none, step)["f"]).alias("f", "s")).select("file", "f", "s.n", F.split("s.line", r"\s+").alias("t"))
+    # the place of a face among vertices and faces, less its number, is how many vertices there are before it
+    both = F.filter("lines", lambda v: v.startswith("v ") | v.startswith("f "))
+    own = F.filter(F.transform(both, lambda v, i: F.struct(i.alias("i"), v.alias("line"))), lambda s: s["line"].startswith("f "))
+    faces = files.select("file", F.posexplode(own).alias("f", "s")).select("file", "f", (F.col("s.i") - F.col("f")).alias("n"), F.split("s.line", r"\s+").alias("t"))
     number = lambda w: F.get(F.split(w, "/"), 0).try_cast("int")
     corner = F.transform(F.slice("t", F.lit(2), F.size("t") - 1), lambda w: F.when(number(w) < 0, F.col("n") + number(w)).otherwise(number(w) - 1))
     return verts.select("v", *[_num(i + 1).alias(c) for i, c in enumerate("xyz")], "file"), faces.select("f", corner.alias("vertices"), "file")
@@ -186,9 +186,10 @@ def read_image_list(spark: SparkSession, path: str) -> DataFrame:
 def read_camera_file(spark: SparkSession, path: str) -> DataFrame:
     """serial, k (9), r (9), translation (3), mask, image, timestamp and file of camera files, one row for each image; small files."""
     numbers = lambda line, c: F.transform(F.split(F.get("lines", line), r"\s+"), lambda v: v.try_cast("double")).alias(c)
-    files = _whole(spark, path).select("file", _word(0).alias("serial"), numbers(1, "k"), numbers(2, "r"), numbers(3, "translation"), F.element_at("lines", -1).alias("mask"), F.explode(F.slice("lines", F.lit(5), F.greatest(F.lit(0), F.size("lines") - 5))).alias("line"))
+    # what is of the file is taken before its lines are parted, or each row would carry all lines
+    files = _whole(spark, path).select("file", _word(0).alias("serial"), numbers(1, "k"), numbers(2, "r"), numbers(3, "translation"), F.element_at("lines", -1).alias("mask"), F.slice("lines", F.lit(5), F.greatest(F.lit(0), F.size("lines") - 5)).alias("rest"))
     t = F.split("line", r"\s+")
-    return files.withColumn("t", t).where("size(t) = 2").select("serial", "k", "r", "translation", "mask", F.get("t", 0).alias("image"), _num(1).alias("timestamp"), "file")
+    return files.select("file", "serial", "k", "r", "translation", "mask", F.explode("rest").alias("line")).withColumn("t", t).where("size(t) = 2").select("serial", "k", "r", "translation", "mask", F.get("t", 0).alias("image"), _num(1).alias("timestamp"), "file")
 
 
 def read_panorama_list(spark: SparkSession, path: str) -> DataFrame:
@@ -214,8 +215,8 @@ def read_chunk_list(spark: SparkSession, path: str) -> DataFrame:
     value = lambda key, i: F.get(F.split(F.get(F.filter("lines", lambda v: F.split(v, r"\s+")[0] == key), 0), r"\s+"), i).try_cast("double")
     files = _whole(spark, path).withColumn("end", F.array_position("lines", "end_header").cast("int")).where("end > 0")
     cube = [value("center", i + 1).alias(c) for i, c in enumerate(("cx", "cy", "cz"))]
-    ids = F.explode(F.slice("lines", F.col("end") + 1, F.size("lines")))
-    return files.select(ids.alias("chunk_id"), *cube, value("halfwidth", 1).alias("hw"), "file")
+    files = files.select(*cube, value("halfwidth", 1).alias("hw"), "file", F.slice("lines", F.col("end") + 1, F.size("lines")).alias("rest"))
+    return files.select(F.explode("rest").alias("chunk_id"), "cx", "cy", "cz", "hw", "file")
 
 
 def read_transforms(spark: SparkSession, path: str, row_tag: str = "sensor") -> DataFrame:

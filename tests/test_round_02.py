@@ -88,3 +88,23 @@ def test_files_of_frames_are_made_in_parts(spark):
         assert sorted(map(tuple, got)) == [(f, float(t), 4) for f in (1, 2, 3) for t in range(5)]
     finally:
         spark.conf.set(key, kept)
+
+
+def test_rows_of_camera_files_carry_no_lines(spark, tmp_path):
+    """A file of n images took n times its own text, as each row carried all lines."""
+    from scanforge.sources import text as T
+
+    (tmp_path / "c").write_text("\n".join(["V1 2", " ".join(["0.5"] * 9), " ".join(["1.0"] * 9), "1 2 3", "a.jpg 1.5", "b.jpg 2.5", "mask.png"]))
+    got = T.read_camera_file(spark, str(tmp_path / "c"))
+    assert [(r["serial"], r["k"][0], r["translation"], r["mask"], r["image"], r["timestamp"]) for r in got.orderBy("image").collect()] == [("V1", 0.5, [1.0, 2.0, 3.0], "mask.png", "a.jpg", 1.5), ("V1", 0.5, [1.0, 2.0, 3.0], "mask.png", "b.jpg", 2.5)]
+    generate = next(line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate" in line)
+    assert "lines#" not in generate.split("[", 1)[1]
+
+
+def test_faces_count_the_vertices_before_them(spark, tmp_path):
+    from scanforge.sources import text as T
+
+    (tmp_path / "m.obj").write_text("v 0 0 0\nv 1 0 0\n# note\nv 0 1 0\nf -3 -2 -1\nvn 0 0 1\nv 2 2 2\nf 1 -1 2\nf 4 3 2\n")
+    _, faces = T.read_mesh_obj(spark, str(tmp_path / "m.obj"))
+    assert sorted((r["f"], r["vertices"]) for r in faces.collect()) == [(0, [0, 1, 2]), (1, [0, 3, 1]), (2, [3, 2, 1])]
+    assert "aggregate(" not in faces._jdf.queryExecution().optimizedPlan().toString()
