@@ -57,7 +57,9 @@ def maps(spark, sf_dir):
     """A map for each order line: the order is the frame, whose sensor is the same for all its lines."""
     f = F.col("l_orderkey")
     sensor = F.array(f % 97 * 0.013, f % 89 * 0.011, f % 83 * 0.007)
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(f"l_{c}").alias(c) for c in ("quantity", "discount", "tax")])
+    # dealt by frame, so that what gathers frames after this need not shuffle maps, which are wider
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax").repartition("l_orderkey")
+    rows = rows.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(f"l_{c}").alias(c) for c in ("quantity", "discount", "tax")])
     diagonal = lambda x, y, z: F.array(x, F.lit(0.0), F.lit(0.0), y, F.lit(0.0), z)
     lits = lambda *v: [F.lit(x) for x in v]
     return rows.select(
@@ -76,6 +78,11 @@ def wedges(spark, sf_dir):
     return C.wedges(maps(spark, sf_dir).select("frame", "point"))
 
 
+def carved(spark, sf_dir):
+    every = maps(spark, sf_dir)
+    return C.carve_wedges(C.wedge_pairs(every.select("frame", "point")), every, RES)
+
+
 @query("x02_x03_carve_probability", f"WITH {_MAPS}, q AS (SELECT *, s0 + u * (p0 - s0) + 0.21 AS x0, s1 + u * (p1 - s1) - 0.13 AS x1, s2 + u * (p2 - s2) + 0.17 AS x2 FROM map, (VALUES (0.05::DOUBLE), (0.6), (0.95), (1.1)) k(u)), {_samples('q', '0.5')} SELECT frame, p AS point, u, round(pr, 6) AS p, round(w, 6) AS w, round(su, 6) AS surface FROM y")
 def carve_probability(spark, sf_dir):
     rays = C.ray_models(maps(spark, sf_dir)).select(F.struct("*").alias("m"), F.explode(F.array(*map(F.lit, (0.05, 0.6, 0.95, 1.1)))).alias("u"))
@@ -93,7 +100,7 @@ def wedge_corners(spark, sf_dir):
 
 @query("x10_x72_x74_wedge_cells", f"WITH {_MAPS}, {_WEDGES}, {_HITS} SELECT i0, i1, i2, count(*) AS wedges FROM hit GROUP BY ALL")
 def wedge_cells(spark, sf_dir):
-    return C.carve_wedges(wedges(spark, sf_dir), maps(spark, sf_dir), RES).select("i0", "i1", "i2", F.col("count").alias("wedges"))
+    return carved(spark, sf_dir).select("i0", "i1", "i2", F.col("count").alias("wedges"))
 
 
 @query(
@@ -104,7 +111,7 @@ def wedge_cells(spark, sf_dir):
     SELECT i0, i1, i2, count(*) AS count, round(sum(w), 3) AS total_weight, round(sum(w * pr), 3) AS prob_sum, round(sum(w * pr * pr), 3) AS prob_sum_sq, round(sum(w * su), 3) AS surface_sum, round(sum(w * corner), 3) AS corner_sum, round(sum(w * planar), 3) AS planar_sum FROM k GROUP BY ALL""",
 )
 def carve_wedges(spark, sf_dir):
-    return round_all(C.carve_wedges(wedges(spark, sf_dir), maps(spark, sf_dir), RES), 3)
+    return round_all(carved(spark, sf_dir), 3)
 
 
 _FLAT = "f AS (SELECT l_orderkey AS frame, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS point, min(l_quantity) / 10 AS x, min(l_discount) * 20 AS y FROM lineitem GROUP BY l_orderkey, l_linenumber)"

@@ -108,3 +108,39 @@ def test_faces_count_the_vertices_before_them(spark, tmp_path):
     _, faces = T.read_mesh_obj(spark, str(tmp_path / "m.obj"))
     assert sorted((r["f"], r["vertices"]) for r in faces.collect()) == [(0, [0, 1, 2]), (1, [0, 3, 1]), (2, [3, 2, 1])]
     assert "aggregate(" not in faces._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_wedges_are_carved_in_arrays(spark, tmp_path):
+    """Cells of a wedge are not rows of the plan, wedges need no number, and sensors on corners of cells touch as in the SQL."""
+    from scanforge.operators import carving as C
+    from scanforge.plans import carving_queries as Q
+
+    keys = [0, 97, 8633, 716539, 716540, 716541]
+    rows = [(k, n, 1.0 + (7 * k + 11 * n) % 50, 0.01 * ((k + 3 * n) % 11), 0.01 * ((k + n) % 9)) for k in keys for n in range(1, 2 + (k + 2) % 5)]
+    rows += [(716541, 1, 9.0, 0.1, 0.02)]
+    table = pd.DataFrame(rows, columns=["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"]).astype({"l_linenumber": "int32"})
+    against_sql(spark, tmp_path, "j16_g47_carve", lineitem=table)
+    every = Q.maps(spark, str(tmp_path))
+    got = C.carve_wedges(C.wedge_pairs(every.select("frame", "point")), every, 2.0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_wedges_and_cubes_by_all_axes():
+    import numpy as np
+    from scanforge.operators import carving as C
+
+    rnd = np.random.default_rng(5)
+    corners = np.concatenate([rnd.normal(size=(6, 3, 3000)) * rnd.uniform(0.3, 3.0, 3000) + rnd.normal(size=(3, 3000)) * 2, rnd.integers(-3, 4, (6, 3, 3000)).astype(float)], axis=2)
+
+    def meets(w):
+        for t in C.WEDGE_TRIANGLES:
+            tri = corners[list(t), :, w]
+            edges = [tri[(k + 1) % 3] - tri[k] for k in range(3)]
+            axes = [*np.eye(3), np.cross(edges[0], edges[1]), *(np.cross(e, u) for e in edges for u in np.eye(3))]
+            if all((tri @ a).min() <= np.abs(a).sum() and (tri @ a).max() >= -np.abs(a).sum() for a in axes):
+                return True
+        return False
+
+    want = [meets(w) for w in range(corners.shape[2])]
+    assert C.wedges_meet_cubes(corners, 1.0).tolist() == want and 1000 < sum(want) < 5500
