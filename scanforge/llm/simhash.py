@@ -126,19 +126,20 @@ def close_pairs(home: np.ndarray, visit: np.ndarray, radius: int, brute: int = 1
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int))
 
 
-def link_fingerprints(fps: DataFrame, radius: int = RADIUS, leaf_size: int = LEAF_SIZE, sample: int = SAMPLE) -> DataFrame:
-    """(fp, root) for every distinct fingerprint that links with another; fps has one long column, without repeats.
+def _sampled(fps: DataFrame, n: int, sample: int) -> np.ndarray:
+    # a share of the hash range holds about 1.5 * sample of them, so that tasks send the driver no more than that in all
+    share = min(1 << 20, -(-int(1.5 * sample * (1 << 20)) // max(1, n)))
+    got = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share).orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()
+    return got["fp"].to_numpy(np.int64).view(np.uint64)
 
-    The tree is fitted on at most `sample` fingerprints; every fingerprint is then sent to the shard it lies in and visits
-    each shard that its ball of the radius overlaps, so that the pairs found are exact. Shards with more than HOME_CHUNK
-    points of their own are split, visitors as well, and each part of the one meets each part of the other.
+
+def _meetings(fps: DataFrame, tree, radius: int, visit_chunk: int | None = None) -> DataFrame:
+    """leaf, part, against, fp, home, visits: every fingerprint in its own shard and in those that its ball of the radius overlaps.
+
+    Shards with more than HOME_CHUNK points of their own are split, visitors as well (into parts of visit_chunk, if that is
+    given), and each part of the one meets each part of the other.
     """
     spark = fps.sparkSession
-    n = fps.count()
-    # a share of the hash range holds about 1.5 * sample of them, so that tasks send the driver no more than that in all
-    share = min(1 << 20, -(-int(1.5 * sample * (1 << 20)) // max(1, n)))
-    got = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share).orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = spark.sparkContext.broadcast(VantageTree(got, min(-(-n // leaf_size), sample // 16)))
 
     def route(batches):
         for batch in batches:
@@ -147,18 +148,34 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, leaf_size: int = LEA
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(at.size, leaf, np.int64)), pa.array(fp[at].view(np.int64)), pa.array(home)], names=["leaf", "fp", "home"])
 
     routed = fps.mapInArrow(route, "leaf long, fp long, home boolean")
-    big = routed.where("home").groupBy("leaf").count().where(F.col("count") > HOME_CHUNK)
-    parts = {r["leaf"]: -(-r["count"] // HOME_CHUNK) for r in big.collect()}  # at most one row a leaf, so at most sample / 16 rows
+    if visit_chunk:
+        sizes = routed.groupBy("leaf").agg(F.count_if("home").alias("own"), F.count("*").alias("all")).where((F.col("own") > HOME_CHUNK) | (F.col("all") > visit_chunk))
+        parts = [(r["leaf"], max(1, -(-r["own"] // HOME_CHUNK)), -(-r["all"] // visit_chunk)) for r in sizes.collect()]  # at most one row a leaf
+    else:
+        big = routed.where("home").groupBy("leaf").count().where(F.col("count") > HOME_CHUNK)
+        parts = [(r["leaf"], n, n) for r in big.collect() for n in [-(-r["count"] // HOME_CHUNK)]]  # at most one row a leaf, so at most sample / 16 rows
     if parts:
-        split = spark.createDataFrame(list(parts.items()), "leaf long, parts long")
-        routed = routed.join(F.broadcast(split), "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own, every = F.pmod(F.xxhash64("fp"), F.col("parts")), F.expr("sequence(cast(0 as bigint), parts - 1)")
+        split = spark.createDataFrame(parts, "leaf long, parts long, others long")
+        routed = routed.join(F.broadcast(split), "leaf", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("parts", "others")})
+        own = lambda c: F.pmod(F.xxhash64("fp"), F.col(c))
+        every = lambda c: F.explode(F.expr(f"sequence(cast(0 as bigint), {c} - 1)"))
         # every part of the points at home meets every part of the visitors in a task of its own
-        routed = routed.withColumn("own", own).withColumn("part", F.explode(every)).withColumn("against", F.explode(every))
-        routed = routed.withColumn("visits", F.col("against") == F.col("own")).withColumn("home", F.col("home") & (F.col("part") == F.col("own"))).where("home or visits")
+        routed = routed.withColumn("own", own("parts")).withColumn("one", own("others")).withColumn("part", every("parts")).withColumn("against", every("others"))
+        routed = routed.withColumn("visits", F.col("against") == F.col("one")).withColumn("home", F.col("home") & (F.col("part") == F.col("own"))).where("home or visits")
     else:
         zero = F.lit(0).cast("long")
         routed = routed.withColumns({"part": zero, "against": zero, "visits": F.lit(True)})
+    return routed.select("leaf", "part", "against", "fp", "home", "visits")
+
+
+def link_fingerprints(fps: DataFrame, radius: int = RADIUS, leaf_size: int = LEAF_SIZE, sample: int = SAMPLE) -> DataFrame:
+    """(fp, root) for every distinct fingerprint that links with another; fps has one long column, without repeats.
+
+    The tree is fitted on at most `sample` fingerprints; every fingerprint is then sent to the shard it lies in and visits
+    each shard that its ball of the radius overlaps, so that the pairs found are exact.
+    """
+    n = fps.count()
+    tree = fps.sparkSession.sparkContext.broadcast(VantageTree(_sampled(fps, n, sample), min(-(-n // leaf_size), sample // 16)))
 
     def link(tab: pa.Table) -> pa.Table:
         fp, home, visits = tab.column("fp").to_numpy().view(np.uint64), tab.column("home").to_numpy(), tab.column("visits").to_numpy()
@@ -170,10 +187,62 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, leaf_size: int = LEA
         has = root != np.arange(fp.size)
         return pa.table({"a": fp[has].view(np.int64), "b": fp[root[has]].view(np.int64)})
 
-    pairs = routed.select("leaf", "part", "against", "fp", "home", "visits").groupBy("leaf", "part", "against").applyInArrow(link, "a long, b long")
+    pairs = _meetings(fps, tree, radius).groupBy("leaf", "part", "against").applyInArrow(link, "a long, b long")
     return connected_components(pairs).select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
+def affordable_radius(tree: VantageTree, some: np.ndarray, n: int, widest: int, work: int) -> int:
+    """The largest radius from RADIUS to `widest` at which one of n fingerprints meets at most `work` others, by a sample of them."""
+    sizes = np.zeros(tree.leaves)
+    for leaf, _, home in tree.route(some, 0):
+        sizes[leaf] += home.sum() * n / some.size
+    asked = some[:2048]
+    for radius in range(widest, RADIUS, -1):
+        if sum(sizes[leaf] * at.size for leaf, at, _ in tree.route(asked, radius)) <= work * asked.size:
+            return radius
+    return RADIUS
+
+
+def nearest(home: np.ndarray, visit: np.ndarray, radius: int, brute: int = 1 << 17):
+    """Positions (i, j): for each visitor j that has another fingerprint within the radius at home, the nearest one i, the smaller of equals."""
+    found = []
+    step = max(1, brute // max(1, home.size))
+    for at in range(0, visit.size if home.size else 0, step):
+        d = hamming(visit[at : at + step, None], home[None, :]).ravel()
+        near = np.flatnonzero(d <= radius)
+        if near.size:
+            (j, i), far = np.divmod(near, home.size), d[near]
+            j, i, far = j[far > 0], i[far > 0], far[far > 0]
+            order = np.lexsort((home[i], far, j))
+            j, i = j[order], i[order]
+            first = np.flatnonzero(np.diff(j, prepend=-1))
+            found.append((i[first], at + j[first]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int))
+
+
+def near_fingerprints(fps: DataFrame, widest: int, work: int, leaf_size: int = HOME_CHUNK, sample: int = SAMPLE, visit_chunk: int = 1 << 20) -> DataFrame:
+    """(a, b) of distinct fingerprints: each with the nearest other one of every shard of the tree that its ball overlaps.
+
+    The radius is as wide, up to `widest`, as lets a fingerprint meet no more than `work` others, so that the work grows with their
+    number and not with its square. Pairs are candidates, of which a large group has no square.
+    """
+    n = fps.count()
+    if n < 2:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
+    some = _sampled(fps, n, sample)
+    grown = VantageTree(some, min(-(-n // leaf_size), sample // 16))
+    radius = affordable_radius(grown, some, n, widest, work)
+    tree = fps.sparkSession.sparkContext.broadcast(grown)
+
+    def meet(tab: pa.Table) -> pa.Table:
+        fp, home, visits = tab.column("fp").to_numpy().view(np.uint64), tab.column("home").to_numpy(), tab.column("visits").to_numpy()
+        mine, there = fp[home], fp[visits]
+        i, j = nearest(mine, there, radius)
+        return pa.table({"a": there[j].view(np.int64), "b": mine[i].view(np.int64)})
+
+    return _meetings(fps, tree, radius, visit_chunk).groupBy("leaf", "part", "against").applyInArrow(meet, "a long, b long")
+
+
 def near_duplicate_texts(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links of <= radius bits.
 

@@ -73,3 +73,51 @@ def test_stage_against_brute_force(spark, tmp_path):
     got = corpus_pipeline.near_duplicates(spark, df, str(tmp_path))
     assert got.columns == df.columns and links > 1000
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_stage_asks_the_tree_of_fingerprints(spark, tmp_path, monkeypatch):
+    """Links come from fingerprints and an exact check, where the ball holds them, and all of them with any radius."""
+    from scanforge.llm import shingles as S
+
+    data = corpus(random.Random(9))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], DOCS).repartition(5)
+    real, seen = S.near_fingerprints, []
+
+    def kept(fps, widest, work):
+        out = real(fps, widest, work).persist()
+        seen.append((fps.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(S, "near_fingerprints", kept)
+    want, _ = brute(data)
+    for widest in (12, 2):
+        monkeypatch.setattr(S, "WIDEST", widest)
+        got = corpus_pipeline.near_duplicates(spark, df, str(tmp_path))
+        assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted(want, key=str)
+    (fps, wide), (_, narrow) = seen
+    assert 200 < wide <= fps and narrow < wide
+
+
+def test_nearest_fingerprints_in_parts_of_shards(spark, monkeypatch):
+    import numpy as np
+    from scanforge.llm import simhash as H
+
+    rnd = random.Random(4)
+    fps = [rnd.getrandbits(64) for _ in range(300)]
+    fps += [f ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for f in fps[:150] for _ in range(3)]
+    fps = np.unique(np.array(fps, np.uint64))
+    df = spark.createDataFrame([(v,) for v in fps.view(np.int64).tolist()], "fp long")
+    d = H.hamming(fps[:, None], fps[None, :]).astype(int)
+    np.fill_diagonal(d, 99)
+    for size, chunk in ((1 << 14, 1 << 20), (64, 1 << 20), (64, 40)):
+        monkeypatch.setattr(H, "HOME_CHUNK", size)
+        got = H.near_fingerprints(df, 9, 1 << 18, leaf_size=64, visit_chunk=chunk).distinct().collect()
+        at = {v: k for k, v in enumerate(fps.view(np.int64).tolist())}
+        pairs = [(at[r["a"]], at[r["b"]]) for r in got]
+        assert all(d[a, b] <= 9 for a, b in pairs)
+        best = {}
+        for a, b in pairs:
+            best[a] = min(best.get(a, 99), d[a, b])
+        assert best == {a: m for a, m in enumerate(d.min(1)) if m <= 9}
+    assert H.affordable_radius(H.VantageTree(fps, 8), fps, fps.size, 12, fps.size) == 12
+    assert H.affordable_radius(H.VantageTree(fps, 8), fps, fps.size, 12, 1) == H.RADIUS
