@@ -102,6 +102,29 @@ class VantageTree:
             go = d > r - radius
             todo.append((self.outer[node], at[go], home[go] & (d[go] > r)))
 
+    def route_few(self, fps: np.ndarray, radius: int, most: int):
+        """leaves, positions, at home: as route, but of the leaves within radius of a fingerprint the `most` that are likeliest to hold
+        what is near to it: those of the least sum of squared bits by which the way there crosses borders. Its own is the first.
+        """
+        vantage, border = np.array(self.vantage, np.uint64), np.array(self.radius, np.int64)
+        inner, outer = np.array(self.inner, np.int64), np.array(self.outer, np.int64)
+        node, at, cost = np.full(fps.size, self.root), np.arange(fps.size), np.zeros(fps.size, np.int64)
+        while (fork := node >= 0).any():
+            k, a, c = node[fork], at[fork], cost[fork]
+            over = hamming(fps[a], vantage[k]).astype(np.int64) - border[k]
+            parts = [(node[~fork], at[~fork], cost[~fork])]
+            for child, bits in ((inner, np.maximum(over, 0)), (outer, np.maximum(1 - over, 0))):
+                go = bits <= radius
+                parts.append((child[k[go]], a[go], c[go] + bits[go] ** 2))
+            node, at, cost = (np.concatenate(x) for x in zip(*parts))
+            # a cost never falls on the way down, and one child of each node has that of the node: the first leaves come from the first nodes
+            order = np.lexsort((cost, at))
+            first = np.flatnonzero(np.diff(at[order], prepend=-1))
+            nth = np.arange(order.size) - np.repeat(first, np.diff(first, append=order.size))
+            order = order[nth < most]
+            node, at, cost = node[order], at[order], cost[order]
+        return -node - 1, at, cost == 0
+
 
 def close_pairs(home: np.ndarray, visit: np.ndarray, radius: int, brute: int = 1 << 20):
     """Positions (i, j) with hamming(home[i], visit[j]) <= radius, by vantage points down to small blocks."""
@@ -133,10 +156,10 @@ def _sampled(fps: DataFrame, n: int, sample: int) -> np.ndarray:
     return got["fp"].to_numpy(np.int64).view(np.uint64)
 
 
-def _meetings(fps: DataFrame, tree, radius: int, visit_chunk: int | None = None) -> DataFrame:
+def _meetings(fps: DataFrame, tree, radius: int, visit_chunk: int | None = None, most: int | None = None) -> DataFrame:
     """leaf, part, against, fp, home, visits: every fingerprint in its own shard and in those that its ball of the radius overlaps.
 
-    Shards with more than HOME_CHUNK points of their own are split, visitors as well (into parts of visit_chunk, if that is
+    With `most`, it is in so many shards at most, by route_few, so that rows grow with fingerprints alone. Shards with more than HOME_CHUNK points of their own are split, visitors as well (into parts of visit_chunk, if that is
     given), and each part of the one meets each part of the other.
     """
     spark = fps.sparkSession
@@ -144,8 +167,12 @@ def _meetings(fps: DataFrame, tree, radius: int, visit_chunk: int | None = None)
     def route(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
-            for leaf, at, home in tree.value.route(fp, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(at.size, leaf, np.int64)), pa.array(fp[at].view(np.int64)), pa.array(home)], names=["leaf", "fp", "home"])
+            if most:
+                visits = [tree.value.route_few(fp, radius, most)]
+            else:
+                visits = ((np.full(at.size, leaf, np.int64), at, home) for leaf, at, home in tree.value.route(fp, radius))
+            for leaf, at, home in visits:
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(fp[at].view(np.int64)), pa.array(home)], names=["leaf", "fp", "home"])
 
     routed = fps.mapInArrow(route, "leaf long, fp long, home boolean")
     if visit_chunk:
@@ -221,26 +248,25 @@ def nearest(home: np.ndarray, visit: np.ndarray, radius: int, brute: int = 1 <<
 
 
 def near_fingerprints(fps: DataFrame, widest: int, work: int, leaf_size: int = HOME_CHUNK, sample: int = SAMPLE, visit_chunk: int = 1 << 20) -> DataFrame:
-    """(a, b) of distinct fingerprints: each with the nearest other one of every shard of the tree that its ball overlaps.
+    """(a, b) of distinct fingerprints: each with the nearest other one, within `widest` bits, of every shard of the tree that it visits.
 
-    The radius is as wide, up to `widest`, as lets a fingerprint meet no more than `work` others, so that the work grows with their
-    number and not with its square. Pairs are candidates, of which a large group has no square.
+    A wide ball overlaps nearly every shard, so that visits to all of them would grow with the square of the number of fingerprints. Each
+    therefore visits work / leaf_size shards at most, which are all that its ball overlaps where there are no more, and the likeliest
+    ones otherwise; up to sample / 16 shards it then meets about `work` others, whatever their number. Pairs are candidates: what
+    they leave out is for the caller to find. A large group has no square of them.
     """
     n = fps.count()
     if n < 2:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
-    some = _sampled(fps, n, sample)
-    grown = VantageTree(some, min(-(-n // leaf_size), sample // 16))
-    radius = affordable_radius(grown, some, n, widest, work)
-    tree = fps.sparkSession.sparkContext.broadcast(grown)
+    tree = fps.sparkSession.sparkContext.broadcast(VantageTree(_sampled(fps, n, sample), min(-(-n // leaf_size), sample // 16)))
 
     def meet(tab: pa.Table) -> pa.Table:
         fp, home, visits = tab.column("fp").to_numpy().view(np.uint64), tab.column("home").to_numpy(), tab.column("visits").to_numpy()
         mine, there = fp[home], fp[visits]
-        i, j = nearest(mine, there, radius)
+        i, j = nearest(mine, there, widest)
         return pa.table({"a": there[j].view(np.int64), "b": mine[i].view(np.int64)})
 
-    return _meetings(fps, tree, radius, visit_chunk).groupBy("leaf", "part", "against").applyInArrow(meet, "a long, b long")
+    return _meetings(fps, tree, widest, visit_chunk, max(1, work // leaf_size)).groupBy("leaf", "part", "against").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicate_texts(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -121,3 +121,59 @@ def test_nearest_fingerprints_in_parts_of_shards(spark, monkeypatch):
         assert best == {a: m for a, m in enumerate(d.min(1)) if m <= 9}
     assert H.affordable_radius(H.VantageTree(fps, 8), fps, fps.size, 12, fps.size) == 12
     assert H.affordable_radius(H.VantageTree(fps, 8), fps, fps.size, 12, 1) == H.RADIUS
+
+
+def test_visits_grow_with_fingerprints_alone(spark, monkeypatch):
+    """Eight times the fingerprints are in no more shards each, while nearest ones are still found."""
+    import numpy as np
+    from scanforge.llm import simhash as H
+
+    real, rows = H._meetings, []
+    monkeypatch.setattr(H, "_meetings", lambda *a, **k: rows.append((out := real(*a, **k).persist()).count()) or out)
+    rnd = np.random.default_rng(5)
+    for n in (512, 4096):
+        half = rnd.integers(0, 1 << 64, n // 2, np.uint64)
+        fps = np.unique(np.concatenate([half, half ^ np.uint64(3) ^ (np.uint64(1) << rnd.integers(2, 64, n // 2, np.uint64))]))
+        df = spark.createDataFrame([(v,) for v in fps.view(np.int64).tolist()], "fp long")
+        got = H.near_fingerprints(df, 12, 256, leaf_size=64).collect()
+        a, b = (np.array([r[c] for r in got], np.int64).view(np.uint64) for c in ("a", "b"))
+        assert fps.size == n <= rows[-1] <= 4 * n
+        assert np.unique(a[H.hamming(a, b) == 3]).size >= 0.7 * n
+
+
+def test_likeliest_shards():
+    import numpy as np
+    from scanforge.llm import simhash as H
+
+    fps = np.random.default_rng(6).integers(0, 1 << 64, 3000, np.uint64)
+    tree = H.VantageTree(fps, 32)
+    every = {(a, leaf): h for leaf, at, home in tree.route(fps, 9) for a, h in zip(at.tolist(), home.tolist())}
+    leaf, at, home = tree.route_few(fps, 9, tree.leaves)
+    assert {(a, k): h for a, k, h in zip(at.tolist(), leaf.tolist(), home.tolist())} == every
+
+    def ways(node, cost, fp):
+        if node < 0:
+            return [(cost, -node - 1)]
+        over = int(H.hamming(fp, np.uint64(tree.vantage[node]))) - tree.radius[node]
+        sides = [(tree.inner[node], max(over, 0)), (tree.outer[node], max(1 - over, 0))]
+        return [w for child, bits in sides if bits <= 9 for w in ways(child, cost + bits**2, fp)]
+
+    leaf, at, home = tree.route_few(fps, 9, 3)
+    assert at.size < len(every) and np.bincount(at).max() == 3 and home.sum() == fps.size
+    for k in range(0, fps.size, 50):
+        cost = dict((b, a) for a, b in ways(tree.root, 0, fps[k]))
+        assert [cost[x] for x in leaf[at == k].tolist()] == sorted(cost.values())[:3]
+        assert home[at == k].tolist() == [True, *[False] * ((at == k).sum() - 1)]
+
+
+def test_stage_loses_no_link_where_visits_are_few(spark, tmp_path, monkeypatch):
+    """One visit a text, to its own shard of about 16: what the tree leaves out is found by prefix filtering."""
+    from scanforge.llm import shingles as S
+
+    data = corpus(random.Random(10))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], DOCS).repartition(5)
+    real = S.near_fingerprints
+    monkeypatch.setattr(S, "near_fingerprints", lambda fps, widest, work: real(fps, widest, 16, leaf_size=16))
+    want, _ = brute(data)
+    got = corpus_pipeline.near_duplicates(spark, df, str(tmp_path))
+    assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted(want, key=str)
