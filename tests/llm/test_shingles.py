@@ -177,3 +177,52 @@ def test_stage_loses_no_link_where_visits_are_few(spark, tmp_path, monkeypatch):
     want, _ = brute(data)
     got = corpus_pipeline.near_duplicates(spark, df, str(tmp_path))
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_stage_leaves_no_shuffle_files_and_shuffles_texts_once(spark, tmp_path):
+    """What finds the groups is freed without the driver's garbage collection; the rows are exchanged for the join alone."""
+    import time
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        blocks = disk.getAllBlocks()
+        names = (blocks.apply(i).name() for i in range(blocks.size()))
+        return {int(n.split("_")[1]) for n in names if n.startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    data = [(i, t) for i, t in corpus(random.Random(12)) if i is None or i < 2000]
+    near = data[9][1] + " again"
+    data += [(100, near), (100, near), (100, near + " once")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], DOCS).write.parquet(str(tmp_path / "documents"))
+    df = spark.read.parquet(str(tmp_path / "documents"))
+    probe = spark.range(100).repartition(3)
+    probe.collect()
+    last = max(shuffles())
+    before = spark.conf.get(key)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = corpus_pipeline.near_duplicates(spark, df, str(tmp_path))
+        for _ in range(20):  # files are removed in the background
+            if not (left := {n for n in shuffles() if n > last}):
+                break
+            time.sleep(0.25)
+        assert not left and spark.conf.get(key) == before
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(") == 2
+        want, _ = brute(data)
+        assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted(want, key=str)
+        assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_freed_setting_is_put_back(spark):
+    from scanforge.llm.common import shuffles_freed
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError), shuffles_freed(spark):
+        assert spark.conf.get(key) == "true"
+        raise ValueError
+    assert spark.conf.get(key) == before
