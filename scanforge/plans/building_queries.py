@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import shapes as G
 from ..operators import building as B
+from ..operators import crossings as C
 from ..operators import joins as J
 from ..operators import surfaces as S
 from ..operators import volume as V
@@ -114,8 +115,8 @@ def locate(spark, sf_dir):
 def segment_triangles(spark, sf_dir):
     p = plane_points(spark, sf_dir)
     tri = p.select(F.col("k").alias("t"), "ax", "ay", "bx", F.col("by2").alias("by"), "cx", "cy")
-    seg = p.select(F.col("k").alias("s"), F.col("px").alias("x0"), F.col("py").alias("y0"), (F.col("bx") + 0.017).alias("x1"), (F.col("cy") + 0.019).alias("y1"))
-    return B.segment_triangles(seg, tri, 2.0, ["s"]).groupBy("t").agg(F.count("*").alias("crossed"))
+    seg = p.select(F.col("px").alias("x0"), F.col("py").alias("y0"), (F.col("bx") + 0.017).alias("x1"), (F.col("cy") + 0.019).alias("y1"))
+    return C.crossing_counts(seg, tri)
 
 
 @query("w12_rooms_of_vertices", f"WITH {_TRIANGLES}, e AS (SELECT t % 4 AS room, i AS v FROM tri UNION SELECT t % 4, j FROM tri UNION SELECT t % 4, k FROM tri) SELECT v, array_to_string(list_sort(list(room)), ',') AS rooms FROM e GROUP BY v")
